@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +39,13 @@ from corvane.llm.kernels import U, distinct, jaccard, mix, sequence_hash, shingl
 from corvane.session import materialize
 
 #: Common pivots a pair must share.
-SHARED = 3
-#: Counters in the frequency table, as a power of two.
-COUNT_BITS = 18
+SHARED = 4
+#: Counters of the frequency table, as a power of two; one byte each, which stays at 255.
+COUNT_BITS = 22
+#: Counters of the table by which the most frequent shingles are told, of four bytes.
+HOT_BITS = 16
+#: Where the blocks of that table begin.
+_HOT_BLOCK = 1 << 20
 #: Bits of the map of texts that have candidates.
 MARK_BITS = 23
 #: Classes of equal texts from this size on are joined once.
@@ -71,20 +76,25 @@ def _scan(width: int, min_words: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts = np.zeros(1 << COUNT_BITS, np.uint32)
+        counts, hot = np.zeros(1 << COUNT_BITS, np.uint32), np.zeros(1 << HOT_BITS, np.uint32)
         for b in batches:
             h, off = words(b.column(1).to_pylist())
             n = np.diff(off)
             x, row, _ = shingles(h, off, width)
-            counts += np.bincount(bounded.slot(x[n[row] >= min_words], COUNT_BITS), minlength=len(counts)).astype(np.uint32)
+            x = x[n[row] >= min_words]
+            np.add.at(counts, bounded.slot(x, COUNT_BITS), 1)
+            hot += np.bincount(bounded.slot(x, HOT_BITS), minlength=len(hot)).astype(np.uint32)
             keep = np.flatnonzero(n >= max(min_words, width))
             seq = sequence_hash(h, off)[keep].view(np.int64)
             doc = b.column(0).take(pa.array(keep))
             none = pa.nulls(len(keep), pa.int32())
             yield pa.RecordBatch.from_arrays([doc, pa.array(seq), none, none, pa.nulls(len(keep), pa.binary())], names=["doc", "seq", "block", "salt", "data"])
-        blocks = bounded.blocks_of(counts, TaskContext.get().partitionId())
-        none = pa.nulls(len(blocks), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, *blocks.columns], names=["doc", "seq", "block", "salt", "data"])
+        task = TaskContext.get().partitionId()
+        for first, table in ((0, np.minimum(counts, 255).astype(np.uint8)), (_HOT_BLOCK, hot)):
+            blocks = bounded.blocks_of(table, task)
+            none = pa.nulls(len(blocks), pa.int64())
+            at = pc.add(blocks.column(0), pa.scalar(first, pa.int32()))
+            yield pa.RecordBatch.from_arrays([none, none, at, *blocks.columns[1:]], names=["doc", "seq", "block", "salt", "data"])
 
     return scan
 
@@ -97,7 +107,7 @@ def _windows(width: int, min_words: int, t: float, buckets: int, counts, copies,
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, (seqs, reps) = counts.value, copies.value
+        (table, hot_table), (seqs, reps) = counts.value, copies.value
         for b in batches:
             doc = b.column(0).to_numpy(zero_copy_only=False)
             h, off = words(b.column(1).to_pylist())
@@ -122,7 +132,7 @@ def _windows(width: int, min_words: int, t: float, buckets: int, counts, copies,
             length = np.minimum(size, size - np.ceil(t * size - 1e-9).astype(np.int64) + SHARED)
             m = rank < length
             x, row, rank, size, freq = x[m], row[m], rank[m], size[m], freq[m]
-            frequent = freq > hot
+            frequent = hot_table[bounded.slot(x, HOT_BITS)] > hot
             weight = np.where(np.bincount(row[frequent], minlength=len(doc))[row] > 0, SHARED, 1)
             if frequent.any():
                 # A frequent pivot s gives way to the pairs {s, s'} with the later pivots s' of the window.
@@ -214,7 +224,9 @@ def similar_texts(df: DataFrame, key: str, text: str, width: int = 5, threshold:
     )
     texts = base.select("doc", "text")
     scanned = materialize(texts.mapInArrow(_scan(width, min_words), "doc long, seq long, block int, salt int, data binary"), "near-scan")
-    table = bounded.collect_blocks(scanned.where("block is not null").select("block", "salt", "data"), 1 << COUNT_BITS, "uint32", add=True)
+    blocks = scanned.where("block is not null").select("block", "salt", "data")
+    table = bounded.collect_blocks(blocks.where(F.col("block") < _HOT_BLOCK), 1 << COUNT_BITS, "uint8", add=True)
+    hot_table = bounded.collect_blocks(blocks.where(F.col("block") >= _HOT_BLOCK).withColumn("block", F.col("block") - _HOT_BLOCK), 1 << HOT_BITS, "uint32", add=True)
     docs = scanned.where("doc is not null").select("doc", "seq").distinct()
     total = docs.count()
     # At most total / least classes can be this large, so the list has a bound.
@@ -223,9 +235,9 @@ def similar_texts(df: DataFrame, key: str, text: str, width: int = 5, threshold:
     many = sorted((r["seq"], r["rep"]) for r in classes.collect())
     seqs, reps = np.array([x for x, _ in many], np.int64), np.array([x for _, x in many], np.int64)
     sc = spark.sparkContext
-    counts, copies = sc.broadcast(table), sc.broadcast((seqs, reps))
-    instances = int(table.sum(dtype=np.uint64))
-    hot = max(5000, 8 * (instances >> COUNT_BITS))
+    counts, copies = sc.broadcast((table, hot_table)), sc.broadcast((seqs, reps))
+    instances = int(hot_table.sum(dtype=np.uint64))
+    hot = max(5000, 8 * (instances >> HOT_BITS))
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 64, instances // 1_000_000)
     entries = texts.mapInArrow(_windows(width, min_words, threshold, buckets, counts, copies, hot), "bucket int, data binary")
     raw = entries.groupBy("bucket").applyInArrow(_region_of(threshold), "a long, b long, w int")
