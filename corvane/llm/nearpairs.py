@@ -133,7 +133,9 @@ def _windows(width: int, min_words: int, t: float, buckets: int, counts, copies,
             m = rank < length
             x, row, rank, size, freq = x[m], row[m], rank[m], size[m], freq[m]
             frequent = hot_table[bounded.slot(x, HOT_BITS)] > hot
-            weight = np.where(np.bincount(row[frequent], minlength=len(doc))[row] > 0, SHARED, 1)
+            # Texts of few distinct shingles may share fewer than SHARED.
+            few = np.ceil(t * size - 1e-9) < SHARED
+            weight = np.where(few | (np.bincount(row[frequent], minlength=len(doc))[row] > 0), SHARED, 1)
             if frequent.any():
                 # A frequent pivot s gives way to the pairs {s, s'} with the later pivots s' of the window.
                 end = np.searchsorted(row, row, side="right")

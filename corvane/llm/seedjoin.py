@@ -61,8 +61,8 @@ def _emit(seeds: Seeds, marks, bits: int, min_words: int):
     return emit
 
 
-def candidates(classes: DataFrame, corpus: DataFrame, query_seeds: Seeds, corpus_seeds: Seeds, allowed: Column | None, min_words: int, name: str) -> DataFrame:
-    """Distinct (doc, query) that share a seed; `allowed` is over q.n and c.n."""
+def candidates(classes: DataFrame, corpus: DataFrame, query_seeds: Seeds, corpus_seeds: Seeds, allowed: Column | None, min_words: int, name: str, least: Column | int = 1) -> DataFrame:
+    """The (doc, query) that share `least` seeds. `allowed` is over q.n and c.n, `least` may be over `n`, the larger of both."""
     spark = corpus.sparkSession
     schema = "h long, id long, n int"
     one = classes.select("query", "text").dropDuplicates(["query"])
@@ -72,8 +72,9 @@ def candidates(classes: DataFrame, corpus: DataFrame, query_seeds: Seeds, corpus
     hits = corpus.select("doc", "text").mapInArrow(_emit(corpus_seeds, marks, bits, min_words), schema).distinct()
     q, c = seeds.alias("q"), hits.alias("c")
     on = F.col("q.h") == F.col("c.h")
-    pairs = c.join(q, on if allowed is None else on & allowed).select(F.col("c.id").alias("doc"), F.col("q.id").alias("query")).distinct()
-    return materialize(pairs, f"{name}-candidates")
+    pairs = c.join(q, on if allowed is None else on & allowed).select(F.col("c.id").alias("doc"), F.col("q.id").alias("query"), F.greatest("q.n", "c.n").alias("n"))
+    shared = pairs.groupBy("doc", "query").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
+    return materialize(shared.where(F.col("shared") >= least).select("doc", "query"), f"{name}-candidates")
 
 
 def with_texts(pairs: DataFrame, classes: DataFrame, corpus: DataFrame) -> DataFrame:

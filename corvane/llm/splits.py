@@ -2,8 +2,9 @@
 
 Edit-distance segment join over words: of each evaluation text with n distinct
 `width`-word segments at most k = floor((1 - t) n) can be missing from a text whose
-overlap with it is t or more, so k + 1 of its segments are chosen, the rarest in the
-training side, and at least one of them stands unchanged in every partner. Training
+overlap with it is t or more, so of k + 1 of its segments at least one stands unchanged
+in every partner. More selective is k + l: at least l of them do. The rarest in the
+training side are chosen. Training
 texts are probed with all their substrings of that length. A segment may stand at any
 position, since moved sentences leave the overlap as it is; a partner must have between
 t n and n / t distinct segments. Candidates are verified with a banded dynamic program, which
@@ -23,7 +24,10 @@ from corvane.llm import bounded
 from corvane.llm.kernels import distinct, jaccard, shingles, words
 from corvane.llm.seedjoin import candidates, expand, numbered, query_classes, with_texts
 
-COUNT_BITS = 18
+#: Counters of the segments' frequencies, as a power of two; one byte each.
+COUNT_BITS = 22
+#: Segments (l above) that a pair must share.
+SHARED = 4
 
 
 def _counts(width: int):
@@ -33,14 +37,14 @@ def _counts(width: int):
         table = np.zeros(1 << COUNT_BITS, np.uint32)
         for b in batches:
             x, _, _ = shingles(*words(b.column(0).to_pylist()), width)
-            table += np.bincount(bounded.slot(x, COUNT_BITS), minlength=len(table)).astype(np.uint32)
-        yield bounded.blocks_of(table, TaskContext.get().partitionId())
+            np.add.at(table, bounded.slot(x, COUNT_BITS), 1)
+        yield bounded.blocks_of(np.minimum(table, 255).astype(np.uint8), TaskContext.get().partitionId())
 
     return count
 
 
 def _rarest_segments(width: int, t: float, counts):
-    """The k + 1 rarest segments of each row."""
+    """The k + SHARED rarest segments of each row."""
 
     def seeds(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x, row, _ = shingles(h, off, width)
@@ -50,7 +54,7 @@ def _rarest_segments(width: int, t: float, counts):
         x, row = x[o], row[o]
         n = np.bincount(row, minlength=len(off) - 1)
         rank = np.arange(len(x)) - (np.cumsum(n) - n)[row]
-        m = rank <= np.floor((1 - t) * n[row] + 1e-9)
+        m = rank < np.floor((1 - t) * n[row] + 1e-9) + SHARED
         return x[m], row[m], n[row[m]]
 
     return seeds
@@ -144,10 +148,12 @@ def split_overlaps(
     spark = training.sparkSession
     q, c = numbered(evaluation, evaluation_key, evaluation_text), numbered(training, training_key, training_text)
     classes = query_classes(q, max(min_words, width))
-    table = bounded.collect_blocks(c.select("text").mapInArrow(_counts(width), "block int, salt int, data binary"), 1 << COUNT_BITS, "uint32", add=True)
+    table = bounded.collect_blocks(c.select("text").mapInArrow(_counts(width), "block int, salt int, data binary"), 1 << COUNT_BITS, "uint8", add=True)
     counts = spark.sparkContext.broadcast(table)
     allowed = (F.col("c.n") >= threshold * F.col("q.n") - 1e-6) & (F.col("q.n") >= threshold * F.col("c.n") - 1e-6)
-    pairs = candidates(classes, c, _rarest_segments(width, threshold, counts), _substrings(width), allowed, max(min_words, width), "split")
+    # Texts of few distinct segments may share fewer.
+    least = F.least(F.lit(SHARED), F.ceil(threshold * F.col("n") - 1e-9))
+    pairs = candidates(classes, c, _rarest_segments(width, threshold, counts), _substrings(width), allowed, max(min_words, width), "split", least)
     found = with_texts(pairs, classes, c).mapInArrow(_verify(width, threshold, min_words), "doc long, query long, overlap double, edits long")
     best = found.groupBy("doc", "query").agg(F.max("overlap").alias("overlap"), F.min("edits").alias("edits"))
     return expand(best, classes, c)
