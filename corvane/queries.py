@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
+from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,12 +189,21 @@ def dense_topk(s, d):
     return dense.dense_topk(e, "vec_id", "embedding", q, "query_id", "v", 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _hash_vectors(texts: pd.Series) -> pd.Series:
+    out = []
+    for t in texts:
+        v = np.zeros(DIMS)
+        for w, n in Counter(re.findall(r"\w+", t.lower()) if isinstance(t, str) else ()).items():
+            v[int(hashlib.md5(w.encode("utf-8", "replace")).hexdigest()[0], 16)] += n
+        norm = np.sqrt((v * v).sum())
+        out.append(v / norm if norm else v)
+    return pd.Series(out)
+
+
 def hash_vector(text: Column) -> Column:
-    """A stand-in for an embedding: how many words fall on each first hex digit of their MD5, scaled to unit length."""
-    digits = F.transform(T.word_tokens(text), lambda w: F.substring(F.md5(w), 1, 1))
-    counts = F.transform(F.array(*[F.lit(f"{i:x}") for i in range(DIMS)]), lambda h: F.size(F.filter(digits, lambda x: x == h)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    """A stand-in for an embedding model, behind the same boundary (a pandas function over
+    batches): how many words fall on each first hex digit of their MD5, of unit length."""
+    return F.pandas_udf(_hash_vectors, "array<double>")(text)
 
 
 def _dense_hits(passages: DataFrame):
