@@ -140,11 +140,11 @@ def _budget(hits: Column, total: int) -> Column:
     return F.aggregate(F.transform(hits, cut), zero, step)["kept"]
 
 
-def _v2_baseline(e: Engine, s: DataFrame, variant: str, memory_brief: Column | None, **trace: Column) -> DataFrame:
+def _v2_baseline(e: Engine, s: DataFrame, variant: str, lesson: Column | None, **trace: Column) -> DataFrame:
     q, o = F.col("question"), F.col("options")
     s = e.ask(s, "router", prompts.router(q), "route")
     s = e.look_up(s.withColumn("query", parsing.parse_search_query(F.col("route"))), F.col("query"), "hits", e.config.rag_top_k)
-    s = e.ask(s, "reasoner", prompts.reasoner(q, o, prompts.passages_block(F.col("hits"), e.config.rag_max_passage_tokens), memory_brief), "proposal", context=_context(F.col("hits")))
+    s = e.ask(s, "reasoner", prompts.reasoner(q, o, prompts.passages_block(F.col("hits"), e.config.rag_max_passage_tokens), lesson), "proposal", context=_context(F.col("hits")))
     s = s.withColumn("candidate", parsing.parse_answer(F.col("proposal"))["answer"])
     s = e.ask(s, "verifier", prompts.verifier(q, o, F.col("hits"), F.col("candidate"), parsing.strip_answer(F.col("proposal")), e.config.rag_max_passage_tokens), "reply", context=_context(F.col("hits")))
     same = F.coalesce(F.col("candidate") == parsing.parse_answer(F.col("reply"))["answer"], F.lit(False))
@@ -163,7 +163,7 @@ def _multi(e: Engine, s: DataFrame, queries: Column, where: Column, k: int) -> D
     return materialize(out, "passages")
 
 
-def _v2_advanced(e: Engine, s: DataFrame, variant: str, memory_brief: Column | None, **trace: Column) -> DataFrame:
+def _v2_advanced(e: Engine, s: DataFrame, variant: str, lesson: Column | None, **trace: Column) -> DataFrame:
     c, q, o, hits = e.config, F.col("question"), F.col("options"), F.col("hits")
     k = c.rag_top_k
     if c.rag_adaptive_routing:
@@ -200,7 +200,7 @@ def _v2_advanced(e: Engine, s: DataFrame, variant: str, memory_brief: Column | N
     else:
         s = e.ask(s, "researcher_synthesis", prompts.synthesis(q, hits, c.rag_max_passage_tokens), "brief", where=F.size(hits) > 0)
         s = s.withColumn("brief", F.coalesce("brief", F.lit(NO_EVIDENCE)))
-    s = e.ask(s, "reasoner", prompts.reasoner(q, o, F.col("brief"), memory_brief), "proposal", context=_context(hits))
+    s = e.ask(s, "reasoner", prompts.reasoner(q, o, F.col("brief"), lesson), "proposal", context=_context(hits))
     s = s.withColumn("candidate", parsing.parse_answer(F.col("proposal"))["answer"])
     s = e.ask(s, "verifier_review", prompts.review(q, o, F.col("brief"), F.col("candidate"), parsing.strip_answer(F.col("proposal"))), "review")
     s = s.withColumn("r_", parsing.parse_review(F.col("review"))).withColumn("decision", F.col("r_.decision")).withColumn("memo", F.col("r_.memo")).drop("r_")
@@ -216,10 +216,10 @@ def _v2_advanced(e: Engine, s: DataFrame, variant: str, memory_brief: Column | N
     return _result(s, variant, final, final, router_query=F.col("query"), retrieved_passages=_ids(hits), decision=F.col("decision"), loops=F.col("loops"), backtrack_history=F.col("history"), debate_history=debated, **trace)
 
 
-def _v2_from(e: Engine, s: DataFrame, variant: str, memory_brief: Column | None = None, **trace: Column) -> DataFrame:
+def _v2_from(e: Engine, s: DataFrame, variant: str, lesson: Column | None = None, **trace: Column) -> DataFrame:
     c = e.config
     advanced = c.rag_enable_backtracking or c.rag_enable_debate
-    return (_v2_advanced if advanced else _v2_baseline)(e, s, variant, memory_brief, **trace)
+    return (_v2_advanced if advanced else _v2_baseline)(e, s, variant, lesson, **trace)
 
 
 def v2(e: Engine, questions: DataFrame) -> DataFrame:
