@@ -68,18 +68,21 @@ def _daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    """By variant, united from the summaries of the days."""
-    return quantiles.quantiles(quantiles.merge_summaries(_daily(spark, d), ["variant", "metric"]), PERCENTILES)
-
-
-def p3_daily(spark: SparkSession, d: str) -> DataFrame:
-    return quantiles.quantiles(_daily(spark, d), PERCENTILES)
-
-
-def p3_weeks(spark: SparkSession, d: str) -> DataFrame:
-    """By variant and calendar week: another union of the same days."""
-    weeks = _daily(spark, d).withColumn("week", F.date_trunc("week", "run_day").cast("date"))
-    return quantiles.quantiles(quantiles.merge_summaries(weeks, ["variant", "week", "metric"]), PERCENTILES)
+    """By variant and day, and by variant over calendar weeks and all days.
+
+    The days' summaries are kept once; each union is made from them, not from the rows.
+    """
+    days = materialize(_daily(spark, d), "days")
+    week = F.date_trunc("week", "run_day").cast("date")
+    spans = F.explode(
+        F.array(
+            F.struct(F.lit("day").alias("span"), F.col("run_day").alias("first_day")),
+            F.struct(F.lit("week").alias("span"), week.alias("first_day")),
+            F.struct(F.lit("all").alias("span"), F.lit(None).cast("date").alias("first_day")),
+        )
+    ).alias("s")
+    united = quantiles.merge_summaries(days.select("variant", "metric", "summary", spans).select("variant", "metric", "summary", "s.*"), ["variant", "span", "first_day", "metric"])
+    return quantiles.quantiles(united, PERCENTILES)
 
 
 def p3_within(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +192,7 @@ def _shipped(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    fs = [p1_found, p1_flags, p2_found, p2_items, p3_quantiles, p3_daily, p3_weeks, p3_within, p4_found, p4_groups, p5_found, p5_report, p6_assign, p6_fill, p7_mixture, p7_shares, p8_found, p8_forms]
+    fs = [p1_found, p1_flags, p2_found, p2_items, p3_quantiles, p3_within, p4_found, p4_groups, p5_found, p5_report, p6_assign, p6_fill, p7_mixture, p7_shares, p8_found, p8_forms]
     return {f.__name__: _shipped(f) for f in fs}
 
 
