@@ -212,7 +212,7 @@ def similar_texts(df: DataFrame, key: str, text: str, width: int = 5, threshold:
     """Pairs of similar texts and the membership of rows in classes.
 
     Returns `pairs(a, b, overlap)` between numbers of texts and
-    `members(doc, rep, <key>)`: row `key` has the text number `doc` and counts as `rep`,
+    `members(doc, rep, key)`: row `key` has the text number `doc` and counts as `rep`,
     itself or the one that stands for its class of equal texts. Two different rows with
     the same `rep` that isn't their own are copies.
 
@@ -221,7 +221,7 @@ def similar_texts(df: DataFrame, key: str, text: str, width: int = 5, threshold:
     The output is the same at every run.
     """
     spark = df.sparkSession
-    base = df.select(F.expr(f"shiftleft(xxhash64(`{key}`), 24)").alias("doc"), F.col(text).cast("string").alias("text"), F.col(key).alias(key + "_")).where(
+    base = df.select(F.expr(f"shiftleft(xxhash64(`{key}`), 24)").alias("doc"), F.col(text).cast("string").alias("text"), F.col(key).alias("key")).where(
         F.col(text).isNotNull() & F.col(key).isNotNull()
     )
     texts = base.select("doc", "text")
@@ -256,7 +256,7 @@ def similar_texts(df: DataFrame, key: str, text: str, width: int = 5, threshold:
     rep = F.lit(None).cast("long")
     members = docs.join(classes.select("seq", F.col("rep").alias("class_rep")), "seq", "left") if many else docs.withColumn("class_rep", rep)
     members = members.select("doc", F.coalesce("class_rep", "doc").alias("rep"))
-    keys = base.select("doc", F.col(key + "_").alias(key)).distinct()
+    keys = base.select("doc", "key").distinct()
     return pairs, members.join(keys, "doc")
 
 
@@ -272,10 +272,10 @@ def _region_of(t: float):
 def similar_pairs(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, min_words: int = 15) -> DataFrame:
     """All pairs of keys (a < b) whose texts are similar, equal texts included, each once."""
     pairs, members = similar_texts(df, key, text, width, threshold, min_words)
-    left = members.select(F.col("rep").alias("a"), F.col(key).alias("key_a"))
-    right = members.select(F.col("rep").alias("b"), F.col(key).alias("key_b"))
+    left = members.select(F.col("rep").alias("a"), F.col("key").alias("key_a"))
+    right = members.select(F.col("rep").alias("b"), F.col("key").alias("key_b"))
     across = pairs.select("a", "b").join(left, "a").join(right, "b").select("key_a", "key_b")
     shared = members.where("doc <> rep").select("rep").distinct()
     copies = members.join(shared, "rep", "left_semi")
-    within = copies.select("rep", F.col(key).alias("key_a")).join(copies.select("rep", F.col(key).alias("key_b")), "rep").where("key_a < key_b").select("key_a", "key_b")
+    within = copies.select("rep", F.col("key").alias("key_a")).join(copies.select("rep", F.col("key").alias("key_b")), "rep").where("key_a < key_b").select("key_a", "key_b")
     return across.unionByName(within).where("key_a <> key_b").select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()

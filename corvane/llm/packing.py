@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.ranks import ranked
+from corvane.session import materialize
 
 #: A step: size, first item's number, items, first container, items in each container.
 Step = tuple[int, int, int, int, int]
@@ -180,6 +181,8 @@ def pack(sized: DataFrame, key: str, containers: DataFrame, name: str = "pack")
     """
     kinds = [(r["container_kind"], int(r["capacity_tokens"])) for r in containers.where("capacity_tokens > 0 and container_kind is not null").select("container_kind", "capacity_tokens").distinct().collect()]
     type_ = dict(sized.dtypes)[key]
+    # Sizes are counted once; the sort by range reads its input twice.
+    sized = materialize(sized.select(key, "tokens"), "sizes")
     schema = f"container_kind string, container_no bigint, id_ {type_}, piece_no bigint, tokens bigint"
     spark = sized.sparkSession
     if not kinds:

@@ -115,6 +115,7 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     pairs = materialize(pairs.select("a", "b"), "groups")
     group = connected_components(pairs, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("group_rep"))
     links = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
+    members = members.withColumnRenamed("key", "passage_id")
     named = members.groupBy("rep").agg(F.min("passage_id").alias("class_id"))
     full = members.join(group, "rep", "left").withColumn("group_rep", F.coalesce("group_rep", "rep"))
     first = full.groupBy("group_rep").agg(F.min("passage_id").alias("group_id"))
