@@ -58,6 +58,11 @@ def collect_blocks(parts: DataFrame, length: int, dtype: str, add: bool) -> np.n
     return out
 
 
+def counter_bits(texts: int) -> int:
+    """The size of a table of shingle counts: 16 to 32 counters for each text, at most 2^24."""
+    return int(np.clip(np.ceil(np.log2(max(texts, 1))) + 4, 18, 24))
+
+
 def slot(h: np.ndarray, bits: int) -> np.ndarray:
     """The upper bits of hashes."""
     return (h.astype(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)

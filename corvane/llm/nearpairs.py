@@ -21,7 +21,8 @@ pivots are therefore the smallest sets, single shingles:
 Within a region pairs are pruned by size (the triangle inequality against the empty
 set's scale: t |y| <= |x|) and by position, and at last verified exactly.
 
-Texts with the same words that occur often are joined once, as a class.
+Texts with the same words that occur often are joined once, as a class; so are those
+that repeat one shingle only.
 """
 
 from __future__ import annotations
@@ -40,8 +41,6 @@ from corvane.session import materialize
 
 #: Common pivots a pair must share.
 SHARED = 4
-#: Counters of the frequency table, as a power of two; one byte each, which stays at 255.
-COUNT_BITS = 22
 #: Counters of the table by which the most frequent shingles are told, of four bytes.
 HOT_BITS = 16
 #: Where the blocks of that table begin.
@@ -70,22 +69,34 @@ def _high(code: np.ndarray) -> np.ndarray:
     return np.concatenate((_SCALE[1:] - 1, [1 << 40]))[code]
 
 
-def _scan(width: int, min_words: int):
-    """Rows (doc, seq) of the texts, then the blocks of the task's shingle counts."""
+def _class_hash(h: np.ndarray, off: np.ndarray, x: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The same for texts with the same words, and for texts that repeat one shingle only."""
+    out = sequence_hash(h, off)
+    some, first = np.unique(row, return_index=True)
+    if len(some):
+        low, high = np.minimum.reduceat(x, first), np.maximum.reduceat(x, first)
+        m = low == high
+        out[some[m]] = mix(~low[m])
+    return out.view(np.int64)
+
+
+def _scan(width: int, min_words: int, bits: int):
+    """Rows (doc, seq) of the texts, then the blocks of the task's shingle counts, of one
+    byte each, which stays at 255."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts, hot = np.zeros(1 << COUNT_BITS, np.uint32), np.zeros(1 << HOT_BITS, np.uint32)
+        counts, hot = np.zeros(1 << bits, np.uint32), np.zeros(1 << HOT_BITS, np.uint32)
         for b in batches:
             h, off = words(b.column(1).to_pylist())
             n = np.diff(off)
             x, row, _ = shingles(h, off, width)
+            keep = np.flatnonzero(n >= max(min_words, width))
+            seq = _class_hash(h, off, x, row)[keep]
             x = x[n[row] >= min_words]
-            np.add.at(counts, bounded.slot(x, COUNT_BITS), 1)
+            np.add.at(counts, bounded.slot(x, bits), 1)
             hot += np.bincount(bounded.slot(x, HOT_BITS), minlength=len(hot)).astype(np.uint32)
-            keep = np.flatnonzero(n >= max(min_words, width))
-            seq = sequence_hash(h, off)[keep].view(np.int64)
             doc = b.column(0).take(pa.array(keep))
             none = pa.nulls(len(keep), pa.int32())
             yield pa.RecordBatch.from_arrays([doc, pa.array(seq), none, none, pa.nulls(len(keep), pa.binary())], names=["doc", "seq", "block", "salt", "data"])
@@ -99,7 +110,7 @@ def _scan(width: int, min_words: int):
     return scan
 
 
-def _windows(width: int, min_words: int, t: float, buckets: int, counts, copies, hot: int):
+def _windows(width: int, min_words: int, t: float, buckets: int, bits: int, counts, copies, hot: int):
     """Packed entries of the regions that each text is replicated into.
 
     An entry has 3 bytes of the pivot's hash (the bucket holds more of it), 5 of the
@@ -113,16 +124,16 @@ def _windows(width: int, min_words: int, t: float, buckets: int, counts, copies,
             h, off = words(b.column(1).to_pylist())
             n_words = np.diff(off)
             use = n_words >= max(min_words, width)
+            x, row, _ = shingles(h, off, width)
             if len(seqs):
-                seq = sequence_hash(h, off).view(np.int64)
+                seq = _class_hash(h, off, x, row)
                 at = np.minimum(np.searchsorted(seqs, seq), len(seqs) - 1)
                 use &= ~((seqs[at] == seq) & (reps[at] != doc))
-            x, row, _ = shingles(h, off, width)
             m = use[row]
             x, row = distinct(x[m], row[m])
             if not len(x):
                 continue
-            freq = table[bounded.slot(x, COUNT_BITS)].astype(np.int64)
+            freq = table[bounded.slot(x, bits)].astype(np.int64)
             o = np.lexsort((x, freq, row))
             x, row, freq = x[o], row[o], freq[o]
             n = np.bincount(row, minlength=len(doc))
@@ -144,9 +155,11 @@ def _windows(width: int, min_words: int, t: float, buckets: int, counts, copies,
                 one = np.repeat(at, later)
                 two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(later) - later, later)
                 pair = mix(x[one] * U(0x9E3779B97F4A7C15) + x[two])
-                x = np.concatenate((x[~frequent], pair))
-                row, rank, size = (np.concatenate((v[~frequent], v[one])) for v in (row, rank, size))
-                weight = np.concatenate((weight[~frequent], np.full(len(one), SHARED)))
+                # A set so small that a partner may share one shingle only stays in the region of {s} too.
+                plain = ~frequent | (np.ceil(t * size - 1e-9) < 2)
+                x = np.concatenate((x[plain], pair))
+                row, rank, size = (np.concatenate((v[plain], v[one])) for v in (row, rank, size))
+                weight = np.concatenate((weight[plain], np.full(len(one), SHARED)))
             x = mix(x)
             bucket = ((x >> U(32)) % U(buckets)).astype(np.int64)
             packed = np.empty((len(x), _ENTRY), np.uint8)
@@ -225,9 +238,10 @@ def similar_texts(df: DataFrame, key: str, text: str, width: int = 5, threshold:
         F.col(text).isNotNull() & F.col(key).isNotNull()
     )
     texts = base.select("doc", "text")
-    scanned = materialize(texts.mapInArrow(_scan(width, min_words), "doc long, seq long, block int, salt int, data binary"), "near-scan")
+    bits = bounded.counter_bits(texts.count())
+    scanned = materialize(texts.mapInArrow(_scan(width, min_words, bits), "doc long, seq long, block int, salt int, data binary"), "near-scan")
     blocks = scanned.where("block is not null").select("block", "salt", "data")
-    table = bounded.collect_blocks(blocks.where(F.col("block") < _HOT_BLOCK), 1 << COUNT_BITS, "uint8", add=True)
+    table = bounded.collect_blocks(blocks.where(F.col("block") < _HOT_BLOCK), 1 << bits, "uint8", add=True)
     hot_table = bounded.collect_blocks(blocks.where(F.col("block") >= _HOT_BLOCK).withColumn("block", F.col("block") - _HOT_BLOCK), 1 << HOT_BITS, "uint32", add=True)
     docs = scanned.where("doc is not null").select("doc", "seq").distinct()
     total = docs.count()
@@ -241,7 +255,7 @@ def similar_texts(df: DataFrame, key: str, text: str, width: int = 5, threshold:
     instances = int(hot_table.sum(dtype=np.uint64))
     hot = max(5000, 8 * (instances >> HOT_BITS))
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 64, instances // 1_000_000)
-    entries = texts.mapInArrow(_windows(width, min_words, threshold, buckets, counts, copies, hot), "bucket int, data binary")
+    entries = texts.mapInArrow(_windows(width, min_words, threshold, buckets, bits, counts, copies, hot), "bucket int, data binary")
     raw = entries.groupBy("bucket").applyInArrow(_region_of(threshold), "a long, b long, w int")
     candidates = materialize(raw.groupBy("a", "b").agg(F.sum("w").alias("w")).where(F.col("w") >= SHARED).select("a", "b"), "near-candidates")
     ends = candidates.select(F.col("a").alias("doc")).unionByName(candidates.select(F.col("b").alias("doc")))

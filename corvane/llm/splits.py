@@ -24,32 +24,30 @@ from corvane.llm import bounded
 from corvane.llm.kernels import distinct, jaccard, shingles, words
 from corvane.llm.seedjoin import candidates, expand, numbered, query_classes, with_texts
 
-#: Counters of the segments' frequencies, as a power of two; one byte each.
-COUNT_BITS = 22
 #: Segments (l above) that a pair must share.
 SHARED = 4
 
 
-def _counts(width: int):
+def _counts(width: int, bits: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table = np.zeros(1 << COUNT_BITS, np.uint32)
+        table = np.zeros(1 << bits, np.uint32)
         for b in batches:
             x, _, _ = shingles(*words(b.column(0).to_pylist()), width)
-            np.add.at(table, bounded.slot(x, COUNT_BITS), 1)
+            np.add.at(table, bounded.slot(x, bits), 1)
         yield bounded.blocks_of(np.minimum(table, 255).astype(np.uint8), TaskContext.get().partitionId())
 
     return count
 
 
-def _rarest_segments(width: int, t: float, counts):
+def _rarest_segments(width: int, t: float, bits: int, counts):
     """The k + SHARED rarest segments of each row."""
 
     def seeds(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x, row, _ = shingles(h, off, width)
         x, row = distinct(x, row)
-        freq = counts.value[bounded.slot(x, COUNT_BITS)]
+        freq = counts.value[bounded.slot(x, bits)]
         o = np.lexsort((x, freq, row))
         x, row = x[o], row[o]
         n = np.bincount(row, minlength=len(off) - 1)
@@ -148,12 +146,13 @@ def split_overlaps(
     spark = training.sparkSession
     q, c = numbered(evaluation, evaluation_key, evaluation_text), numbered(training, training_key, training_text)
     classes = query_classes(q, max(min_words, width))
-    table = bounded.collect_blocks(c.select("text").mapInArrow(_counts(width), "block int, salt int, data binary"), 1 << COUNT_BITS, "uint8", add=True)
+    bits = bounded.counter_bits(c.count())
+    table = bounded.collect_blocks(c.select("text").mapInArrow(_counts(width, bits), "block int, salt int, data binary"), 1 << bits, "uint8", add=True)
     counts = spark.sparkContext.broadcast(table)
     allowed = (F.col("c.n") >= threshold * F.col("q.n") - 1e-6) & (F.col("q.n") >= threshold * F.col("c.n") - 1e-6)
     # Texts of few distinct segments may share fewer.
     least = F.least(F.lit(SHARED), F.ceil(threshold * F.col("n") - 1e-9))
-    pairs = candidates(classes, c, _rarest_segments(width, threshold, counts), _substrings(width), allowed, max(min_words, width), "split", least)
+    pairs = candidates(classes, c, _rarest_segments(width, threshold, bits, counts), _substrings(width), allowed, max(min_words, width), "split", least)
     found = with_texts(pairs, classes, c).mapInArrow(_verify(width, threshold, min_words), "doc long, query long, overlap double, edits long")
     best = found.groupBy("doc", "query").agg(F.max("overlap").alias("overlap"), F.min("edits").alias("edits"))
     return expand(best, classes, c)
