@@ -52,9 +52,9 @@ COPIES = 64
 #: Most classes whose list may be sent to all executors (16 bytes each).
 MOST_CLASSES = 1 << 20
 #: Rounded-down sizes and positions, so that one byte holds them.
-_SCALE = np.unique(np.floor(1.06 ** np.arange(1, 400)).astype(np.int64))
-_SCALE = np.concatenate(([0], _SCALE[_SCALE > 0]))[:250]
-_ENTRY = 11
+_SCALE = np.unique(np.floor(1.09 ** np.arange(1, 400)).astype(np.int64))
+_SCALE = np.concatenate(([0], _SCALE[_SCALE > 0]))[:128]
+_ENTRY = 10
 
 
 def _code(n: np.ndarray) -> np.ndarray:
@@ -114,7 +114,8 @@ def _windows(width: int, min_words: int, t: float, buckets: int, bits: int, coun
     """Packed entries of the regions that each text is replicated into.
 
     An entry has 3 bytes of the pivot's hash (the bucket holds more of it), 5 of the
-    text's number, and one each for its size, the pivot's position and the weight.
+    text's number, one for its size and one for the pivot's position with the weight as
+    its highest bit.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +166,7 @@ def _windows(width: int, min_words: int, t: float, buckets: int, bits: int, coun
             packed = np.empty((len(x), _ENTRY), np.uint8)
             packed[:, :3] = x.view(np.uint8).reshape(-1, 8)[:, :3]
             packed[:, 3:8] = doc[row].view(np.uint8).reshape(-1, 8)[:, 3:]
-            packed[:, 8], packed[:, 9], packed[:, 10] = _code(size), _code(rank), weight
+            packed[:, 8], packed[:, 9] = _code(size), _code(rank) | np.where(weight > 1, 128, 0).astype(np.uint8)
             o = np.argsort(bucket, kind="stable")
             bucket, packed = bucket[o], packed[o]
             cut = np.flatnonzero(np.diff(bucket)) + 1
@@ -189,7 +190,7 @@ def _join_region(t: float):
         wide = np.zeros((len(e), 8), np.uint8)
         wide[:, 3:] = e[:, 3:8]
         doc = wide.view(np.int64).ravel()
-        size, pos, weight = e[:, 8], e[:, 9], e[:, 10]
+        size, pos, weight = e[:, 8], e[:, 9] & 127, np.where(e[:, 9] & 128, SHARED, 1)
         live, d = np.arange(len(e)), 0
         while len(live):
             d += 1
@@ -221,18 +222,9 @@ def _verify(width: int, t: float, min_words: int):
     return verify
 
 
-def similar_texts(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, min_words: int = 15) -> tuple[DataFrame, DataFrame]:
-    """Pairs of similar texts and the membership of rows in classes.
-
-    Returns `pairs(a, b, overlap)` between numbers of texts and
-    `members(doc, rep, key)`: row `key` has the text number `doc` and counts as `rep`,
-    itself or the one that stands for its class of equal texts. Two different rows with
-    the same `rep` that isn't their own are copies.
-
-    Null and empty texts and those under `min_words` words are in neither. A key that
-    occurs several times counts once if its text is the same. Other columns are ignored.
-    The output is the same at every run.
-    """
+def _join(df: DataFrame, key: str, text: str, width: int, threshold: float, min_words: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None, np.ndarray]:
+    """Similar pairs (a, b, overlap) of texts, rows (doc, key), texts (doc, seq), the large
+    classes (seq, rep) if there are any, and the map of texts with candidates."""
     spark = df.sparkSession
     base = df.select(F.expr(f"shiftleft(xxhash64(`{key}`), 24)").alias("doc"), F.col(text).cast("string").alias("text"), F.col(key).alias("key")).where(
         F.col(text).isNotNull() & F.col(key).isNotNull()
@@ -267,11 +259,31 @@ def similar_texts(df: DataFrame, key: str, text: str, width: int = 5, threshold:
         .select("a", "b", "text_a", "text_b")
     )
     pairs = both.mapInArrow(_verify(width, threshold, min_words), "a long, b long, overlap double").dropDuplicates(["a", "b"])
-    rep = F.lit(None).cast("long")
-    members = docs.join(classes.select("seq", F.col("rep").alias("class_rep")), "seq", "left") if many else docs.withColumn("class_rep", rep)
-    members = members.select("doc", F.coalesce("class_rep", "doc").alias("rep"))
-    keys = base.select("doc", "key").distinct()
-    return pairs, members.join(keys, "doc")
+    return pairs, base.select("doc", "key"), docs, classes if many else None, marked
+
+
+def _members(keys: DataFrame, docs: DataFrame, classes: DataFrame | None) -> DataFrame:
+    if classes is None:
+        rep = docs.select("doc", F.col("doc").alias("rep"))
+    else:
+        rep = docs.join(classes.withColumnRenamed("rep", "class_rep"), "seq", "left").select("doc", F.coalesce("class_rep", "doc").alias("rep"))
+    return rep.join(keys.distinct(), "doc")
+
+
+def similar_texts(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, min_words: int = 15) -> tuple[DataFrame, DataFrame]:
+    """Pairs of similar texts and the membership of rows in classes.
+
+    Returns `pairs(a, b, overlap)` between numbers of texts and
+    `members(doc, rep, key)`: row `key` has the text number `doc` and counts as `rep`,
+    itself or the one that stands for its class of equal texts. Two different rows with
+    the same `rep` that isn't their own are copies.
+
+    Null and empty texts and those under `min_words` words are in neither. A key that
+    occurs several times counts once if its text is the same. Other columns are ignored.
+    The output is the same at every run.
+    """
+    pairs, keys, docs, classes, _ = _join(df, key, text, width, threshold, min_words)
+    return pairs, _members(keys, docs, classes)
 
 
 def _region_of(t: float):
@@ -285,7 +297,13 @@ def _region_of(t: float):
 
 def similar_pairs(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, min_words: int = 15) -> DataFrame:
     """All pairs of keys (a < b) whose texts are similar, equal texts included, each once."""
-    pairs, members = similar_texts(df, key, text, width, threshold, min_words)
+    pairs, keys, docs, classes, marked = _join(df, key, text, width, threshold, min_words)
+    if classes is None:
+        # Only rows of texts that have candidates can be in a pair.
+        keys = bounded.keep_marked(keys, "doc", marked, MARK_BITS).distinct()
+        named = pairs.join(keys.select(F.col("doc").alias("a"), F.col("key").alias("key_a")), "a").join(keys.select(F.col("doc").alias("b"), F.col("key").alias("key_b")), "b")
+        return named.where("key_a <> key_b").select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
+    members = _members(keys, docs, classes)
     left = members.select(F.col("rep").alias("a"), F.col("key").alias("key_a"))
     right = members.select(F.col("rep").alias("b"), F.col("key").alias("key_b"))
     across = pairs.select("a", "b").join(left, "a").join(right, "b").select("key_a", "key_b")

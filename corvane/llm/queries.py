@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -213,15 +214,15 @@ _SETS = r"""
 
 _P4 = f"""
 with {_SETS.format(name="s", key="passage_id", words=_WORDS.format("text"), table="passages", text="text", where="true")},
-c as (select a.key as passage_a, b.key as passage_b, count(*) as both from s a join s b using (g) where a.key < b.key group by all)
-select passage_a, passage_b from c join s_n x on x.key = passage_a join s_n y on y.key = passage_b where both >= 0.6 * (x.n + y.n - both) - 1e-9
+c as (select a.key as passage_a, b.key as passage_b, count(*) as common_ from s a join s b using (g) where a.key < b.key group by all)
+select passage_a, passage_b from c join s_n x on x.key = passage_a join s_n y on y.key = passage_b where common_ >= 0.6 * (x.n + y.n - common_) - 1e-9
 """
 
 _P5 = f"""
 with {_SETS.format(name="e", key="question_id", words=_WORDS.format("question"), table="questions", text="question", where="(question_id like 'dev-%' or question_id like 'test-%')")},
 {_SETS.format(name="t", key="k", words=_WORDS.format("question"), table="(select question_id as k, question from questions where question_id like 'train-%' union all select case_id, question from memory_cases)", text="question", where="true").strip()},
-c as (select a.key as ka, b.key as kb, count(*) as both from e a join t b using (g) group by all)
-select least(ka, kb) as key_a, greatest(ka, kb) as key_b from c join e_n x on x.key = ka join t_n y on y.key = kb where both >= 0.6 * (x.n + y.n - both) - 1e-9
+c as (select a.key as ka, b.key as kb, count(*) as common_ from e a join t b using (g) group by all)
+select least(ka, kb) as key_a, greatest(ka, kb) as key_b from c join e_n x on x.key = ka join t_n y on y.key = kb where common_ >= 0.6 * (x.n + y.n - common_) - 1e-9
 """
 
 _P3 = """
@@ -233,5 +234,26 @@ where x is not null and not isnan(x) group by all
 """
 
 
+def _p8() -> str:
+    """The forms by string functions: composed, translated character by character, composed again."""
+    pairs: dict[str, str] = {}
+    for line in canonical.ALIKE.strip().splitlines():
+        for x in line[2:].split():
+            pairs.setdefault(x, line[0])
+    for c in range(0x370, 0x530):
+        form = unicodedata.normalize("NFC", "".join(pairs.get(x, x) for x in unicodedata.normalize("NFD", chr(c))))
+        if len(form) == 1 and form != chr(c):
+            pairs[chr(c)] = form
+    pairs |= {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+    pairs |= {chr(int(c, 16)): " " for c in canonical.BLANKS.split()}
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    hidden = "[" + "".join(rf"\x{{{a}}}-\x{{{b}}}" for a, b in (r.split() for r in canonical.INVISIBLE.split(", ")) if a not in ("0000", "000E")) + "]"
+    form = f"nfc_normalize(translate(nfc_normalize(regexp_replace(text, '{hidden}', '', 'g')), {quote(''.join(pairs))}, {quote(''.join(pairs.values()))}))"
+    for c in range(0xFB00, 0xFB05):
+        form = f"replace({form}, {quote(chr(c))}, {quote(unicodedata.normalize('NFKD', chr(c)))})"
+    return f"""with f as (select doc_id, text, {form} as form from documents where text is not null)
+select distinct a.doc_id as doc_a, b.doc_id as doc_b from f a join f b using (form) where a.doc_id < b.doc_id and a.text <> b.text and trim(form, ' ' || chr(10)) <> ''"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p3_within": _P3, "p4_found": _P4, "p5_found": _P5}
+    return {"p2_found": _P2, "p3_within": _P3, "p4_found": _P4, "p5_found": _P5, "p8_found": _p8()}
