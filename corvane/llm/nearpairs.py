@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import bounded
-from corvane.llm.kernels import U, distinct, jaccard, mix, sequence_hash, shingles, words
+from corvane.llm.kernels import U, jaccard, mix, sequence_hash, shingles, words
 from corvane.session import materialize
 
 #: Common pivots a pair must share.
@@ -110,6 +110,24 @@ def _scan(width: int, min_words: int, bits: int):
     return scan
 
 
+def _in_order(x: np.ndarray, row: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of each row by frequency and value, in one sort of a joint key.
+
+    The key holds half of the value; where that makes two values look equal, which is
+    rare, the batch is sorted by all of it.
+    """
+    joint = row.astype(U) << U(40) | freq.astype(U) << U(32) | x >> U(32)
+    o = np.argsort(joint)
+    joint, y = joint[o], x[o]
+    same = joint[1:] == joint[:-1]
+    if (y[1:][same] != y[:-1][same]).any():
+        o = np.lexsort((x, freq, row))
+        y = x[o]
+        same = (y[1:] == y[:-1]) & (row[o][1:] == row[o][:-1])
+    keep = np.concatenate(([True], ~same)) if len(y) else np.zeros(0, bool)
+    return y[keep], row[o][keep]
+
+
 def _windows(width: int, min_words: int, t: float, buckets: int, bits: int, counts, copies, hot: int):
     """Packed entries of the regions that each text is replicated into.
 
@@ -131,19 +149,16 @@ def _windows(width: int, min_words: int, t: float, buckets: int, bits: int, coun
                 at = np.minimum(np.searchsorted(seqs, seq), len(seqs) - 1)
                 use &= ~((seqs[at] == seq) & (reps[at] != doc))
             m = use[row]
-            x, row = distinct(x[m], row[m])
+            x, row = _in_order(x[m], row[m], table[bounded.slot(x[m], bits)])
             if not len(x):
                 continue
-            freq = table[bounded.slot(x, bits)].astype(np.int64)
-            o = np.lexsort((x, freq, row))
-            x, row, freq = x[o], row[o], freq[o]
             n = np.bincount(row, minlength=len(doc))
             first = np.cumsum(n) - n
             rank = np.arange(len(x)) - first[row]
             size = n[row]
             length = np.minimum(size, size - np.ceil(t * size - 1e-9).astype(np.int64) + SHARED)
             m = rank < length
-            x, row, rank, size, freq = x[m], row[m], rank[m], size[m], freq[m]
+            x, row, rank, size = x[m], row[m], rank[m], size[m]
             frequent = hot_table[bounded.slot(x, HOT_BITS)] > hot
             # Texts of few distinct shingles may share fewer than SHARED.
             few = np.ceil(t * size - 1e-9) < SHARED
