@@ -1,14 +1,16 @@
 """Summaries of fixed size over tables of any size.
 
 A summary is an array of 2^bits counters or bits. Every task folds its rows into an
-array of its own and hands out the blocks that are not blank; the blocks are added
-up (or united) by key in two rounds, so no task receives more than a share of them.
+array of its own and hands out the blocks that are not blank, deflated; the blocks are
+added up (or united) in two rounds, first those of 64 tasks, so no task receives more
+than a share of them.
 Only the finished array, whose size is fixed by `bits` and never by the data, goes
 to the driver and out again as a broadcast.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,21 +29,21 @@ def blocks_of(array: np.ndarray, salt: int) -> pa.RecordBatch:
     raw = array.view(np.uint8).reshape(-1, BLOCK) if array.nbytes >= BLOCK else array.view(np.uint8).reshape(1, -1)
     used = np.flatnonzero(raw.any(axis=1))
     return pa.RecordBatch.from_arrays(
-        [pa.array(used, pa.int32()), pa.array(np.full(len(used), salt % 16), pa.int32()), pa.array([raw[i].tobytes() for i in used], pa.binary())],
+        [pa.array(used, pa.int32()), pa.array(np.full(len(used), salt // 64), pa.int32()), pa.array([zlib.compress(raw[i].tobytes(), 1) for i in used], pa.binary())],
         names=["block", "salt", "data"],
     )
 
 
 def _merge(dtype: str, add: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(rows["data"].iloc[0], dtype).copy()
+        total = np.frombuffer(zlib.decompress(rows["data"].iloc[0]), dtype).copy()
         for data in rows["data"].iloc[1:]:
-            other = np.frombuffer(data, dtype)
+            other = np.frombuffer(zlib.decompress(data), dtype)
             if add:
                 total = np.minimum(total.astype(np.uint64) + other, np.iinfo(dtype).max).astype(dtype)
             else:
                 total |= other
-        return pd.DataFrame({"block": [key[0]], "salt": [0], "data": [total.tobytes()]})
+        return pd.DataFrame({"block": [key[0]], "salt": [0], "data": [zlib.compress(total.tobytes(), 1)]})
 
     return merge
 
@@ -54,7 +56,8 @@ def collect_blocks(parts: DataFrame, length: int, dtype: str, add: bool) -> np.n
     out = np.zeros(length, dtype)
     raw = out.view(np.uint8)
     for r in rows:
-        raw[r["block"] * BLOCK : r["block"] * BLOCK + len(r["data"])] = np.frombuffer(r["data"], np.uint8)
+        data = np.frombuffer(zlib.decompress(r["data"]), np.uint8)
+        raw[r["block"] * BLOCK : r["block"] * BLOCK + len(data)] = data
     return out
 
 
