@@ -29,6 +29,11 @@ def build(docs: DataFrame, key: str, text: str) -> Index:
     tokens = docs.select(F.col(key).alias("doc_id"), word_tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
     lengths = tokens.select("doc_id", F.size("w").cast("bigint").alias("len"))
     postings = tokens.select("doc_id", F.explode("w").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return from_parts(postings, lengths)
+
+
+def from_parts(postings: DataFrame, lengths: DataFrame) -> Index:
+    """An index over postings and lengths, with their statistics."""
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     totals = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
     return Index(postings, lengths, terms, totals)

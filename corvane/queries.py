@@ -161,8 +161,9 @@ def rows_joined(s, d):
 
 
 def _index(s, d) -> bm25.Index:
+    """The index written once; term and corpus statistics come from what was written."""
     i = bm25.build(_searched(_passages(s, d)), "passage_id", "text")
-    return bm25.Index(materialize(i.postings, "postings"), i.lengths, i.terms, i.totals)
+    return bm25.from_parts(materialize(i.postings, "postings"), materialize(i.lengths, "lengths"))
 
 
 def bm25_term_df(s, d):
