@@ -17,3 +17,13 @@ def test_long_texts_without_content_are_empty():
     assert kinds(texts) == ["empty"] * len(texts)
     sound = ["No explanation. " * 5 + "Gout is the cause of the pain.", "A bad decade.", "No explanation fits the rash and the fever of the teacher but Lyme disease does fit."]
     assert "empty" not in kinds(sound)
+
+
+def test_answers_in_another_script_or_language():
+    russian = "Мужчина 40 лет, лихорадка, сыпь. Вероятный диагноз?"
+    texts = ["Диагноз: острый инфаркт миокарда.", "诊断是急性心肌梗死。", "Οξύ έμφραγμα του μυοκαρδίου.", "احتشاء عضلة القلب الحاد.", "Подагра. Final Answer: B", "Es ist die Gicht.", "La gotta è la causa del dolore, perché il ginocchio non è rosso e la febbre è alta."]
+    assert kinds(texts) == ["language"] * len(texts)
+    assert kinds(["Acute myocardial infarction."], russian) == ["language"]
+    assert kinds(["Острый инфаркт миокарда."], russian) == [None]
+    assert kinds(["TNF-α and IL-1β explain it.", "The Greek word ἀρθρῖτις means inflamed joint.", "Ampicillin plus gentamicin.", "β.", "50 %."]) == [None] * 5
+    assert kinds(["Gout.", "Подагра."], "12 / 5?") == [None, None]
