@@ -322,10 +322,10 @@ def query_prune(s, d):
 
 
 def synonym_expand(s, d):
-    """Over stems followed by a term that has synonyms."""
+    """Over whole stems, each followed by a term that has synonyms."""
     words = F.array(*[F.lit(k) for k, _ in T.SYNONYMS])
     term = F.element_at(words, (F.substring_index("question_id", "-", -1).cast("int") % len(T.SYNONYMS)) + 1)
-    return _questions(s, d).select("question_id", T.expand_synonyms(F.concat(F.substring("question", 1, 40), F.lit(" "), term)).alias("expanded"))
+    return _questions(s, d).select("question_id", T.expand_synonyms(F.concat("question", F.lit(" "), term)).alias("expanded"))
 
 
 def entities_a(s, d):
@@ -413,7 +413,7 @@ def halluc_risk(s, d):
 
 
 def fast_path(s, d):
-    return _questions(s, d).select("question_id", tools.is_direct(F.concat(F.substring("question", 1, 60), F.lit(" treatment for"))).alias("direct"))
+    return _questions(s, d).select("question_id", tools.is_direct(F.col("question")).alias("direct"))
 
 
 def search_strategy(s, d):
@@ -439,9 +439,12 @@ def option_listing(s, d):
 
 
 def options_mapped(s, d):
-    q = _questions(s, d).where("options is not null and map_contains_key(options, 'A') and map_contains_key(options, 'B')").select("question_id", F.col("options")["A"].alias("ending0"), F.col("options")["B"].alias("ending1"), (F.length("question") % 2).alias("label"))
-    options, letter = dataset.options_from_endings(["ending0", "ending1"], "label")
-    return q.withColumn("o", options).select("question_id", F.col("o")["A"].alias("a"), F.col("o")["B"].alias("b"), letter.alias("answer"))
+    """All endings of each question as options, null where it has fewer, and the letter at the answer's place."""
+    endings = [f"ending{i}" for i in range(len(LETTERS))]
+    label = F.array_position(T.strings(LETTERS), F.upper(F.trim("answer"))) - 1
+    q = _questions(s, d).where("options is not null").select("question_id", *[F.col("options")[x].alias(e) for x, e in zip(LETTERS, endings, strict=True)], F.when(label >= 0, label).alias("label"))
+    options, letter = dataset.options_from_endings(endings, "label")
+    return q.withColumn("o", options).select("question_id", *[F.col("o")[x].alias(x.lower()) for x in LETTERS], F.when(F.col("label").isNotNull(), letter).alias("answer"))
 
 
 # samples and memory
