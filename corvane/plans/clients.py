@@ -50,7 +50,7 @@ class ScriptedClient:
             text = s(prompt) if callable(s) else s
         else:
             h = int(hashlib.sha256(f"{role}\n{prompt}".encode()).hexdigest(), 16)
-            question = prompt.split("Question:\n", 1)[-1][:60].replace("\n", " ")
+            question = " ".join(prompt.split("Question:\n", 1)[-1].rsplit("\n\nFailed query:\n", 1)[0].splitlines())
             text = {
                 "router": f"Search Query: {question}",
                 "router_reformulate": f"Search Query: {question} again",

@@ -570,17 +570,16 @@ def _engine(s, d, **settings) -> pipeline.Engine:
     return pipeline.Engine(s, config, clients.ScriptedClient, look_up, read_table(s, d, "memory_cases"))
 
 
-def _flow(variant: str, searches: bool, **settings) -> Query:
+def _flow(variant: str, **settings) -> Query:
     def run(s, d):
-        q = _searches(s, d) if searches else _held_out(_questions(s, d))
-        r = pipeline.answer(_engine(s, d, **settings), q, variant)
+        r = pipeline.answer(_engine(s, d, **settings), _held_out(_questions(s, d)), variant)
         return r.select("question_id", "variant", "answer", "is_valid", "total_tokens", "n_calls", "trace.decision")
 
     return run
 
 
-variant_v0, variant_v1, variant_v2, variant_v3, variant_v4 = (_flow(v, v != "V0") for v in VARIANTS)
-variant_v2_advanced = _flow("V2", True, rag_enable_backtracking=True, rag_enable_debate=True, rag_use_multi_query=True, rag_adaptive_routing=True, rag_heuristic_compression=True)
+variant_v0, variant_v1, variant_v2, variant_v3, variant_v4 = (_flow(v) for v in VARIANTS)
+variant_v2_advanced = _flow("V2", rag_enable_backtracking=True, rag_enable_debate=True, rag_use_multi_query=True, rag_adaptive_routing=True, rag_heuristic_compression=True)
 
 
 def stream_daily(s, d):
