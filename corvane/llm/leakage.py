@@ -1,10 +1,9 @@
 """Passages of held-out texts inside a corpus, by spaced-seed hashing.
 
 A mask lays a window over consecutive words and ignores some of its positions, so
-that a substituted word there doesn't change the hash. Corpus windows are hashed at
-every position and query windows at every `stride`-th. As span + stride - 1 <= run,
-each run of `run` equal words holds an aligned window, so no such run is missed; the
-masks beyond that find overlaps with substitutions.
+that a substituted word there doesn't change the hash. Windows of both sides are hashed
+at every position, so each run of `span` equal words is found, and of the overlaps
+with substitutions all that hold a window in which only ignored positions differ.
 """
 
 from __future__ import annotations
@@ -104,7 +103,8 @@ def leaked_passages(corpus: DataFrame, corpus_key: str, corpus_text: str, tests:
     `run` is the longest run of equal consecutive words; `span` the longest overlap
     with single substitutions, of which `same` words are equal. A pair is returned if
     run or span reaches the parameter `run`. All pairs with an equal run that long are
-    found; of the others those that share a masked window.
+    found, and, at a `run` of 20, all whose 20 words hold one substitution; of overlaps with
+    more, those that share a masked window.
 
     Null texts and keys, and test texts with fewer than `run` words, give no row. A key
     loaded twice counts once; of two texts under one key each is searched.
@@ -114,7 +114,7 @@ def leaked_passages(corpus: DataFrame, corpus_key: str, corpus_text: str, tests:
         raise ValueError(f"run must be at least the masks' span of {span}")
     c, q = numbered(corpus, corpus_key, corpus_text), numbered(tests, test_key, test_text)
     classes = query_classes(q, run)
-    pairs = candidates(classes, c, spaced_seeds(masks, run - span + 1), spaced_seeds(masks, 1), None, span, "leak")
+    pairs = candidates(classes, c, spaced_seeds(masks, 1), spaced_seeds(masks, 1), None, span, "leak")
     names = "run int, span int, same int, q_start int, c_start int, q_words int"
     found = with_texts(pairs, classes, c).mapInArrow(_measure(gap), f"doc long, query long, {names}").where(F.greatest("run", "span") >= run)
     best = found.groupBy("doc", "query").agg(F.max(F.struct("run", "span", "same", "q_start", "c_start", "q_words")).alias("m")).select("doc", "query", "m.*")

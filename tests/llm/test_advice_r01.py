@@ -1,6 +1,6 @@
 import pyarrow as pa
 
-from corvane.llm import quality
+from corvane.llm import leakage, quality
 
 STEM = "A 40-year-old teacher has fever and a rash on the arm with pain in the joints for two weeks. Which of the following is the most likely diagnosis here?"
 
@@ -27,3 +27,27 @@ def test_answers_in_another_script_or_language():
     assert kinds(["Острый инфаркт миокарда."], russian) == [None]
     assert kinds(["TNF-α and IL-1β explain it.", "The Greek word ἀρθρῖτις means inflamed joint.", "Ampicillin plus gentamicin.", "β.", "50 %."]) == [None] * 5
     assert kinds(["Gout.", "Подагра."], "12 / 5?") == [None, None]
+
+
+def test_substituted_overlaps(spark):
+    """Every overlap of 20 words with one substitution, at any place of the stem."""
+    stems, corpus = [], []
+    for i in range(90):
+        stem = [f"q{i}w{j}" for j in range(20 + i % 6)]
+        at, n = i % 5 if i % 6 == 5 else 0, 20
+        part = stem[at : at + n]
+        part[1 + i % 18] = "changed"
+        stems.append((f"s{i}", " ".join(stem)))
+        corpus.append((f"c{i}", " ".join([f"before{i}"] * (i % 4) + part + [f"after{i}"] * 3)))
+    got = leakage.leaked_passages(spark.createDataFrame(corpus, "id string, text string"), "id", "text", spark.createDataFrame(stems, "id string, text string"), "id", "text").collect()
+    want = set()
+    for s, q in stems:
+        for c, t in corpus:
+            a, b = q.split(), t.split()
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    e = [i for i in range(min(len(a) - x, len(b) - y)) if a[x + i] == b[y + i]]
+                    if e and e[0] == 0 and e[-1] + 1 >= 20 and all(j - i <= 2 for i, j in zip(e, e[1:])):
+                        want.add((s, c))
+    assert len(want) == 90 and {(r["query_key"], r["corpus_key"]) for r in got} == want
+    assert {(r["span"], r["same"]) for r in got} == {(20, 19)}
