@@ -54,7 +54,7 @@ MOST_CLASSES = 1 << 20
 #: Rounded-down sizes and positions, so that one byte holds them.
 _SCALE = np.unique(np.floor(1.09 ** np.arange(1, 400)).astype(np.int64))
 _SCALE = np.concatenate(([0], _SCALE[_SCALE > 0]))[:128]
-_ENTRY = 10
+_ENTRY = 13
 
 
 def _code(n: np.ndarray) -> np.ndarray:
@@ -131,7 +131,7 @@ def _in_order(x: np.ndarray, row: np.ndarray, freq: np.ndarray) -> tuple[np.ndar
 def _windows(width: int, min_words: int, t: float, buckets: int, bits: int, counts, copies, hot: int):
     """Packed entries of the regions that each text is replicated into.
 
-    An entry has 3 bytes of the pivot's hash (the bucket holds more of it), 5 of the
+    An entry has 3 bytes of the pivot's hash (the bucket holds more of it), 8 of the
     text's number, one for its size and one for the pivot's position with the weight as
     its highest bit.
     """
@@ -180,8 +180,8 @@ def _windows(width: int, min_words: int, t: float, buckets: int, bits: int, coun
             bucket = ((x >> U(32)) % U(buckets)).astype(np.int64)
             packed = np.empty((len(x), _ENTRY), np.uint8)
             packed[:, :3] = x.view(np.uint8).reshape(-1, 8)[:, :3]
-            packed[:, 3:8] = doc[row].view(np.uint8).reshape(-1, 8)[:, 3:]
-            packed[:, 8], packed[:, 9] = _code(size), _code(rank) | np.where(weight > 1, 128, 0).astype(np.uint8)
+            packed[:, 3:11] = doc[row].view(np.uint8).reshape(-1, 8)
+            packed[:, 11], packed[:, 12] = _code(size), _code(rank) | np.where(weight > 1, 128, 0).astype(np.uint8)
             o = np.argsort(bucket, kind="stable")
             bucket, packed = bucket[o], packed[o]
             cut = np.flatnonzero(np.diff(bucket)) + 1
@@ -200,12 +200,10 @@ def _join_region(t: float):
         data = b"".join(x for b in rows for x in b.column("data").to_pylist())
         e = np.frombuffer(data, np.uint8).reshape(-1, _ENTRY)
         key = e[:, 0].astype(np.uint32) | e[:, 1].astype(np.uint32) << 8 | e[:, 2].astype(np.uint32) << 16
-        o = np.lexsort((e[:, 8], key))
+        o = np.lexsort((e[:, 11], key))
         e, key = e[o], key[o]
-        wide = np.zeros((len(e), 8), np.uint8)
-        wide[:, 3:] = e[:, 3:8]
-        doc = wide.view(np.int64).ravel()
-        size, pos, weight = e[:, 8], e[:, 9] & 127, np.where(e[:, 9] & 128, SHARED, 1)
+        doc = np.ascontiguousarray(e[:, 3:11]).view(np.int64).ravel()
+        size, pos, weight = e[:, 11], e[:, 12] & 127, np.where(e[:, 12] & 128, SHARED, 1)
         live, d = np.arange(len(e)), 0
         while len(live):
             d += 1
@@ -241,7 +239,7 @@ def _join(df: DataFrame, key: str, text: str, width: int, threshold: float, min_
     """Similar pairs (a, b, overlap) of texts, rows (doc, key), texts (doc, seq), the large
     classes (seq, rep) if there are any, and the map of texts with candidates."""
     spark = df.sparkSession
-    base = df.select(F.expr(f"shiftleft(xxhash64(`{key}`), 24)").alias("doc"), F.col(text).cast("string").alias("text"), F.col(key).alias("key")).where(
+    base = df.select(F.xxhash64(F.col(key)).alias("doc"), F.col(text).cast("string").alias("text"), F.col(key).alias("key")).where(
         F.col(text).isNotNull() & F.col(key).isNotNull()
     )
     texts = base.select("doc", "text")

@@ -1,6 +1,6 @@
 import pyarrow as pa
 
-from corvane.llm import leakage, quality
+from corvane.llm import leakage, nearpairs, quality
 
 STEM = "A 40-year-old teacher has fever and a rash on the arm with pain in the joints for two weeks. Which of the following is the most likely diagnosis here?"
 
@@ -51,3 +51,14 @@ def test_substituted_overlaps(spark):
                         want.add((s, c))
     assert len(want) == 90 and {(r["query_key"], r["corpus_key"]) for r in got} == want
     assert {(r["span"], r["same"]) for r in got} == {(20, 19)}
+
+
+def test_keys_with_equal_low_bits_stay_apart(spark):
+    """The hashes of k98686 and k3577747, and of k152665 and k1338274, are equal in their low 40 bits."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [("k98686", a), ("k3577747", b), ("x", a + " end"), ("y", b + " end"), ("k152665", c), ("k1338274", c + " end")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    got = {tuple(r) for r in nearpairs.similar_pairs(df, "id", "text", 3, 0.6, 15).collect()}
+    assert got == {("k98686", "x"), ("k3577747", "y"), ("k1338274", "k152665")}
+    pairs, members = nearpairs.similar_texts(df, "id", "text", 3, 0.6, 15)
+    assert pairs.count() == 3 and members.select("rep").distinct().count() == 6
