@@ -62,3 +62,10 @@ def test_keys_with_equal_low_bits_stay_apart(spark):
     assert got == {("k98686", "x"), ("k3577747", "y"), ("k1338274", "k152665")}
     pairs, members = nearpairs.similar_texts(df, "id", "text", 3, 0.6, 15)
     assert pairs.count() == 3 and members.select("rep").distinct().count() == 6
+
+
+def test_delimiters_left_open():
+    broken = ["A) Gout is unlikely (because the joint is cool.", "The rash (1) is red.\n1) It itches (at night.", "It itches) and (burns.", "The code ```x = 1 fits.", "She said “it burns and left.", 'She said "it burns and left.', "The set {a, b is red [see 1]."]
+    assert kinds(broken) == ["truncated"] * len(broken)
+    sound = ["A) Gout fits (the joint is hot).\nB) Lyme fits.", "First, 1) it burns, 2) it itches (at night).", "Values in [0, 5) are low.", "„Es brennt“, she said.", "A 6\" cut.", "((a) and (b)) hold."]
+    assert kinds(sound) == [None] * len(sound)
