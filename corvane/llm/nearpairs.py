@@ -286,17 +286,19 @@ def _members(keys: DataFrame, docs: DataFrame, classes: DataFrame | None) -> Dat
 def similar_texts(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, min_words: int = 15) -> tuple[DataFrame, DataFrame]:
     """Pairs of similar texts and the membership of rows in classes.
 
-    Returns `pairs(a, b, overlap)` between numbers of texts and
-    `members(doc, rep, key)`: row `key` has the text number `doc` and counts as `rep`,
-    itself or the one that stands for its class of equal texts. Two different rows with
-    the same `rep` that isn't their own are copies.
+    Returns `pairs(a, b, overlap)` between numbers of classes of equal texts, of any size, and
+    `members(doc, rep, key)`: row `key` has the text number `doc` and the class `rep`. Two
+    rows with the same `rep` are copies, between which no pair is listed.
 
     Null and empty texts and those under `min_words` words are in neither. A key that
     occurs several times counts once if its text is the same. Other columns are ignored.
     The output is the same at every run.
     """
-    pairs, keys, docs, classes, _ = _join(df, key, text, width, threshold, min_words)
-    return pairs, _members(keys, docs, classes)
+    pairs, keys, docs, _, _ = _join(df, key, text, width, threshold, min_words)
+    of_a, of_b = (docs.select(F.col("doc").alias(x), F.col("seq").alias(f"seq_{x}")) for x in "ab")
+    across = pairs.join(of_a, "a").join(of_b, "b").where("seq_a <> seq_b")
+    linked = across.groupBy(F.least("seq_a", "seq_b").alias("a"), F.greatest("seq_a", "seq_b").alias("b")).agg(F.max("overlap").alias("overlap"))
+    return linked, docs.withColumnRenamed("seq", "rep").join(keys.distinct(), "doc").select("doc", "rep", "key")
 
 
 def _region_of(t: float):

@@ -111,7 +111,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Each passage of at least 15 words with its group, its class of equal texts and the links of its text."""
+    """Each passage of at least 15 words with its group, its class of equal texts and the links of its class to others."""
     pairs, members = nearpairs.similar_texts(read_table(spark, d, "passages"), "passage_id", "text", width=3, threshold=0.6, min_words=15)
     pairs = materialize(pairs.select("a", "b"), "groups")
     group = connected_components(pairs, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("group_rep"))

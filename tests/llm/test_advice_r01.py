@@ -1,6 +1,7 @@
 import pyarrow as pa
 
 from corvane.llm import leakage, nearpairs, quality
+from corvane.llm import queries as llm
 
 STEM = "A 40-year-old teacher has fever and a rash on the arm with pain in the joints for two weeks. Which of the following is the most likely diagnosis here?"
 
@@ -69,3 +70,11 @@ def test_delimiters_left_open():
     assert kinds(broken) == ["truncated"] * len(broken)
     sound = ["A) Gout fits (the joint is hot).\nB) Lyme fits.", "First, 1) it burns, 2) it itches (at night).", "Values in [0, 5) are low.", "„Es brennt“, she said.", "A 6\" cut.", "((a) and (b)) hold."]
     assert kinds(sound) == [None] * len(sound)
+
+
+def test_small_classes_of_equal_passages(spark, tmp_path):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [("p1", a), ("p2", a.upper()), ("p3", a), ("p4", a + " end"), ("p5", a + " end"), ("p6", b)]
+    spark.createDataFrame(rows, "passage_id string, text string").write.parquet(str(tmp_path / "passages.parquet"))
+    got = {tuple(r) for r in llm.queries()["p4_groups"](spark, str(tmp_path)).select("passage_id", "class_id", "group_id", "links").collect()}
+    assert got == {("p1", "p1", "p1", 1), ("p2", "p1", "p1", 1), ("p3", "p1", "p1", 1), ("p4", "p4", "p1", 1), ("p5", "p4", "p1", 1), ("p6", "p6", "p6", 0)}
