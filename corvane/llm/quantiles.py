@@ -7,7 +7,8 @@ collapse at level i moves no rank by more than 2^i, and a summary adds these amo
 so it knows its own error bound. As only buffers of one level collapse, the collapses
 form a binary tree and the bound is at most n log2(n / K) / (2 K). Nothing is random.
 
-Summaries of partitions, days or any union of them merge in any order. The percentile
+Summaries of partitions, days or any union of them merge in any order; the merges of a
+group form a tree of fixed fan-in over its tasks (`merge_summaries`). The percentile
 q is the value of rank ceil(q n), at least 1, in the order of the values.
 """
 
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import materialize
+
 K = 2048
 
 
@@ -103,28 +106,42 @@ def target_rank(q: float, n: int) -> int:
 
 #: Summaries that a task holds before it hands them out.
 MOST_OPEN = 512
+#: Summaries that one merge takes in: the fan-in of the tree.
+FAN_IN = 64
+
+
+def _group_codes(columns: list[pa.Array]) -> np.ndarray:
+    """A number for each row, the same for rows with equal values (null equals null)."""
+    code = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        one = c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        code = np.unique(code * (one.max(initial=0) + 1) + one, return_inverse=True)[1]
+    return code
 
 
 def _summarize(keys: list[str], k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task = TaskContext.get().partitionId() % 16
         schema = None
         open_: dict[tuple, Summary] = {}
 
         def out() -> pa.RecordBatch:
             cols = [pa.array([key[i] for key in open_], schema.field(c).type) for i, c in enumerate(keys)]
-            return pa.RecordBatch.from_arrays([*cols, pa.array([task] * len(open_), pa.int32()), pa.array([s.to_bytes() for s in open_.values()], pa.binary())], names=[*keys, "salt", "summary"])
+            return pa.RecordBatch.from_arrays([*cols, pa.array([s.to_bytes() for s in open_.values()], pa.binary())], names=[*keys, "summary"])
 
         for b in batches:
+            if not b.num_rows:
+                continue
             schema = b.schema
-            t = pa.Table.from_batches([b])
-            groups = t.select(keys).append_column("at", pa.array(np.arange(b.num_rows))).group_by(keys).aggregate([("at", "list")])
             value = b.column("value").to_numpy(zero_copy_only=False).astype(np.float64)
-            for row in groups.to_pylist():
-                v = value[row["at_list"]]
-                open_.setdefault(tuple(row[c] for c in keys), Summary(k)).add(v[~np.isnan(v)])
+            columns = [b.column(c) for c in keys]
+            code = _group_codes(columns)
+            # One sort brings the groups together; each is then a slice.
+            order = np.argsort(code, kind="stable")
+            value, first = value[order], np.flatnonzero(np.diff(code[order], prepend=-1))
+            names = zip(*(c.take(pa.array(order[first])).to_pylist() for c in columns), strict=True)
+            for key, lo, hi in zip(names, first, [*first[1:], len(value)], strict=True):
+                v = value[lo:hi]
+                open_.setdefault(key, Summary(k)).add(v[~np.isnan(v)])
             if len(open_) > MOST_OPEN:
                 yield out()
                 open_ = {}
@@ -134,14 +151,28 @@ def _summarize(keys: list[str], k: int):
     return run
 
 
-def _merge(keys: list[str]):
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        total = Summary.from_bytes(rows["summary"].iloc[0])
-        for data in rows["summary"].iloc[1:]:
-            total.merge(Summary.from_bytes(data))
-        return rows.iloc[:1].assign(salt=0, summary=[total.to_bytes()])
+def _merge(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row for all, whatever order they come in."""
+    first, *rest = sorted(rows["summary"])
+    total = Summary.from_bytes(first)
+    for data in rest:
+        total.merge(Summary.from_bytes(data))
+    return rows.iloc[:1].assign(summary=[total.to_bytes()])
 
-    return merge
+
+def part_summaries(df: DataFrame, keys: list[str], values: list[str], k: int = K) -> DataFrame:
+    """Rows (keys..., metric, summary): the leaves of the tree, one for each group, column
+    of `values` and task, written once.
+
+    A task that meets more than MOST_OPEN groups hands some out early, so a group may have
+    several leaves of one task.
+    """
+    metrics = F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values])).alias("m")
+    long = df.select(*keys, metrics).select(*keys, F.col("m.metric").alias("metric"), F.coalesce(F.col("m.value"), F.lit(float("nan"))).alias("value"))
+    by = [*keys, "metric"]
+    types = dict(long.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in by) + ", summary binary"
+    return materialize(long.mapInArrow(_summarize(by, k), schema), "summaries")
 
 
 def summaries(df: DataFrame, keys: list[str], values: list[str], k: int = K) -> DataFrame:
@@ -150,24 +181,24 @@ def summaries(df: DataFrame, keys: list[str], values: list[str], k: int = K) ->
     Null and NaN values are left out; a group without a value has a row with an empty
     summary. Null keys form groups of their own.
     """
-    metrics = F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values])).alias("m")
-    long = df.select(*keys, metrics).select(*keys, F.col("m.metric").alias("metric"), F.coalesce(F.col("m.value"), F.lit(float("nan"))).alias("value"))
-    by = [*keys, "metric"]
-    types = dict(long.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in by) + ", salt int, summary binary"
-    parts = long.mapInArrow(_summarize(by, k), schema)
-    return merge_summaries(parts, by)
+    return merge_summaries(part_summaries(df, keys, values, k), [*keys, "metric"])
 
 
 def merge_summaries(parts: DataFrame, by: list[str]) -> DataFrame:
-    """Summaries united by the columns `by`, in two rounds."""
+    """Summaries united by the columns `by`, over a tree: at each level a group's summaries
+    are dealt to nodes of about half of FAN_IN each, until FAN_IN or fewer are left, which
+    become one. So no merge takes in more than about FAN_IN summaries of fixed size,
+    however many tasks or days there are, and a hot group is spread over tasks at all levels
+    but the last. Which node takes a summary follows from its content.
+    """
     types = dict(parts.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in by) + ", salt int, summary binary"
-    if "salt" not in parts.columns:
-        parts = parts.withColumn("salt", F.spark_partition_id() % 16)
-    parts = parts.select(*by, "salt", "summary")
-    once = parts.groupBy(*by, "salt").applyInPandas(_merge(by), schema)
-    return once.groupBy(*by).applyInPandas(_merge(by), schema).drop("salt")
+    schema = ", ".join(f"`{c}` {types[c]}" for c in by) + ", summary binary"
+    level = parts.select(*by, "summary")
+    while (most := level.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) > FAN_IN:
+        nodes = -(-2 * most // FAN_IN)
+        dealt = level.groupBy(*by, F.pmod(F.xxhash64("summary"), F.lit(nodes)).alias("node_"))
+        level = materialize(dealt.applyInPandas(_merge, schema), "level")
+    return level.groupBy(*by).applyInPandas(_merge, schema)
 
 
 def quantiles(summarized: DataFrame, qs: list[float]) -> DataFrame:

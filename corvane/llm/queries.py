@@ -68,12 +68,8 @@ def _daily(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.summaries(_measures(spark, d), ["variant", "run_day"], ["latency_seconds", "total_tokens"])
 
 
-def p3_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    """By variant and day, and by variant over calendar weeks and all days.
-
-    The days' summaries are kept once; each union is made from them, not from the rows.
-    """
-    days = materialize(_daily(spark, d), "days")
+def _spans(days: DataFrame) -> DataFrame:
+    """Each row for its day, its calendar week and all days."""
     week = F.date_trunc("week", "run_day").cast("date")
     spans = F.explode(
         F.array(
@@ -82,24 +78,35 @@ def p3_quantiles(spark: SparkSession, d: str) -> DataFrame:
             F.struct(F.lit("all").alias("span"), F.lit(None).cast("date").alias("first_day")),
         )
     ).alias("s")
-    united = quantiles.merge_summaries(days.select("variant", "metric", "summary", spans).select("variant", "metric", "summary", "s.*"), ["variant", "span", "first_day", "metric"])
+    return days.select("*", spans).select(*[c for c in days.columns if c != "run_day"], "s.*")
+
+
+def p3_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """By variant and day, and by variant over calendar weeks and all days.
+
+    The days' summaries are kept once; each union is made from them, not from the rows.
+    """
+    days = materialize(_daily(spark, d), "days")
+    united = quantiles.merge_summaries(_spans(days.select("variant", "run_day", "metric", "summary")), ["variant", "span", "first_day", "metric"])
     return quantiles.quantiles(united, PERCENTILES)
 
 
 def p3_within(spark: SparkSession, d: str) -> DataFrame:
-    """Whether each percentile's exact rank lies within the bound it was reported with."""
-    measures = _measures(spark, d)
-    long = measures.select("variant", F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("x")) for c in ("latency_seconds", "total_tokens")])).alias("m")).select("variant", "m.*")
-    long = long.where("x is not null and not isnan(x)")
-    counts = long.groupBy("variant", "metric", "x").agg(F.count("*").alias("c"))
-    by = materialize(quantiles.quantiles(quantiles.merge_summaries(_daily(spark, d), ["variant", "metric"]), PERCENTILES), "percentiles")
-    c, q = counts.alias("c"), by.alias("q")
-    joined = q.join(c, F.col("q.variant").eqNullSafe(F.col("c.variant")) & (F.col("q.metric") == F.col("c.metric")))
-    ranks = joined.groupBy("q.variant", "q.metric", "q.q", "q.n", "q.value", "q.rank_error").agg(
+    """Whether the exact rank of each percentile of `p3_quantiles`, of days, weeks and all days,
+    lies within the bound it was reported with."""
+    metrics = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("x")) for c in ("latency_seconds", "total_tokens")])).alias("m")
+    long = _measures(spark, d).select("variant", "run_day", metrics).select("variant", "run_day", "m.*").where("x is not null and not isnan(x)")
+    by = ["variant", "span", "first_day", "metric"]
+    counts = _spans(long.groupBy("variant", "run_day", "metric", "x").agg(F.count("*").alias("c"))).groupBy(*by, "x").agg(F.sum("c").alias("c"))
+    c, q = counts.alias("c"), materialize(p3_quantiles(spark, d), "percentiles").alias("q")
+    on = F.lit(True)
+    for k in by:
+        on &= F.col(f"q.{k}").eqNullSafe(F.col(f"c.{k}"))
+    ranks = q.join(c, on).groupBy(*[f"q.{k}" for k in by], "q.q", "q.n", "q.value", "q.rank_error").agg(
         F.sum(F.when(F.col("c.x") < F.col("q.value"), F.col("c.c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("c.x") <= F.col("q.value"), F.col("c.c")).otherwise(0)).alias("upto")
     )
     target = F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n") - 1e-9))
-    return ranks.select("variant", "metric", "q", "n", ((F.col("below") + 1 <= target + F.col("rank_error")) & (F.col("upto") >= target - F.col("rank_error"))).alias("within"))
+    return ranks.select(*by, "q", "n", ((F.col("below") + 1 <= target + F.col("rank_error")) & (F.col("upto") >= target - F.col("rank_error"))).alias("within"))
 
 
 # 4. near-duplicate records
@@ -226,10 +233,11 @@ select least(ka, kb) as key_a, greatest(ka, kb) as key_b from c join e_n x on x.
 """
 
 _P3 = """
-with m as (select upper(trim(variant)) as variant, latency_seconds, total_tokens from (
+with m as (select upper(trim(variant)) as variant, run_day, latency_seconds, total_tokens from (
   select *, row_number() over (partition by record_id order by received_at desc) as r from predictions where record_id is not null) where r = 1),
-l as (select variant, 'latency_seconds' as metric, latency_seconds as x from m union all select variant, 'total_tokens', total_tokens::double from m)
-select variant, metric, q, count(*) as n, true as within from l, (select unnest([0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99])::double as q)
+l as (select variant, run_day, 'latency_seconds' as metric, latency_seconds as x from m union all select variant, run_day, 'total_tokens', total_tokens::double from m),
+s as (select variant, metric, x, 'day' as span, run_day::date as first_day from l union all select variant, metric, x, 'week', date_trunc('week', run_day)::date from l union all select variant, metric, x, 'all', null::date from l)
+select variant, span, first_day, metric, q, count(*) as n, true as within from s, (select unnest([0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99])::double as q)
 where x is not null and not isnan(x) group by all
 """
 

@@ -142,6 +142,19 @@ def test_percentiles(spark):
     assert quantiles.quantiles(quantiles.summaries(df.limit(0), ["g"], ["x"]), [0.5]).count() == 0
 
 
+def test_percentiles_over_a_deep_tree(spark, monkeypatch):
+    """Many leaves of one group, merged at several levels, keep n and the bound."""
+    monkeypatch.setattr(quantiles, "FAN_IN", 4)
+    rows = spark.range(40000, numPartitions=40).selectExpr("'hot' as g", "cast((id * 7919) % 40000 as double) as x").unionByName(spark.createDataFrame([("cold", 1.0)], "g string, x double"))
+    leaves = quantiles.part_summaries(rows, ["g"], ["x"], 64)
+    assert leaves.where("g = 'hot'").count() == 40
+    got = quantiles.quantiles(quantiles.merge_summaries(leaves, ["g", "metric"]), [0.01, 0.5, 0.99]).where("g = 'hot'").collect()
+    assert len(got) == 3
+    for r in got:
+        assert r["n"] == 40000 and 0 < r["rank_error"] <= 40000 * 10 / 128
+        assert abs(r["value"] + 1 - quantiles.target_rank(r["q"], 40000)) <= r["rank_error"]
+
+
 def test_ranks(spark):
     df = spark.createDataFrame([("hot" if i % 3 else "cold", i, i % 7) for i in range(2000)] + [(None, 1, 1), (None, 2, 2)], "g string, i int, other int")
     got = ranked(df, ["g"], ["i"], "t").collect()
