@@ -10,70 +10,78 @@ taken is drawn by a seeded hash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from math import gcd
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.ranks import ranked
 
-#: Budgets up to this are filled by the dynamic program.
+#: The dynamic program gets at least this many tokens to fill, and at least four of the longest texts.
 EXACT = 1 << 15
+#: Tokens to fill from which on the program isn't widened any more.
+WIDEST = 1 << 24
 
 
 def subset_sum(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many items of each length give the largest sum up to `budget` (budget <= EXACT).
+    """How many items of each length give the largest sum up to `budget`.
 
     Bounded knapsack over bit sets: bit i of a set says that the sum i can be reached. An
-    amount c of one length is split into 1, 2, 4, ... and the rest, which covers 0..c.
+    amount c of one length is split into 1, 2, 4, ... and the rest, which covers 0..c. All
+    is divided by the lengths' common divisor first, and it ends once the budget is met.
     """
+    unit = gcd(*counts) if counts else 1
+    budget //= unit
     mask = (1 << (budget + 1)) - 1
     reach, layers = 1, []
     for length in sorted(counts, reverse=True):
-        left = min(counts[length], budget // length)
+        left = min(counts[length], budget // (length // unit))
         step = 1
-        while left:
+        while left and not reach >> budget & 1:
             n = min(step, left)
             left -= n
             step *= 2
             layers.append((length, n, reach))
-            reach |= (reach << (length * n)) & mask
+            reach |= (reach << (length // unit * n)) & mask
     at = reach.bit_length() - 1
     taken: dict[int, int] = {}
     for length, n, before in reversed(layers):
         if not before >> at & 1:
             taken[length] = taken.get(length, 0) + n
-            at -= length * n
+            at -= length // unit * n
     return taken
 
 
 def fill(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many items of each length to take for a sum close to and not above `budget`."""
+    """How many items of each length to take for a sum close to and not above `budget`.
+
+    Most is taken evenly over all lengths; what lacks is left to the dynamic program, all
+    of it. Where that can't meet the budget it gets four times as much to fill, until
+    nothing is taken evenly, and the sum is the largest there is, or it has WIDEST tokens.
+    """
     total = sum(s * c for s, c in counts.items())
     if budget >= total:
         return dict(counts)
-    taken = {s: int(c * budget // total) for s, c in counts.items()}
-    left = budget - sum(s * c for s, c in taken.items())
-    for s in sorted(counts, reverse=True):
-        if left <= EXACT:
-            break
-        n = min(counts[s] - taken[s], (left - EXACT // 2) // s)
-        if n > 0:
+    room = max(EXACT, 4 * max(counts))
+    while True:
+        even = max(0, budget - room)
+        taken = {s: c * even // total for s, c in counts.items()}
+        left = budget - sum(s * c for s, c in taken.items())
+        # Rounding down leaves up to one text of each length; the longest that fit go first.
+        for s in sorted(counts, reverse=True) if even else ():
+            n = min(counts[s] - taken[s], max(0, left - room) // s)
             taken[s] += n
             left -= n * s
-    left = min(left, EXACT) if left > EXACT else left
-    # Some taken items go back, so that the program has small ones to choose from.
-    for s in sorted(counts):
-        n = min(taken[s], max(0, (EXACT - left) // (8 * s)), 4)
-        taken[s] -= n
-        left += n * s
-        if left > EXACT - 4096:
-            break
-    for s, n in subset_sum({s: counts[s] - taken[s] for s in counts if counts[s] > taken[s]}, left).items():
-        taken[s] += n
-    return taken
+        for s, n in subset_sum({s: counts[s] - taken[s] for s in counts if counts[s] > taken[s]}, left).items():
+            taken[s] += n
+            left -= n * s
+        if not left or not even or room >= WIDEST:
+            return taken
+        room *= 4
+
+
+#: Most rows (source, length) of a plan that are sent to all executors; beyond it the join is shuffled.
+MOST_STEPS = 500_000
 
 
 def plan(lengths: dict[str, dict[int, int]], shares: dict[str, float], repeats: dict[str, int], total: int | None = None) -> tuple[int, dict[str, int], dict[str, dict[int, tuple[int, int]]]]:
@@ -100,20 +108,6 @@ def plan(lengths: dict[str, dict[int, int]], shares: dict[str, float], repeats:
     return total, budgets, choice
 
 
-def _uses(choice: dict[str, dict[int, tuple[int, int]]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sources, sizes, ranks = b.column("source").to_pylist(), b.column("tokens").to_pylist(), b.column("rank_").to_pylist()
-            uses = [0] * b.num_rows
-            for i, (s, n, r) in enumerate(zip(sources, sizes, ranks, strict=True)):
-                rounds, more = choice.get(s, {}).get(n, (0, 0))
-                uses[i] = rounds + (r < more)
-            m = np.array(uses) > 0
-            yield pa.RecordBatch.from_arrays([b.column("id_"), b.column("source"), b.column("tokens"), pa.array(uses, pa.int64())], names=["id_", "source", "tokens", "uses"]).filter(pa.array(m))
-
-    return run
-
-
 def mix(sized: DataFrame, key: str, targets: DataFrame, seed: int = 42, total: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The mixture (key, source, tokens, uses) and its shares by source.
 
@@ -136,14 +130,15 @@ def mix(sized: DataFrame, key: str, targets: DataFrame, seed: int = 42, total: i
     for r in numbered.groupBy("source", "tokens").count().collect():
         lengths.setdefault(r["source"], {})[int(r["tokens"])] = int(r["count"])
     whole, budgets, choice = plan(lengths, shares, repeats, total)
-    type_ = dict(sized.dtypes)[key]
-    mixture = numbered.mapInArrow(_uses(choice), f"id_ {type_}, source string, tokens bigint, uses bigint").withColumnRenamed("id_", key)
-    got = {s: sum(n * (c * lengths[s][n] + m) for n, (c, m) in choice.get(s, {}).items()) for s in shares}
-    texts = {s: sum(lengths[s][n] if c else m for n, (c, m) in choice.get(s, {}).items()) for s in shares}
-    most = {s: max((c + (m > 0) for c, m in choice.get(s, {}).values()), default=0) for s in shares}
-    all_ = sum(got.values())
-    report = spark.createDataFrame(
-        [(s, shares[s], repeats[s], whole, budgets[s], got[s], got[s] / all_ if all_ else 0.0, texts[s], most[s]) for s in sorted(shares)],
-        "source string, target_share double, max_repeats int, mixture_tokens bigint, budget_tokens bigint, actual_tokens bigint, actual_share double, n_texts bigint, most_uses int",
-    )
+    chosen = [(s, n, rounds, more) for s, by in choice.items() for n, (rounds, more) in by.items()]
+    steps = spark.createDataFrame(chosen, "source string, tokens bigint, rounds_ bigint, more_ bigint")
+    uses = F.col("rounds_") + (F.col("rank_") < F.col("more_")).cast("bigint")
+    drawn = numbered.join(F.broadcast(steps) if len(chosen) <= MOST_STEPS else steps, ["source", "tokens"])
+    mixture = drawn.select(F.col("id_").alias(key), "source", "tokens", uses.alias("uses")).where("uses > 0")
+    # What was really reached is counted from the mixture's rows.
+    got = mixture.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("actual_tokens"), F.count("*").alias("n_texts"), F.max("uses").alias("most_uses"))
+    asked = spark.createDataFrame([(s, shares[s], repeats[s], whole, budgets[s]) for s in sorted(shares)], "source string, target_share double, max_repeats int, mixture_tokens bigint, budget_tokens bigint")
+    report = asked.join(got, "source", "left").fillna(0, ["actual_tokens", "n_texts", "most_uses"])
+    share = F.when(F.sum("actual_tokens").over(Window.partitionBy()) > 0, F.col("actual_tokens") / F.sum("actual_tokens").over(Window.partitionBy())).otherwise(0.0)
+    report = report.withColumn("actual_share", share).select(*asked.columns, "actual_tokens", "actual_share", "n_texts", F.col("most_uses"))
     return mixture, report

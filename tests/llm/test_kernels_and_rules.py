@@ -152,3 +152,18 @@ def test_rules():
     for i, t in enumerate(texts):
         kinds = [d for d in quality.DEFECTS if got[d][i]]
         assert (kinds[0] if kinds else None) == (CASES[i][1] if i < len(CASES) else None), (t, kinds)
+
+
+def test_budgets_of_long_texts():
+    """The largest sum there is, also where texts are longer than the program's usual stretch."""
+    random.seed(11)
+    cases = [({33000: 5, 50000: 5}, b) for b in (50000, 100000, 133000)]
+    for _ in range(150):
+        counts = {random.randint(1, random.choice((500, 60000))): random.randint(1, 4) for _ in range(random.randint(1, 5))}
+        cases.append((counts, random.randint(0, sum(s * n for s, n in counts.items()))))
+    for counts, b in cases:
+        reach = {0}
+        for s, n in counts.items():
+            reach = {r + i * s for r in reach for i in range(n + 1) if r + i * s <= b}
+        t = mixing.fill(counts, b)
+        assert all(0 <= n <= counts[s] for s, n in t.items()) and sum(s * n for s, n in t.items()) == max(reach)
