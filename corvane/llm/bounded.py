@@ -66,6 +66,11 @@ def counter_bits(texts: int) -> int:
     return int(np.clip(np.ceil(np.log2(max(texts, 1))) + 4, 18, 24))
 
 
+def bitmap_bits(marks: int) -> int:
+    """The size of a bitmap of so many marks: 64 bits for each, at most 2^26 (8 MB)."""
+    return int(np.clip(np.ceil(np.log2(64 * max(1, marks))), 18, 26))
+
+
 def slot(h: np.ndarray, bits: int) -> np.ndarray:
     """The upper bits of hashes."""
     return (h.astype(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)

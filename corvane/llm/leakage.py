@@ -22,6 +22,10 @@ from corvane.llm.seedjoin import candidates, expand, numbered, query_classes, wi
 MASKS = ("1110110111011011", "1101111010111101", "1011101101101110")
 
 
+#: Equal pairs of words that are laid out at once when overlaps are measured.
+MOST_PAIRS = 4_000_000
+
+
 def spaced_seeds(masks: tuple[str, ...], stride: int):
     """Seeds of the windows at every `stride`-th position of a row, under each mask."""
     span = len(masks[0])
@@ -59,14 +63,27 @@ def aligned_runs(q: list[str], c: list[str], gap: int) -> dict[str, np.ndarray]:
     key_c = key_c[order]
     lo, hi = np.searchsorted(key_c, key_q, "left"), np.searchsorted(key_c, key_q, "right")
     n = hi - lo
-    i = np.repeat(np.arange(len(hq)), n)
-    j = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    row = rq[i]
-    i, j = i - oq[row], j - oc[row]
     out = {k: np.zeros(len(q), np.int64) for k in ("run", "span", "same", "q_start", "c_start")}
     out["q_words"] = np.diff(oq)
+    # Equal pairs of words are laid out for a block of rows at a time.
+    upto = np.concatenate(([0], np.cumsum(n)))[oq]
+    first = 0
+    while first < len(q):
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] + MOST_PAIRS, "right")) - 1)
+        at = np.arange(oq[first], oq[last])
+        m = n[at]
+        i = np.repeat(at, m)
+        j = order[np.repeat(lo[at], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+        row = rq[i]
+        _longest(out, row, i - oq[row], j - oc[row], gap)
+        first = last
+    return out
+
+
+def _longest(out: dict[str, np.ndarray], row: np.ndarray, i: np.ndarray, j: np.ndarray, gap: int) -> None:
+    """Put the longest run and overlap among the equal pairs (i, j) of some rows into `out`."""
     if not len(i):
-        return out
+        return
     o = np.lexsort((i, j - i, row))
     i, j, row = i[o], j[o], row[o]
     new = np.concatenate(([True], (row[1:] != row[:-1]) | ((j - i)[1:] != (j - i)[:-1])))
@@ -82,7 +99,6 @@ def aligned_runs(q: list[str], c: list[str], gap: int) -> dict[str, np.ndarray]:
         if allowed == gap:
             out["span"][r[best]], out["same"][r[best]] = span[best], same[best]
             out["q_start"][r[best]], out["c_start"][r[best]] = i[first[best]], j[first[best]]
-    return out
 
 
 def _measure(gap: int):

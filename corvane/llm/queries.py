@@ -144,16 +144,28 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _overlaps(spark, d).select(F.least("query_key", "corpus_key").alias("key_a"), F.greatest("query_key", "corpus_key").alias("key_b")).distinct()
 
 
+def _reported(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps with the split and source of the evaluation record, and the side and source of the training record."""
+    q = read_table(spark, d, "questions").groupBy("question_id").agg(F.max("source").alias("source"))
+    found = _overlaps(spark, d).join(q.select(F.col("question_id").alias("query_key"), "source"), "query_key")
+    found = found.join(q.select(F.col("question_id").alias("corpus_key"), F.col("source").alias("training_source")), "corpus_key", "left")
+    side = F.when(F.col("corpus_key").startswith("train-"), "train").otherwise("memory")
+    return found.withColumn("split", F.substring_index("query_key", "-", 1)).withColumn("training", side)
+
+
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    """Overlaps by split and source of the evaluation record: items, pairs and equal texts."""
-    q = read_table(spark, d, "questions")
-    sources = _held_out(q).groupBy(F.col("question_id").alias("query_key")).agg(F.max("source").alias("source"))
-    found = _overlaps(spark, d).join(sources, "query_key")
-    return found.groupBy(F.substring_index("query_key", "-", 1).alias("split"), "source").agg(
-        F.countDistinct("query_key").alias("n_items"), F.count("*").alias("n_pairs"), F.count(F.when(F.col("edits") == 0, 1)).alias("n_same_words")
+    """Overlaps by split and source of the evaluation record and by training side and source:
+    evaluation and training items, pairs, and pairs with the same words."""
+    return _reported(spark, d).groupBy("split", "source", "training", "training_source").agg(
+        F.countDistinct("query_key").alias("n_items"), F.countDistinct("corpus_key").alias("n_training"), F.count("*").alias("n_pairs"), F.count(F.when(F.col("edits") == 0, 1)).alias("n_same_words")
     )
 
 
+def p5_paths(spark: SparkSession, d: str) -> DataFrame:
+    """How many overlaps of each split are within the edits of the segment join, and how many have moved or large blocks."""
+    return _reported(spark, d).groupBy("split", "training", "path").agg(F.count("*").alias("n_pairs"), F.max("edits").alias("most_edits"))
+
+
 # 6. and 7. packing and mixing
 
 
@@ -201,7 +213,7 @@ def _shipped(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    fs = [p1_found, p1_flags, p2_found, p2_items, p3_quantiles, p3_within, p4_found, p4_groups, p5_found, p5_report, p6_assign, p6_fill, p7_mixture, p7_shares, p8_found, p8_forms]
+    fs = [p1_found, p1_flags, p2_found, p2_items, p3_quantiles, p3_within, p4_found, p4_groups, p5_found, p5_report, p5_paths, p6_assign, p6_fill, p7_mixture, p7_shares, p8_found, p8_forms]
     return {f.__name__: _shipped(f) for f in fs}
 
 
@@ -232,6 +244,16 @@ c as (select a.key as ka, b.key as kb, count(*) as common_ from e a join t b usi
 select least(ka, kb) as key_a, greatest(ka, kb) as key_b from c join e_n x on x.key = ka join t_n y on y.key = kb where common_ >= 0.6 * (x.n + y.n - common_) - 1e-9
 """
 
+_P5_REPORT = f"""
+with pairs as ({_P5}),
+sides as (select case when key_a like 'dev-%' or key_a like 'test-%' then key_a else key_b end as e, case when key_a like 'dev-%' or key_a like 'test-%' then key_b else key_a end as t from pairs),
+src as (select question_id, max(source) as source from questions group by 1),
+w as (select question_id as k, {_WORDS.format("question")} as w from questions where question is not null union select case_id, {_WORDS.format("question")} from memory_cases where question is not null)
+select split_part(e, '-', 1) as split, a.source as source, case when t like 'train-%' then 'train' else 'memory' end as training, b.source as training_source,
+  count(distinct e) as n_items, count(distinct t) as n_training, count(*) as n_pairs, count(*) filter (x.w = y.w) as n_same_words
+from sides join src a on a.question_id = e left join src b on b.question_id = t join w x on x.k = e join w y on y.k = t group by all
+"""
+
 _P3 = """
 with m as (select upper(trim(variant)) as variant, run_day, latency_seconds, total_tokens from (
   select *, row_number() over (partition by record_id order by received_at desc) as r from predictions where record_id is not null) where r = 1),
@@ -264,4 +286,4 @@ select distinct a.doc_id as doc_a, b.doc_id as doc_b from f a join f b using (fo
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p3_within": _P3, "p4_found": _P4, "p5_found": _P5, "p8_found": _p8()}
+    return {"p2_found": _P2, "p3_within": _P3, "p4_found": _P4, "p5_found": _P5, "p5_report": _P5_REPORT, "p8_found": _p8()}

@@ -6,7 +6,9 @@ of the corpus only seeds that hit it are shuffled. Joined seeds give candidate p
 Only texts that have one are read a second time, and every candidate is then verified
 against both whole texts.
 
-Query texts with equal words are one query, whose number is the hash of its words.
+Query texts with equal words are one query, whose number is the hash of its words. Corpus
+texts are numbered by the 64-bit hash of their characters, and each distinct one is
+joined and verified once.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ MARK_BITS = 23
 
 
 def numbered(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (key, doc, text) with a number for each key; null keys and texts are left out."""
-    return df.select(F.col(key).cast("string").alias("key"), F.xxhash64(F.col(key).cast("string")).alias("doc"), F.col(text).cast("string").alias("text")).where(
+    """Rows (key, doc, text) with a number for each text, so that copies are one text from
+    here on; null keys and texts are left out."""
+    return df.select(F.col(key).cast("string").alias("key"), F.xxhash64(F.col(text).cast("string")).alias("doc"), F.col(text).cast("string").alias("text")).where(
         F.col("key").isNotNull() & F.col("text").isNotNull()
     )
 
@@ -67,7 +70,7 @@ def candidates(classes: DataFrame, corpus: DataFrame, query_seeds: Seeds, corpus
     schema = "h long, id long, n int"
     one = classes.select("query", "text").dropDuplicates(["query"])
     seeds = materialize(one.mapInArrow(_emit(query_seeds, None, 0, 0), schema).distinct(), f"{name}-seeds")
-    bits = int(np.clip(np.ceil(np.log2(64 * max(1, seeds.count()))), 18, 26))
+    bits = bounded.bitmap_bits(seeds.count())
     marks = spark.sparkContext.broadcast(bounded.hash_bitmap(seeds, "h", bits))
     hits = corpus.select("doc", "text").mapInArrow(_emit(corpus_seeds, marks, bits, min_words), schema).distinct()
     q, c = seeds.alias("q"), hits.alias("c")
@@ -78,11 +81,15 @@ def candidates(classes: DataFrame, corpus: DataFrame, query_seeds: Seeds, corpus
 
 
 def with_texts(pairs: DataFrame, classes: DataFrame, corpus: DataFrame) -> DataFrame:
-    """The candidates with both texts: (doc, query, c_text, q_text)."""
+    """The candidates with both texts: (doc, query, ..., c_text, q_text).
+
+    The queries' texts are joined first, while rows are small; corpus texts come last, each
+    distinct one once, by `doc`, so a query with many partners never gathers their texts.
+    """
     marked = bounded.hash_bitmap(pairs, "doc", MARK_BITS)
-    few = bounded.keep_marked(corpus.select("doc", "text"), "doc", marked, MARK_BITS).dropDuplicates(["doc", "text"])
+    few = bounded.keep_marked(corpus.select("doc", "text"), "doc", marked, MARK_BITS).dropDuplicates(["doc"])
     one = classes.select("query", F.col("text").alias("q_text")).dropDuplicates(["query"])
-    return pairs.join(few.withColumnRenamed("text", "c_text"), "doc").join(one, "query").select("doc", "query", "c_text", "q_text")
+    return pairs.join(one, "query").join(few.withColumnRenamed("text", "c_text"), "doc")
 
 
 def expand(found: DataFrame, classes: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -1,14 +1,18 @@
 """Overlaps between the records of evaluation and training splits.
 
-Edit-distance segment join over words: of each evaluation text with n distinct
-`width`-word segments at most k = floor((1 - t) n) can be missing from a text whose
-overlap with it is t or more, so of k + 1 of its segments at least one stands unchanged
-in every partner. More selective is k + l: at least l of them do. The rarest in the
-training side are chosen. Training
-texts are probed with all their substrings of that length. A segment may stand at any
-position, since moved sentences leave the overlap as it is; a partner must have between
-t n and n / t distinct segments. Candidates are verified with a banded dynamic program, which
-gives the number of edited words, and by their exact overlap.
+Edit-distance segment join over words. An evaluation text of n words is cut into
+m = n // width segments of `width` words; k edits leave all but k of them unchanged. So of
+any k + l of them at least l stand in each text within k edits, and each at an allowed
+position: shifted by at most k. The k + l rarest in the training side are chosen, with
+l = 4 and k = 2 m / 3, as single segments are often set phrases. Training texts are probed
+with all their substrings of `width` words; a banded dynamic program decides whether a
+candidate is within k edits. The exact overlap is checked at the end.
+
+Moved sentences leave the overlap as it is but not the edit distance, and so do blocks of
+more than k words that are added or left out. These pairs come by a second path of the
+same join: of a text's n distinct (overlapping) segments at most floor((1 - t) n) can be
+missing from a text whose overlap with it is t or more, so of the floor((1 - t) n) + l
+rarest at least l are shared, at any position. `path` tells which way a pair came.
 """
 
 from __future__ import annotations
@@ -21,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import bounded
-from corvane.llm.kernels import distinct, jaccard, shingles, words
-from corvane.llm.seedjoin import candidates, expand, numbered, query_classes, with_texts
+from corvane.llm.kernels import jaccard, shingles, words
+from corvane.llm.seedjoin import expand, numbered, query_classes, with_texts
+from corvane.session import materialize
 
-#: Segments (l above) that a pair must share.
+#: Segments (l above) that a pair must share, on either path.
 SHARED = 4
 
 
@@ -41,30 +46,92 @@ def _counts(width: int, bits: int):
     return count
 
 
-def _rarest_segments(width: int, t: float, bits: int, counts):
-    """The k + SHARED rarest segments of each row."""
+def edits_allowed(n_words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For texts of so many words: the edits k that the segment join covers, and how many
+    of their k + l chosen segments must be left unchanged (l, less for short texts)."""
+    m = n_words // width
+    k = np.clip(np.minimum(2 * m // 3, m - SHARED), 0, None)
+    return k, np.minimum(SHARED, m - k)
+
+
+_Q_SCHEMA = "h long, query long, n int, w int, k int, least int, a int, lo int, hi int, b int"
+_C_SCHEMA = "h long, doc long, n int, w int, lo int, hi int"
+
+
+def _spread(x: np.ndarray, row: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of each row: where they begin in the order by row, value and
+    position, that order, and their first and last positions."""
+    o = np.lexsort((p, x, row))
+    new = np.ones(len(o), bool)
+    new[1:] = (x[o][1:] != x[o][:-1]) | (row[o][1:] != row[o][:-1])
+    first = np.flatnonzero(new)
+    last = np.concatenate((first[1:], [len(o)]))[: len(first)] - 1
+    return first, o, p[o[first]], p[o[last]]
+
+
+def _among_rarest(row: np.ndarray, freq: np.ndarray, x: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which entries are among the `most[row]` rarest of their row."""
+    o = np.lexsort((x, freq, row))
+    n = np.bincount(row, minlength=len(most))
+    rank = np.empty(len(row), np.int64)
+    rank[o] = np.arange(len(row)) - (np.cumsum(n) - n)[row[o]]
+    return rank < most[row]
+
+
+def _evaluation_seeds(width: int, t: float, bits: int, counts):
+    """For each distinct segment of an evaluation text: how often it is one of the k + l
+    chosen segments (`a`, between positions `lo` and `hi`), and whether it is one of the
+    rarest that a text with moved parts must share (`b`)."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, off = words(batch.column(1).to_pylist())
+            w = np.diff(off)
+            x, row, pos = shingles(h, off, width)
+            p = pos - off[row]
+            freq = counts.value[bounded.slot(x, bits)]
+            k, least = edits_allowed(w, width)
+            a = np.zeros(len(x), bool)
+            cut = np.flatnonzero(p % width == 0)
+            a[cut[_among_rarest(row[cut], freq[cut], x[cut], k + least)]] = True
+            first, o, _, _ = _spread(x, row, p)
+            r, v = row[o[first]], x[o[first]]
+            n = np.bincount(r, minlength=len(w))
+            b = _among_rarest(r, freq[o[first]], v, np.floor((1 - t) * n + 1e-9).astype(np.int64) + SHARED)
+            if not len(first):
+                continue
+            some, at = a[o], p[o]
+            n_a = np.add.reduceat(some.astype(np.int64), first)
+            lo = np.minimum.reduceat(np.where(some, at, 1 << 30), first)
+            hi = np.maximum.reduceat(np.where(some, at, -1), first)
+            m = (n_a > 0) | b
+            r = r[m]
+            cols = [n[r], w[r], k[r], least[r], n_a[m], lo[m], hi[m], b[m]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v[m].view(np.int64)), batch.column(0).take(pa.array(r)), *(pa.array(c.astype(np.int32)) for c in cols)], names=[c.split()[0] for c in _Q_SCHEMA.split(", ")]
+            )
 
-    def seeds(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x, row, _ = shingles(h, off, width)
-        x, row = distinct(x, row)
-        freq = counts.value[bounded.slot(x, bits)]
-        o = np.lexsort((x, freq, row))
-        x, row = x[o], row[o]
-        n = np.bincount(row, minlength=len(off) - 1)
-        rank = np.arange(len(x)) - (np.cumsum(n) - n)[row]
-        m = rank < np.floor((1 - t) * n[row] + 1e-9) + SHARED
-        return x[m], row[m], n[row[m]]
+    return emit
 
-    return seeds
 
+def _training_seeds(width: int, min_words: int, marks, bits: int):
+    """All substrings of `width` words that may be an evaluation text's segment, with their positions."""
 
-def _substrings(width: int):
-    def seeds(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x, row, _ = shingles(h, off, width)
-        x, row = distinct(x, row)
-        return x, row, np.bincount(row, minlength=len(off) - 1)[row]
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, off = words(batch.column(1).to_pylist())
+            w = np.diff(off)
+            x, row, pos = shingles(h, off, width)
+            first, o, lo, hi = _spread(x, row, pos - off[row])
+            r, v = row[o[first]], x[o[first]]
+            n = np.bincount(r, minlength=len(w))
+            m = (w[r] >= min_words) & bounded.in_bitmap(marks.value, v, bits)
+            r = r[m]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v[m].view(np.int64)), batch.column(0).take(pa.array(r)), *(pa.array(c.astype(np.int32)) for c in (n[r], w[r], lo[m], hi[m]))], names=[c.split()[0] for c in _C_SCHEMA.split(", ")]
+            )
 
-    return seeds
+    return emit
 
 
 def banded_distance(a: list[np.ndarray], b: list[np.ndarray], band: np.ndarray) -> np.ndarray:
@@ -120,14 +187,19 @@ def _verify(width: int, t: float, min_words: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             q, c = b.column("q_text").to_pylist(), b.column("c_text").to_pylist()
-            j, n_q, n_c = jaccard(q, c, width)
-            m = np.flatnonzero((j >= t - 1e-12) & (n_q >= min_words) & (n_c >= min_words))
-            hq, oq = words([q[i] for i in m])
-            hc, oc = words([c[i] for i in m])
-            band = np.ceil((1 - t) * np.maximum(n_q[m], n_c[m])).astype(np.int64)
-            edits = banded_distance([hq[oq[i] : oq[i + 1]] for i in range(len(m))], [hc[oc[i] : oc[i + 1]] for i in range(len(m))], band)
+            hq, oq = words(q)
+            hc, oc = words(c)
+            k, _ = edits_allowed(np.diff(oq), width)
+            # The banded program decides on what the segments at allowed positions found.
+            near = np.flatnonzero(b.column("near").to_numpy(zero_copy_only=False).astype(bool))
+            edits = np.full(len(q), -1, np.int64)
+            edits[near] = banded_distance([hq[oq[i] : oq[i + 1]] for i in near], [hc[oc[i] : oc[i + 1]] for i in near], k[near])
+            use = np.flatnonzero((edits >= 0) | b.column("moved").to_numpy(zero_copy_only=False).astype(bool))
+            j, n_q, n_c = jaccard([q[i] for i in use], [c[i] for i in use], width)
+            ok = (j >= t - 1e-12) & (n_q >= min_words) & (n_c >= min_words)
+            m, e = use[ok], edits[use[ok]]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc").take(pa.array(m)), b.column("query").take(pa.array(m)), pa.array(j[m]), pa.array(edits, pa.int64(), mask=edits < 0)], names=["doc", "query", "overlap", "edits"]
+                [b.column("doc").take(pa.array(m)), b.column("query").take(pa.array(m)), pa.array(j[ok]), pa.array(e, pa.int64(), mask=e < 0)], names=["doc", "query", "overlap", "edits"]
             )
 
     return verify
@@ -136,23 +208,39 @@ def _verify(width: int, t: float, min_words: int):
 def split_overlaps(
     evaluation: DataFrame, evaluation_key: str, evaluation_text: str, training: DataFrame, training_key: str, training_text: str, width: int = 5, threshold: float = 0.8, min_words: int = 15
 ) -> DataFrame:
-    """Rows (query_key, corpus_key, overlap, edits): evaluation and training records whose
-    sets of `width` consecutive words overlap by at least `threshold`.
+    """Rows (query_key, corpus_key, overlap, edits, path): evaluation and training records
+    whose sets of `width` consecutive words overlap by at least `threshold`.
+
+    `path` is "edits" for pairs within the k edits of the segment join, and `edits` their
+    edit distance in words; "moved" for the others, whose distance is null.
 
-    `edits` is the edit distance in words, null where it exceeds (1 - threshold) of the
-    longer text, as with moved sentences. Null keys and texts and texts under
-    `min_words` words give no row; a key exported twice counts once.
+    Null keys and texts and texts under `min_words` words give no row; a key exported twice
+    counts once. Other columns are ignored.
     """
     spark = training.sparkSession
     q, c = numbered(evaluation, evaluation_key, evaluation_text), numbered(training, training_key, training_text)
-    classes = query_classes(q, max(min_words, width))
+    least_words = max(min_words, width)
+    classes = query_classes(q, least_words)
     bits = bounded.counter_bits(c.count())
     table = bounded.collect_blocks(c.select("text").mapInArrow(_counts(width, bits), "block int, salt int, data binary"), 1 << bits, "uint8", add=True)
     counts = spark.sparkContext.broadcast(table)
-    allowed = (F.col("c.n") >= threshold * F.col("q.n") - 1e-6) & (F.col("q.n") >= threshold * F.col("c.n") - 1e-6)
+    one = classes.select("query", "text").dropDuplicates(["query"])
+    seeds = materialize(one.mapInArrow(_evaluation_seeds(width, threshold, bits, counts), _Q_SCHEMA), "split-seeds")
+    mark_bits = bounded.bitmap_bits(seeds.count())
+    marks = spark.sparkContext.broadcast(bounded.hash_bitmap(seeds, "h", mark_bits))
+    hits = c.select("doc", "text").mapInArrow(_training_seeds(width, least_words, marks, mark_bits), _C_SCHEMA).distinct()
+    e, s = hits.alias("c"), seeds.alias("q")
+    k = F.col("q.k")
+    # Positions of a substring span lo to hi, so a substring may be let through that isn't at an allowed one.
+    near = (F.col("q.a") > 0) & (F.abs(F.col("q.w") - F.col("c.w")) <= k) & (F.col("c.lo") <= F.col("q.hi") + k) & (F.col("c.hi") >= F.col("q.lo") - k)
+    moved = (F.col("q.b") > 0) & (F.col("c.n") >= threshold * F.col("q.n") - 1e-6) & (F.col("q.n") >= threshold * F.col("c.n") - 1e-6)
+    joined = e.join(s, (F.col("q.h") == F.col("c.h")) & (near | moved))
+    shared = joined.groupBy("c.doc", "q.query").agg(
+        F.sum(F.when(near, F.col("q.a")).otherwise(0)).alias("a"), F.sum(moved.cast("int")).alias("b"), F.max("q.least").alias("least"), F.max(F.greatest("q.n", "c.n")).alias("n")
+    )
     # Texts of few distinct segments may share fewer.
-    least = F.least(F.lit(SHARED), F.ceil(threshold * F.col("n") - 1e-9))
-    pairs = candidates(classes, c, _rarest_segments(width, threshold, bits, counts), _substrings(width), allowed, max(min_words, width), "split", least)
+    shared = shared.select("doc", "query", (F.col("a") >= F.col("least")).alias("near"), (F.col("b") >= F.least(F.lit(SHARED), F.ceil(threshold * F.col("n") - 1e-9))).alias("moved"))
+    pairs = materialize(shared.where("near or moved"), "split-candidates")
     found = with_texts(pairs, classes, c).mapInArrow(_verify(width, threshold, min_words), "doc long, query long, overlap double, edits long")
     best = found.groupBy("doc", "query").agg(F.max("overlap").alias("overlap"), F.min("edits").alias("edits"))
-    return expand(best, classes, c)
+    return expand(best.withColumn("path", F.when(F.col("edits").isNull(), "moved").otherwise("edits")), classes, c)

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,23 @@ def test_split_overlaps(spark, texts):
     got = {(r["query_key"], r["corpus_key"]) for r in splits.split_overlaps(ev, "id", "text", tr, "id", "text", 3, 0.6, 15).collect()}
     a, b = sets([(r[0], r[1]) for r in ev.collect()], 3, 15), sets([(r[0], r[1]) for r in tr.collect()], 3, 15)
     assert got == {(x, y) for x in a for y in b if similar(a[x], b[y], 0.6)}
+    # Every pair within k edits comes by the segment join, with its edit distance; the others are moved.
+    stems = {r[0]: W.findall(r[1].lower()) for df_ in (ev, tr) for r in df_.collect() if r[0] and r[1]}
+    paths = Counter()
+    for r in splits.split_overlaps(ev, "id", "text", tr, "id", "text", 3, 0.6, 15).collect():
+        x, y = stems[r["query_key"]], stems[r["corpus_key"]]
+        if len(x) > 1000:
+            assert (r["path"], r["edits"]) == ("edits", 0)
+            continue
+        row = list(range(len(y) + 1))
+        for i, v in enumerate(x, 1):
+            row, before = [i], row
+            for j, u in enumerate(y, 1):
+                row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (u != v)))
+        k = int(splits.edits_allowed(np.array([len(x)]), 3)[0][0])
+        assert (r["path"], r["edits"]) == (("edits", row[-1]) if row[-1] <= k else ("moved", None))
+        paths[r["path"]] += 1
+    assert paths["edits"] > 20 and paths["moved"] > 5
     assert splits.split_overlaps(ev.limit(0), "id", "text", tr, "id", "text", 3, 0.6).count() == 0
     assert splits.split_overlaps(ev, "id", "text", tr.limit(0), "id", "text", 3, 0.6).count() == 0
 
