@@ -1,28 +1,27 @@
 """Exact self-join of texts on the Jaccard distance of their word shingles.
 
 The metric space is that of shingle sets under d(x, y) = 1 - |x & y| / |x | y|, and
-pairs with d <= 1 - t are wanted. Whole texts as pivots prune nothing here: with
-t = 0.6 the window of the triangle inequality, 2 (1 - t) = 0.8, reaches every region
-whose pivot is not a near copy, and unrelated texts all lie at distance 1. The
-pivots are therefore the smallest sets, single shingles:
-
-* d(x, {s}) is 1 - 1/|x| if s is in x, else 1, so x lies on the boundary of the
-  Voronoi regions of exactly its own shingles, all of them equally near.
-* A boundary text must be replicated only into a window of these regions. A partner
-  within 1 - t has at least a = ceil(t |x|) of x's shingles; in an order of all
-  shingles that is the same for all texts, the l-th common one is among the first
-  |x| - a + l of x and of y. So x goes to these regions, and a pair is a candidate
-  if they share l of them. The order is by rising corpus frequency (taken over all
-  texts, in a counter table of fixed size), which keeps regions small.
-* A region whose pivot is frequent is split before it forms: its texts go to the
-  regions of pairs {s, s'} instead, which join in the same way. A pair that shares
-  l >= 2 shingles of the windows shares such a region, so nothing is lost.
-
-Within a region pairs are pruned by size (the triangle inequality against the empty
-set's scale: t |y| <= |x|) and by position, and at last verified exactly.
-
-Texts with the same words that occur often are joined once, as a class; so are those
-that repeat one shingle only.
+pairs with d <= 1 - t are wanted. Voronoi regions of whole texts can't divide it:
+unrelated texts all lie at distance 1 or just below, and at t = 0.6 the triangle
+inequality only rules out regions more than 2 (1 - t) = 0.8 further away, so nearly every
+text lies on the boundary of nearly every region (`regions_per_text` measures it). What
+follows is therefore a prefix-filter join, recursive and exact like the method's last
+step:
+
+* All shingles have one order, by rising corpus frequency as far as a counter table of
+  fixed size tells it, else by hash. A partner of x within 1 - t has at least
+  a = ceil(t |x|) of x's shingles, and the l-th common one is among the first
+  |x| - a + l of x and of y. So x goes to the regions of these shingles, its window, and
+  a pair is a candidate if it shares l of them.
+* A region of more than REGION texts isn't joined but split: its texts go to the regions
+  of {s, s'} for all other s' of their windows, and where these are too large to those of
+  three and then of l shingles, which are joined whatever their size, as all their pairs
+  are candidates. Regions are counted exactly, after the shuffle.
+* Within a region pairs are pruned by size (t |y| <= |x|) and position, and at last
+  verified exactly.
+
+Texts with the same words are one class from the first step on, and so are those that
+repeat one shingle only.
 """
 
 from __future__ import annotations
@@ -36,25 +35,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import bounded
-from corvane.llm.kernels import U, jaccard, mix, sequence_hash, shingles, words
+from corvane.llm.kernels import U, distinct, jaccard, mix, sequence_hash, shingles, words
 from corvane.session import materialize
 
-#: Common pivots a pair must share.
+#: Common shingles of the windows that a candidate must share (l above).
 SHARED = 4
-#: Counters of the table by which the most frequent shingles are told, of four bytes.
-HOT_BITS = 16
-#: Where the blocks of that table begin.
-_HOT_BLOCK = 1 << 20
+#: Texts from which on a region is split.
+REGION = 8192
 #: Bits of the map of texts that have candidates.
 MARK_BITS = 23
-#: Classes of equal texts from this size on are joined once.
-COPIES = 64
-#: Most classes whose list may be sent to all executors (16 bytes each).
-MOST_CLASSES = 1 << 20
+#: Rows that are worked through at once, so that two bytes number them.
+_ROWS = 10_000
 #: Rounded-down sizes and positions, so that one byte holds them.
 _SCALE = np.unique(np.floor(1.09 ** np.arange(1, 400)).astype(np.int64))
 _SCALE = np.concatenate(([0], _SCALE[_SCALE > 0]))[:128]
-_ENTRY = 13
 
 
 def _code(n: np.ndarray) -> np.ndarray:
@@ -80,32 +74,35 @@ def _class_hash(h: np.ndarray, off: np.ndarray, x: np.ndarray, row: np.ndarray)
     return out.view(np.int64)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, _ROWS):
+            yield b.slice(at, _ROWS)
+
+
 def _scan(width: int, min_words: int, bits: int):
-    """Rows (doc, seq) of the texts, then the blocks of the task's shingle counts, of one
-    byte each, which stays at 255."""
+    """Rows (key, doc, seq) of the texts, then the blocks of the task's shingle counts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts, hot = np.zeros(1 << bits, np.uint32), np.zeros(1 << HOT_BITS, np.uint32)
+        names, key_type = ["key", "doc", "seq", "block", "salt", "data"], None
+        counts = np.zeros(1 << bits, np.uint32)
         for b in batches:
+            key_type = b.column(2).type
             h, off = words(b.column(1).to_pylist())
             n = np.diff(off)
             x, row, _ = shingles(h, off, width)
             keep = np.flatnonzero(n >= max(min_words, width))
             seq = _class_hash(h, off, x, row)[keep]
-            x = x[n[row] >= min_words]
-            np.add.at(counts, bounded.slot(x, bits), 1)
-            hot += np.bincount(bounded.slot(x, HOT_BITS), minlength=len(hot)).astype(np.uint32)
-            doc = b.column(0).take(pa.array(keep))
+            np.add.at(counts, bounded.slot(x[n[row] >= min_words], bits), 1)
             none = pa.nulls(len(keep), pa.int32())
-            yield pa.RecordBatch.from_arrays([doc, pa.array(seq), none, none, pa.nulls(len(keep), pa.binary())], names=["doc", "seq", "block", "salt", "data"])
-        task = TaskContext.get().partitionId()
-        for first, table in ((0, np.minimum(counts, 255).astype(np.uint8)), (_HOT_BLOCK, hot)):
-            blocks = bounded.blocks_of(table, task)
+            at = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([b.column(2).take(at), b.column(0).take(at), pa.array(seq), none, none, pa.nulls(len(keep), pa.binary())], names=names)
+        if key_type is not None:
+            blocks = bounded.blocks_of(counts, TaskContext.get().partitionId())
             none = pa.nulls(len(blocks), pa.int64())
-            at = pc.add(blocks.column(0), pa.scalar(first, pa.int32()))
-            yield pa.RecordBatch.from_arrays([none, none, at, *blocks.columns[1:]], names=["doc", "seq", "block", "salt", "data"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(blocks), key_type), none, none, *blocks.columns], names=names)
 
     return scan
 
@@ -128,99 +125,213 @@ def _in_order(x: np.ndarray, row: np.ndarray, freq: np.ndarray) -> tuple[np.ndar
     return y[keep], row[o][keep]
 
 
-def _windows(width: int, min_words: int, t: float, buckets: int, bits: int, counts, copies, hot: int):
-    """Packed entries of the regions that each text is replicated into.
+def _window(x: np.ndarray, row: np.ndarray, rows: int, t: float, bits: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The mixed shingles of each row's window in order, with row, rank and the row's number of shingles."""
+    x, row = _in_order(x, row, table[bounded.slot(x, bits)])
+    n = np.bincount(row, minlength=rows)
+    rank = np.arange(len(x)) - (np.cumsum(n) - n)[row]
+    size = n[row]
+    m = rank < np.minimum(size, size - np.ceil(t * size - 1e-9).astype(np.int64) + SHARED)
+    return mix(x[m]), row[m], rank[m], size[m]
+
+
+def _region(x: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of a region and the three bytes that tell it from others of the bucket."""
+    return ((x >> U(32)) % U(buckets)).astype(np.int64), (x & U(0xFFFFFF)).astype(np.uint32)
 
-    An entry has 3 bytes of the pivot's hash (the bucket holds more of it), 8 of the
-    text's number, one for its size and one for the pivot's position with the weight as
-    its highest bit.
+
+def _entries(width: int, min_words: int, t: float, buckets: int, bits: int, counts):
+    """Packed entries of the regions of single shingles.
+
+    A piece holds a bucket's entries of a slice of rows: the numbers of entries and texts,
+    for each text its class and size, and for each entry the text's place, three bytes of
+    the region and one for the position, with the weight as its highest bit.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (table, hot_table), (seqs, reps) = counts.value, copies.value
-        for b in batches:
-            doc = b.column(0).to_numpy(zero_copy_only=False)
+        seen: set[int] = set()
+        for b in _sliced(batches):
             h, off = words(b.column(1).to_pylist())
-            n_words = np.diff(off)
-            use = n_words >= max(min_words, width)
             x, row, _ = shingles(h, off, width)
-            if len(seqs):
-                seq = _class_hash(h, off, x, row)
-                at = np.minimum(np.searchsorted(seqs, seq), len(seqs) - 1)
-                use &= ~((seqs[at] == seq) & (reps[at] != doc))
-            m = use[row]
-            x, row = _in_order(x[m], row[m], table[bounded.slot(x[m], bits)])
+            seq = _class_hash(h, off, x, row)
+            use = np.zeros(b.num_rows, bool)
+            long = np.flatnonzero(np.diff(off) >= max(min_words, width))
+            fresh, at = np.unique(seq[long], return_index=True)
+            # A task emits each class once; copies met by several tasks are dropped in the region.
+            new = np.fromiter((s not in seen for s in fresh.tolist()), bool, len(fresh))
+            use[long[at[new]]] = True
+            seen.update(fresh[new].tolist())
+            x, row = x[use[row]], row[use[row]]
+            x, row, rank, size = _window(x, row, b.num_rows, t, bits, counts.value)
             if not len(x):
                 continue
-            n = np.bincount(row, minlength=len(doc))
-            first = np.cumsum(n) - n
-            rank = np.arange(len(x)) - first[row]
-            size = n[row]
-            length = np.minimum(size, size - np.ceil(t * size - 1e-9).astype(np.int64) + SHARED)
-            m = rank < length
-            x, row, rank, size = x[m], row[m], rank[m], size[m]
-            frequent = hot_table[bounded.slot(x, HOT_BITS)] > hot
             # Texts of few distinct shingles may share fewer than SHARED.
             few = np.ceil(t * size - 1e-9) < SHARED
-            weight = np.where(few | (np.bincount(row[frequent], minlength=len(doc))[row] > 0), SHARED, 1)
-            if frequent.any():
-                # A frequent pivot s gives way to the pairs {s, s'} with the later pivots s' of the window.
-                end = np.searchsorted(row, row, side="right")
-                at = np.flatnonzero(frequent)
-                later = end[at] - at - 1
-                one = np.repeat(at, later)
-                two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(later) - later, later)
-                pair = mix(x[one] * U(0x9E3779B97F4A7C15) + x[two])
-                # A set so small that a partner may share one shingle only stays in the region of {s} too.
-                plain = ~frequent | (np.ceil(t * size - 1e-9) < 2)
-                x = np.concatenate((x[plain], pair))
-                row, rank, size = (np.concatenate((v[plain], v[one])) for v in (row, rank, size))
-                weight = np.concatenate((weight[plain], np.full(len(one), SHARED)))
-            x = mix(x)
-            bucket = ((x >> U(32)) % U(buckets)).astype(np.int64)
-            packed = np.empty((len(x), _ENTRY), np.uint8)
-            packed[:, :3] = x.view(np.uint8).reshape(-1, 8)[:, :3]
-            packed[:, 3:11] = doc[row].view(np.uint8).reshape(-1, 8)
-            packed[:, 11], packed[:, 12] = _code(size), _code(rank) | np.where(weight > 1, 128, 0).astype(np.uint8)
+            mark = _code(rank) | np.where(few, 128, 0).astype(np.uint8)
+            bucket, key = _region(x, buckets)
             o = np.argsort(bucket, kind="stable")
-            bucket, packed = bucket[o], packed[o]
-            cut = np.flatnonzero(np.diff(bucket)) + 1
-            pieces = np.split(packed, cut)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[np.concatenate(([0], cut))], pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], names=["bucket", "data"]
-            )
+            bucket, key, row, size, mark = bucket[o], key[o], row[o], size[o], mark[o]
+            begin = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1))
+            other = np.ones(len(row), bool)
+            other[1:] = row[1:] != row[:-1]
+            other[begin] = True
+            place = np.cumsum(other) - 1
+            place = (place - np.repeat(place[begin], np.diff(np.append(begin, len(row))))).astype(np.uint16)
+            key = key.view(np.uint8).reshape(-1, 4)[:, :3]
+            pieces = []
+            for lo, hi in zip(begin, [*begin[1:], len(row)], strict=True):
+                texts = lo + np.flatnonzero(other[lo:hi])
+                head = np.array([hi - lo, len(texts)], np.uint32)
+                pieces.append(b"".join(v.tobytes() for v in (head, seq[row[texts]], _code(size[texts]), place[lo:hi], key[lo:hi], mark[lo:hi])))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[begin], pa.int32()), pa.array(pieces, pa.binary())], names=["bucket", "data"])
 
     return emit
 
 
-def _join_region(t: float):
-    """The pairs of each bucket's regions that size and position allow, with their weights."""
-
-    def join(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = b"".join(x for b in rows for x in b.column("data").to_pylist())
-        e = np.frombuffer(data, np.uint8).reshape(-1, _ENTRY)
-        key = e[:, 0].astype(np.uint32) | e[:, 1].astype(np.uint32) << 8 | e[:, 2].astype(np.uint32) << 16
-        o = np.lexsort((e[:, 11], key))
-        e, key = e[o], key[o]
-        doc = np.ascontiguousarray(e[:, 3:11]).view(np.int64).ravel()
-        size, pos, weight = e[:, 11], e[:, 12] & 127, np.where(e[:, 12] & 128, SHARED, 1)
-        live, d = np.arange(len(e)), 0
-        while len(live):
-            d += 1
-            live = live[live + d < len(e)]
-            live = live[(key[live] == key[live + d]) & (_high(size[live]) >= t * _low(size[live + d]))]
-            i, j = live, live + d
-            n_i, n_j = _high(size[i]), _high(size[j])
-            least = np.ceil(t / (1 + t) * (_low(size[i]) + _low(size[j])) - 1e-9)
-            p_i, p_j = _low(pos[i]), _low(pos[j])
-            most = np.minimum(_high(pos[i]), _high(pos[j])) + 1 + np.minimum(n_i - p_i - 1, n_j - p_j - 1)
-            m = (most >= least) & (doc[i] != doc[j])
+def _unpack(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Region, class, size, position and weight of all entries of some pieces."""
+    parts = []
+    for p in pieces:
+        n, m = (int(v) for v in np.frombuffer(p, np.uint32, 2))
+        at = 8 + 8 * m
+        seq, size = np.frombuffer(p, np.int64, m, 8), np.frombuffer(p, np.uint8, m, at)
+        at += m
+        place = np.frombuffer(p, np.uint16, n, at)
+        key = np.frombuffer(p, np.uint8, 3 * n, at + 2 * n).reshape(-1, 3).astype(np.uint32)
+        mark = np.frombuffer(p, np.uint8, n, at + 5 * n)
+        parts.append((key[:, 0] | key[:, 1] << 8 | key[:, 2] << 16, seq[place], size[place], mark))
+    key, seq, size, mark = (np.concatenate(v) for v in zip(*parts, strict=True))
+    return key, seq, size, mark & 127, np.where(mark & 128, SHARED, 1)
+
+
+def _small(t: float) -> int:
+    """Texts of at most so many shingles may be partners of one that shares fewer than SHARED."""
+    n = 1
+    while np.ceil(t * (n + 1) - 1e-9) < SHARED:
+        n += 1
+    return int(n / t + 1e-9)
+
+
+def _split(key: np.ndarray, limit: int) -> np.ndarray:
+    """Which entries, in order of their regions, lie in one of more than `limit` texts."""
+    begin = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1)) if len(key) else np.zeros(0, np.int64)
+    n = np.diff(np.append(begin, len(key)))
+    return np.repeat(n > limit, n)
+
+
+def _meet(key: np.ndarray, low: np.ndarray, high: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (i, j) of entries of one region, in order of region and size, that their sizes allow."""
+    live, d = np.arange(len(key)), 0
+    while len(live):
+        d += 1
+        live = live[live + d < len(key)]
+        live = live[(key[live] == key[live + d]) & (high[live] >= t * low[live + d])]
+        if len(live):
+            yield live, live + d
+
+
+_RAW = "a long, b long, w int, hot long"
+
+
+def _raw(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(w.astype(np.int32)), pa.nulls(len(a), pa.int64())], names=["a", "b", "w", "hot"])
+
+
+def _join_bucket(t: float, limit: int):
+    """The pairs of a bucket's regions that size and position allow, with their weights, and
+    for the regions to split, their texts: rows (class, null, null, region)."""
+
+    def join(bucket: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, seq, size, pos, weight = _unpack([x for b in rows for x in b.column("data").to_pylist()])
+        o = np.lexsort((seq, size, key))
+        key, seq, size, pos, weight = key[o], seq[o], size[o], pos[o], weight[o]
+        one = np.ones(len(key), bool)
+        one[1:] = (key[1:] != key[:-1]) | (seq[1:] != seq[:-1])
+        key, seq, size, pos, weight = key[one], seq[one], size[one], pos[one], weight[one]
+        hot = _split(key, limit)
+        if hot.any():
+            none = pa.nulls(int(hot.sum()), pa.int64())
+            region = key[hot].astype(np.int64) | bucket[0].as_py() << 24
+            yield pa.RecordBatch.from_arrays([pa.array(seq[hot]), none, none.cast(pa.int32()), pa.array(region)], names=["a", "b", "w", "hot"])
+            # Texts so small that they may share no further shingle meet here all the same.
+            m = ~hot | (_low(size) <= _small(t))
+            key, seq, size, pos, weight = key[m], seq[m], size[m], pos[m], weight[m]
+        low, high = _low(size), _high(size)
+        p_low, p_high = _low(pos), _high(pos)
+        for i, j in _meet(key, low, high, t):
+            least = np.ceil(t / (1 + t) * (low[i] + low[j]) - 1e-9)
+            most = np.minimum(p_high[i], p_high[j]) + 1 + np.minimum(high[i] - p_low[i] - 1, high[j] - p_low[j] - 1)
+            m = most >= least
             i, j = i[m], j[m]
             if len(i):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j])), pa.array(np.minimum(weight[i], weight[j]).astype(np.int32))],
-                    names=["a", "b", "w"],
-                )
+                yield _raw(seq[i], seq[j], np.minimum(weight[i], weight[j]))
+
+    return join
+
+
+_DEEP = "bucket int, region long, seq long, size int, path binary"
+
+
+def _deeper(width: int, t: float, buckets: int, bits: int, counts, level: int):
+    """Entries of the regions of `level` shingles, from texts (seq, text, marks). `marks` are the
+    regions to split at the level before: at the first their numbers, later the ranks of
+    their shingles in the window."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, off = words(b.column("text").to_pylist())
+            x, row, _ = shingles(h, off, width)
+            x, row, rank, size = _window(x, row, b.num_rows, t, bits, counts.value)
+            begin = np.searchsorted(row, np.arange(b.num_rows + 1))
+            for i, (seq, marks) in enumerate(zip(b.column("seq").to_pylist(), b.column("marks").to_pylist(), strict=True)):
+                v = x[begin[i] : begin[i + 1]]
+                if level == 2:
+                    bucket, key = _region(v, buckets)
+                    paths = np.flatnonzero(np.isin(key.astype(np.int64) | bucket << 24, np.array(marks, np.int64)))[:, None]
+                else:
+                    paths = np.array([np.frombuffer(m, np.int32) for m in marks], np.int64).reshape(-1, level - 1)
+                # A slice of the paths at a time, each with every other shingle of the window.
+                step = max(1, 1_000_000 // max(1, len(v)))
+                for at in range(0, len(paths), step):
+                    some = paths[at : at + step]
+                    p = np.column_stack((np.repeat(some, len(v), axis=0), np.tile(np.arange(len(v)), len(some))))
+                    p = np.sort(p[(p[:, :-1] != p[:, -1:]).all(axis=1)], axis=1)
+                    p = np.unique(p, axis=0)
+                    region = np.full(len(p), level, U)
+                    for k in range(level):
+                        region = mix(region * U(0x9E3779B97F4A7C15) + v[p[:, k]])
+                    n = len(p)
+                    if n:
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(((region >> U(32)) % U(buckets)).astype(np.int32)), pa.array(region.view(np.int64)), pa.array(np.full(n, seq, np.int64)), pa.array(np.full(n, size[begin[i]], np.int32)),
+                                pa.array([r.tobytes() for r in p.astype(np.int32)], pa.binary()),
+                            ],
+                            names=["bucket", "region", "seq", "size", "path"],
+                        )
+
+    return emit
+
+
+def _join_deep(t: float, limit: int, last: bool):
+    """The pairs of the regions of several shingles, and rows (class, null, path) for those to split."""
+
+    def join(bucket: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = pa.Table.from_batches(list(rows)).combine_chunks()
+        region, seq, size = (e.column(c).to_numpy() for c in ("region", "seq", "size"))
+        o = np.lexsort((seq, size, region))
+        one = np.ones(len(o), bool)
+        one[1:] = (region[o][1:] != region[o][:-1]) | (seq[o][1:] != seq[o][:-1])
+        o = o[one]
+        hot = np.zeros(len(o), bool) if last else _split(region[o], limit)
+        if hot.any():
+            at = pa.array(o[hot])
+            yield pa.RecordBatch.from_arrays([pa.array(seq[o[hot]]), pa.nulls(len(at), pa.int64()), e.column("path").take(at).combine_chunks()], names=["a", "b", "path"])
+            o = o[~hot | (size[o] <= _small(t))]
+        region, seq, size = region[o], seq[o], size[o]
+        for i, j in _meet(region, size, size, t):
+            a, b = seq[i], seq[j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(i), pa.binary())], names=["a", "b", "path"])
 
     return join
 
@@ -235,94 +346,123 @@ def _verify(width: int, t: float, min_words: int):
     return verify
 
 
-def _join(df: DataFrame, key: str, text: str, width: int, threshold: float, min_words: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None, np.ndarray]:
-    """Similar pairs (a, b, overlap) of texts, rows (doc, key), texts (doc, seq), the large
-    classes (seq, rep) if there are any, and the map of texts with candidates."""
+def _numbered(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.xxhash64(F.col(key)).alias("doc"), F.col(text).cast("string").alias("text"), F.col(key).alias("key")).where("text is not null and key is not null")
+
+
+def _join(df: DataFrame, key: str, text: str, width: int, t: float, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """Similar pairs (a, b, overlap) of classes, and rows (key, doc, seq) of all texts."""
     spark = df.sparkSession
-    base = df.select(F.xxhash64(F.col(key)).alias("doc"), F.col(text).cast("string").alias("text"), F.col(key).alias("key")).where(
-        F.col(text).isNotNull() & F.col(key).isNotNull()
-    )
+    base = _numbered(df, key, text)
     texts = base.select("doc", "text")
     bits = bounded.counter_bits(texts.count())
-    scanned = materialize(texts.mapInArrow(_scan(width, min_words, bits), "doc long, seq long, block int, salt int, data binary"), "near-scan")
-    blocks = scanned.where("block is not null").select("block", "salt", "data")
-    table = bounded.collect_blocks(blocks.where(F.col("block") < _HOT_BLOCK), 1 << bits, "uint8", add=True)
-    hot_table = bounded.collect_blocks(blocks.where(F.col("block") >= _HOT_BLOCK).withColumn("block", F.col("block") - _HOT_BLOCK), 1 << HOT_BITS, "uint32", add=True)
-    docs = scanned.where("doc is not null").select("doc", "seq").distinct()
-    total = docs.count()
-    # At most total / least classes can be this large, so the list has a bound.
-    least = max(COPIES, -(-total // MOST_CLASSES))
-    classes = docs.groupBy("seq").agg(F.count("*").alias("n"), F.min("doc").alias("rep")).where(F.col("n") >= least).select("seq", "rep")
-    many = sorted((r["seq"], r["rep"]) for r in classes.collect())
-    seqs, reps = np.array([x for x, _ in many], np.int64), np.array([x for _, x in many], np.int64)
-    sc = spark.sparkContext
-    counts, copies = sc.broadcast((table, hot_table)), sc.broadcast((seqs, reps))
-    instances = int(hot_table.sum(dtype=np.uint64))
-    hot = max(5000, 8 * (instances >> HOT_BITS))
-    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 64, instances // 1_000_000)
-    entries = texts.mapInArrow(_windows(width, min_words, threshold, buckets, bits, counts, copies, hot), "bucket int, data binary")
-    raw = entries.groupBy("bucket").applyInArrow(_region_of(threshold), "a long, b long, w int")
-    candidates = materialize(raw.groupBy("a", "b").agg(F.sum("w").alias("w")).where(F.col("w") >= SHARED).select("a", "b"), "near-candidates")
-    ends = candidates.select(F.col("a").alias("doc")).unionByName(candidates.select(F.col("b").alias("doc")))
-    marked = bounded.hash_bitmap(ends, "doc", MARK_BITS)
-    few = bounded.keep_marked(texts, "doc", marked, MARK_BITS).dropDuplicates(["doc", "text"])
-    both = (
-        candidates.join(few.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(few.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
-    )
-    pairs = both.mapInArrow(_verify(width, threshold, min_words), "a long, b long, overlap double").dropDuplicates(["a", "b"])
-    return pairs, base.select("doc", "key"), docs, classes if many else None, marked
-
-
-def _members(keys: DataFrame, docs: DataFrame, classes: DataFrame | None) -> DataFrame:
-    if classes is None:
-        rep = docs.select("doc", F.col("doc").alias("rep"))
-    else:
-        rep = docs.join(classes.withColumnRenamed("rep", "class_rep"), "seq", "left").select("doc", F.coalesce("class_rep", "doc").alias("rep"))
-    return rep.join(keys.distinct(), "doc")
+    scanned = materialize(base.mapInArrow(_scan(width, min_words, bits), f"key {dict(base.dtypes)['key']}, doc long, seq long, block int, salt int, data binary"), "near-scan")
+    table = bounded.collect_blocks(scanned.where("block is not null").select("block", "salt", "data"), 1 << bits, "uint32", add=True)
+    instances = int(table.sum(dtype=np.uint64))
+    # Frequencies in steps of a sixteenth of a power of two, in one byte.
+    counts = spark.sparkContext.broadcast(np.minimum(8 * np.log2(1.0 + table), 255).astype(np.uint8))
+    members = scanned.where("doc is not null").select("key", "doc", "seq")
+    reps = members.groupBy("seq").agg(F.min("doc").alias("doc"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), instances // 2_000_000)
+    entries = texts.mapInArrow(_entries(width, min_words, t, buckets, bits, counts), "bucket int, data binary")
+    raw = entries.groupBy("bucket").applyInArrow(_join_bucket(t, REGION), _RAW)
+    level = materialize(raw.groupBy("a", "b", "hot").agg(F.sum("w").alias("w")).where(F.col("hot").isNotNull() | (F.col("w") >= SHARED)).select("a", "b", "hot"), "near-candidates")
+    candidates = level.where("b is not null").select("a", "b")
+    hot = level.where("b is null").select(F.col("a").alias("seq"), F.col("hot").alias("mark"))
+    for depth in range(2, SHARED + 1):
+        if hot.isEmpty():
+            break
+        # At most one mark for each region that a text's window reaches.
+        marks = hot.groupBy("seq").agg(F.collect_set("mark").alias("marks")).join(reps, "seq")
+        split = _texts_of(texts, marks).select("seq", "text", "marks")
+        deep = split.mapInArrow(_deeper(width, t, buckets, bits, counts, depth), _DEEP)
+        found = deep.groupBy("bucket").applyInArrow(_join_deep(t, REGION, depth == SHARED), "a long, b long, path binary")
+        level = materialize(found.distinct(), "near-split")
+        candidates = candidates.unionByName(level.where("b is not null").select("a", "b")).distinct()
+        hot = level.where("b is null").select(F.col("a").alias("seq"), F.col("path").alias("mark"))
+    pair = candidates.join(reps.select(F.col("seq").alias("a"), F.col("doc").alias("doc_a")), "a").join(reps.select(F.col("seq").alias("b"), F.col("doc").alias("doc_b")), "b")
+    pair = materialize(pair, "near-pairs")
+    ends = pair.select(F.col("doc_a").alias("doc")).unionByName(pair.select(F.col("doc_b").alias("doc")))
+    few = _texts_of(texts, ends, join=False)
+    both = pair.join(few.select(F.col("doc").alias("doc_a"), F.col("text").alias("text_a")), "doc_a").join(few.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
+    pairs = both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, t, min_words), "a long, b long, overlap double").dropDuplicates(["a", "b"])
+    return pairs, members
+
+
+def _texts_of(texts: DataFrame, wanted: DataFrame, join: bool = True) -> DataFrame:
+    """The texts of some numbers, each once, joined with `wanted` if asked. A map of fixed size keeps the
+    others from the shuffle."""
+    marked = bounded.hash_bitmap(wanted, "doc", MARK_BITS)
+    few = bounded.keep_marked(texts, "doc", marked, MARK_BITS).dropDuplicates(["doc"])
+    return few.join(wanted, "doc") if join else few
 
 
 def similar_texts(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, min_words: int = 15) -> tuple[DataFrame, DataFrame]:
     """Pairs of similar texts and the membership of rows in classes.
 
     Returns `pairs(a, b, overlap)` between numbers of classes of equal texts, of any size, and
-    `members(doc, rep, key)`: row `key` has the text number `doc` and the class `rep`. Two
-    rows with the same `rep` are copies, between which no pair is listed.
+    `members(rep, key)`: row `key` is in the class `rep`. Two rows with the same `rep` are
+    copies, between which no pair is listed.
 
     Null and empty texts and those under `min_words` words are in neither. A key that
     occurs several times counts once if its text is the same. Other columns are ignored.
     The output is the same at every run.
     """
-    pairs, keys, docs, _, _ = _join(df, key, text, width, threshold, min_words)
-    of_a, of_b = (docs.select(F.col("doc").alias(x), F.col("seq").alias(f"seq_{x}")) for x in "ab")
-    across = pairs.join(of_a, "a").join(of_b, "b").where("seq_a <> seq_b")
-    linked = across.groupBy(F.least("seq_a", "seq_b").alias("a"), F.greatest("seq_a", "seq_b").alias("b")).agg(F.max("overlap").alias("overlap"))
-    return linked, docs.withColumnRenamed("seq", "rep").join(keys.distinct(), "doc").select("doc", "rep", "key")
-
-
-def _region_of(t: float):
-    join = _join_region(t)
-
-    def region(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from join(rows)
-
-    return region
+    pairs, members = _join(df, key, text, width, threshold, min_words)
+    return pairs, members.select(F.col("seq").alias("rep"), "key").distinct()
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, min_words: int = 15) -> DataFrame:
     """All pairs of keys (a < b) whose texts are similar, equal texts included, each once."""
-    pairs, keys, docs, classes, marked = _join(df, key, text, width, threshold, min_words)
-    if classes is None:
-        # Only rows of texts that have candidates can be in a pair.
-        keys = bounded.keep_marked(keys, "doc", marked, MARK_BITS).distinct()
-        named = pairs.join(keys.select(F.col("doc").alias("a"), F.col("key").alias("key_a")), "a").join(keys.select(F.col("doc").alias("b"), F.col("key").alias("key_b")), "b")
-        return named.where("key_a <> key_b").select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
-    members = _members(keys, docs, classes)
-    left = members.select(F.col("rep").alias("a"), F.col("key").alias("key_a"))
-    right = members.select(F.col("rep").alias("b"), F.col("key").alias("key_b"))
-    across = pairs.select("a", "b").join(left, "a").join(right, "b").select("key_a", "key_b")
-    shared = members.where("doc <> rep").select("rep").distinct()
-    copies = members.join(shared, "rep", "left_semi")
-    within = copies.select("rep", F.col("key").alias("key_a")).join(copies.select("rep", F.col("key").alias("key_b")), "rep").where("key_a < key_b").select("key_a", "key_b")
+    pairs, members = _join(df, key, text, width, threshold, min_words)
+    pairs = materialize(pairs.select("a", "b"), "near-found")
+    # Only classes with a partner or with several members are looked up.
+    copied = members.groupBy("seq").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("seq")
+    paired = pairs.select(F.col("a").alias("seq")).unionByName(pairs.select(F.col("b").alias("seq")))
+    some = bounded.keep_marked(members.select("seq", "key"), "seq", bounded.hash_bitmap(paired, "seq", MARK_BITS), MARK_BITS).distinct()
+    left, right = (some.select(F.col("seq").alias(x), F.col("key").alias(f"key_{x}")) for x in "ab")
+    across = pairs.join(left, "a").join(right, "b").select("key_a", "key_b")
+    copies = members.select("seq", "key").distinct().join(copied, "seq", "left_semi")
+    within = copies.withColumnRenamed("key", "key_a").join(copies.withColumnRenamed("key", "key_b"), "seq").where("key_a < key_b").select("key_a", "key_b")
     return across.unionByName(within).where("key_a <> key_b").select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
+
+
+def regions_per_text(df: DataFrame, key: str, text: str, width: int, thresholds: list[float], pivots: list[int], min_words: int = 15) -> DataFrame:
+    """Rows (n_pivots, threshold, n_texts, alone, regions): in how many Voronoi regions a text would lie if
+    whole texts were pivots, and the share of texts with no region but their own.
+
+    The pivots are the texts whose keys have the smallest hashes, at most max(pivots), a
+    bounded sample. A text goes to the region of its nearest pivot and to each whose pivot
+    is at most 2 (1 - threshold) further away.
+    """
+    base = _numbered(df, key, text).select("doc", "text").where(F.size(F.split(F.col("text"), r"\s+")) >= min_words)
+    chosen = [r["text"] for r in base.groupBy("doc").agg(F.min("text").alias("text")).orderBy("doc").limit(max(pivots)).collect()]
+    xp, rp = distinct(*shingles(*words(chosen), width)[:2])
+    n_p = np.bincount(rp, minlength=len(chosen))
+    o = np.argsort(xp, kind="stable")
+    shared = df.sparkSession.sparkContext.broadcast((xp[o], rp[o], n_p))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xp, rp, n_p = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                h, off = words(b.column(1).to_pylist())
+                use = np.diff(off) >= max(min_words, width)
+                x, row = distinct(*shingles(h, off, width)[:2])
+                n = np.bincount(row, minlength=b.num_rows)
+                lo, hi = np.searchsorted(xp, x, "left"), np.searchsorted(xp, x, "right")
+                m = hi - lo
+                hit = np.repeat(lo, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                common = np.bincount(np.repeat(row, m) * len(n_p) + rp[hit], minlength=b.num_rows * len(n_p)).reshape(b.num_rows, -1)
+                d = (1 - common / np.maximum(n[:, None] + n_p[None, :] - common, 1))[use]
+                for k in pivots:
+                    near = d[:, :k]
+                    for t in thresholds:
+                        c = (near <= near.min(axis=1, keepdims=True, initial=1) + 2 * (1 - t) + 1e-12).sum(axis=1)
+                        cols = [[k], [t], [len(c)], [int((c == 1).sum())], [int(c.sum())]]
+                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names=["n_pivots", "threshold", "n_texts", "alone", "regions"])
+
+    counted = base.mapInArrow(run, "n_pivots long, threshold double, n_texts long, alone long, regions long").groupBy("n_pivots", "threshold")
+    n = F.sum("n_texts")
+    return counted.agg(n.alias("n_texts"), F.round(F.sum("alone") / n, 4).alias("alone"), F.round(F.sum("regions") / n, 2).alias("regions"))

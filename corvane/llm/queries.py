@@ -130,6 +130,11 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return full.join(first, "group_rep").join(links, "rep", "left").join(named, "rep").select("passage_id", "class_id", "group_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p4_regions(spark: SparkSession, d: str) -> DataFrame:
+    """In how many Voronoi regions of whole texts a passage would lie, by number of pivots and threshold."""
+    return nearpairs.regions_per_text(read_table(spark, d, "passages"), "passage_id", "text", 3, [0.6, 0.8, 0.95], [16, 128, 1024])
+
+
 # 5. same records across splits
 
 
@@ -213,7 +218,7 @@ def _shipped(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    fs = [p1_found, p1_flags, p2_found, p2_items, p3_quantiles, p3_within, p4_found, p4_groups, p5_found, p5_report, p5_paths, p6_assign, p6_fill, p7_mixture, p7_shares, p8_found, p8_forms]
+    fs = [p1_found, p1_flags, p2_found, p2_items, p3_quantiles, p3_within, p4_found, p4_groups, p4_regions, p5_found, p5_report, p5_paths, p6_assign, p6_fill, p7_mixture, p7_shares, p8_found, p8_forms]
     return {f.__name__: _shipped(f) for f in fs}
 
 

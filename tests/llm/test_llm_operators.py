@@ -59,15 +59,21 @@ def test_near_duplicates(spark, texts):
     assert nearpairs.similar_pairs(df.limit(0), "id", "text").count() == 0
 
 
-def test_frequent_pivots(spark, texts, monkeypatch):
-    """Regions of frequent pivots are split by pairs without losing a pair."""
+def test_split_regions(spark, texts, monkeypatch):
+    """Regions of frequent shingles are split, again and again, without losing a pair."""
     some = [(k, t) for k, t in texts if not (k or "").startswith("copy")]
-    original = nearpairs._windows
-    monkeypatch.setattr(nearpairs, "_windows", lambda *a: original(*a[:-1], 3))
-    got = {tuple(r) for r in nearpairs.similar_pairs(spark.createDataFrame(some, "id string, text string"), "id", "text", 3, 0.6, 15).collect()}
     s = sets(some, 3, 15)
     keys = sorted(s)
-    assert got == {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if similar(s[a], s[b], 0.6)}
+    want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if similar(s[a], s[b], 0.6)}
+    for limit in (1, 3):
+        monkeypatch.setattr(nearpairs, "REGION", limit)
+        assert {tuple(r) for r in nearpairs.similar_pairs(spark.createDataFrame(some, "id string, text string"), "id", "text", 3, 0.6, 15).collect()} == want
+
+
+def test_regions_of_whole_texts(spark, texts):
+    rows = nearpairs.regions_per_text(spark.createDataFrame(texts, "id string, text string"), "id", "text", 3, [0.6, 0.95], [2, 16]).collect()
+    n = len({k for k in sets(texts, 3, 15)})
+    assert len(rows) == 4 and all(1 <= r["regions"] <= r["n_pivots"] and r["n_texts"] >= n for r in rows)
 
 
 def test_split_overlaps(spark, texts):
