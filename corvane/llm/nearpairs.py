@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import bounded
@@ -135,12 +135,24 @@ def _window(x: np.ndarray, row: np.ndarray, rows: int, t: float, bits: int, tabl
     return mix(x[m]), row[m], rank[m], size[m]
 
 
-def _region(x: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def _region(x: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of a region and the three bytes that tell it from others of the bucket."""
-    return ((x >> U(32)) % U(buckets)).astype(np.int64), (x & U(0xFFFFFF)).astype(np.uint32)
+    return buckets[((x >> U(32)) % U(len(buckets))).astype(np.int64)], (x & U(0xFFFFFF)).astype(np.uint32)
 
 
-def _entries(width: int, min_words: int, t: float, buckets: int, bits: int, counts):
+def _even_buckets(spark: SparkSession, least: int) -> np.ndarray:
+    """Numbers of buckets that a hash partitioning deals out evenly: as many for each shuffle
+    partition, at least `least` in all."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = -(-least // parts)
+    # In 40 times as many numbers each partition is met often enough, all but surely; if not, it gets fewer.
+    number = spark.range(0, 40 * each * parts).select(F.col("id").cast("int").alias("id"))
+    at = number.withColumn("part", F.pmod(F.hash("id"), F.lit(parts)))
+    rows = at.groupBy("part").agg(F.slice(F.array_sort(F.collect_list("id")), 1, each).alias("ids")).collect()
+    return np.array(sorted(i for r in rows for i in r["ids"]), np.int64)
+
+
+def _entries(width: int, min_words: int, t: float, buckets: np.ndarray, bits: int, counts):
     """Packed entries of the regions of single shingles.
 
     A piece holds a bucket's entries of a slice of rows: the numbers of entries and texts,
@@ -230,16 +242,18 @@ def _meet(key: np.ndarray, low: np.ndarray, high: np.ndarray, t: float) -> Itera
             yield live, live + d
 
 
-_RAW = "a long, b long, w int, hot long"
+_RAW = "a long, b long, w int"
+#: The weight of rows (class, region), by which regions to split are told from pairs.
+_SPLIT = -(1 << 20)
 
 
 def _raw(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(w.astype(np.int32)), pa.nulls(len(a), pa.int64())], names=["a", "b", "w", "hot"])
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(w.astype(np.int32))], names=["a", "b", "w"])
 
 
 def _join_bucket(t: float, limit: int):
     """The pairs of a bucket's regions that size and position allow, with their weights, and
-    for the regions to split, their texts: rows (class, null, null, region)."""
+    for the regions to split, their texts: rows (class, region, _SPLIT)."""
 
     def join(bucket: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, seq, size, pos, weight = _unpack([x for b in rows for x in b.column("data").to_pylist()])
@@ -250,9 +264,7 @@ def _join_bucket(t: float, limit: int):
         key, seq, size, pos, weight = key[one], seq[one], size[one], pos[one], weight[one]
         hot = _split(key, limit)
         if hot.any():
-            none = pa.nulls(int(hot.sum()), pa.int64())
-            region = key[hot].astype(np.int64) | bucket[0].as_py() << 24
-            yield pa.RecordBatch.from_arrays([pa.array(seq[hot]), none, none.cast(pa.int32()), pa.array(region)], names=["a", "b", "w", "hot"])
+            yield _raw(seq[hot], key[hot].astype(np.int64) | bucket[0].as_py() << 24, np.full(int(hot.sum()), _SPLIT))
             # Texts so small that they may share no further shingle meet here all the same.
             m = ~hot | (_low(size) <= _small(t))
             key, seq, size, pos, weight = key[m], seq[m], size[m], pos[m], weight[m]
@@ -264,7 +276,7 @@ def _join_bucket(t: float, limit: int):
             m = most >= least
             i, j = i[m], j[m]
             if len(i):
-                yield _raw(seq[i], seq[j], np.minimum(weight[i], weight[j]))
+                yield _raw(np.minimum(seq[i], seq[j]), np.maximum(seq[i], seq[j]), np.minimum(weight[i], weight[j]))
 
     return join
 
@@ -272,7 +284,7 @@ def _join_bucket(t: float, limit: int):
 _DEEP = "bucket int, region long, seq long, size int, path binary"
 
 
-def _deeper(width: int, t: float, buckets: int, bits: int, counts, level: int):
+def _deeper(width: int, t: float, buckets: np.ndarray, bits: int, counts, level: int):
     """Entries of the regions of `level` shingles, from texts (seq, text, marks). `marks` are the
     regions to split at the level before: at the first their numbers, later the ranks of
     their shingles in the window."""
@@ -304,7 +316,7 @@ def _deeper(width: int, t: float, buckets: int, bits: int, counts, level: int):
                     if n:
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array(((region >> U(32)) % U(buckets)).astype(np.int32)), pa.array(region.view(np.int64)), pa.array(np.full(n, seq, np.int64)), pa.array(np.full(n, size[begin[i]], np.int32)),
+                                pa.array(_region(region, buckets)[0].astype(np.int32)), pa.array(region.view(np.int64)), pa.array(np.full(n, seq, np.int64)), pa.array(np.full(n, size[begin[i]], np.int32)),
                                 pa.array([r.tobytes() for r in p.astype(np.int32)], pa.binary()),
                             ],
                             names=["bucket", "region", "seq", "size", "path"],
@@ -363,12 +375,12 @@ def _join(df: DataFrame, key: str, text: str, width: int, t: float, min_words: i
     counts = spark.sparkContext.broadcast(np.minimum(8 * np.log2(1.0 + table), 255).astype(np.uint8))
     members = scanned.where("doc is not null").select("key", "doc", "seq")
     reps = members.groupBy("seq").agg(F.min("doc").alias("doc"))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), instances // 2_000_000)
+    buckets = _even_buckets(spark, max(1, instances // 2_000_000))
     entries = texts.mapInArrow(_entries(width, min_words, t, buckets, bits, counts), "bucket int, data binary")
     raw = entries.groupBy("bucket").applyInArrow(_join_bucket(t, REGION), _RAW)
-    level = materialize(raw.groupBy("a", "b", "hot").agg(F.sum("w").alias("w")).where(F.col("hot").isNotNull() | (F.col("w") >= SHARED)).select("a", "b", "hot"), "near-candidates")
-    candidates = level.where("b is not null").select("a", "b")
-    hot = level.where("b is null").select(F.col("a").alias("seq"), F.col("hot").alias("mark"))
+    level = materialize(raw.groupBy("a", "b").agg(F.sum("w").alias("w")).where((F.col("w") < 0) | (F.col("w") >= SHARED)), "near-candidates")
+    candidates = level.where("w > 0").select("a", "b")
+    hot = level.where("w < 0").select(F.col("a").alias("seq"), F.col("b").alias("mark"))
     for depth in range(2, SHARED + 1):
         if hot.isEmpty():
             break
