@@ -17,12 +17,13 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.llm.kernels import U, mix
 from corvane.session import materialize
 
 # Letters and signs drawn alike, each row "representative: its doubles".
@@ -95,14 +96,61 @@ INVISIBLE = "00AD 00AD, 034F 034F, 061C 061C, 115F 1160, 17B4 17B5, 180B 180F, 2
 BLANKS = "0009 00A0 1680 2000 2001 2002 2003 2004 2005 2006 2007 2008 2009 200A 202F 205F 3000"
 #: Kinds of line break.
 BREAKS = "000B 000C 000D 0085 2028 2029"
-_tables: tuple | None = None
+#: Scripts, by the names of their letters, of which ICU's data tell the letters drawn like those of Latin.
+FURTHER_SCRIPTS = ("ARMENIAN", "CHEROKEE", "COPTIC", "LISU", "DESERET", "OSAGE", "TIFINAGH", "OLD ITALIC", "LYCIAN", "CARIAN", "LYDIAN", "GOTHIC", "WARANG CITI", "MIAO", "GEORGIAN", "ELBASAN", "RUNIC")
+_tables: dict[str, tuple] = {}
+_confusables: dict[str, str] = {}
 
 
-def _build() -> tuple:
+def confusables(spark: SparkSession) -> str:
+    """Further rows "representative: doubles" from ICU's confusables data, asked once on the driver.
+
+    Letters of FURTHER_SCRIPTS go to the one ASCII letter of the same skeleton. Letters of
+    these, Greek and Cyrillic whose skeleton no ASCII character has go to the first of
+    them. What `ALIKE` lists stays as it is there.
+    """
+    if "icu" not in _confusables:
+        builder = getattr(spark._jvm.com.ibm.icu.text, "SpoofChecker$Builder")
+        checker = builder().build()
+
+        def skeletons(chars: list[str]) -> list[str]:
+            return checker.getSkeleton("\n".join(chars)).split("\n")
+
+        ascii_ = [chr(c) for c in range(0x21, 0x7F)]
+        holders: dict[str, list[str]] = {}
+        for c, x in zip(ascii_, skeletons(ascii_), strict=True):
+            holders.setdefault(x, []).append(c)
+        listed = {x for line in ALIKE.strip().splitlines() for x in line.replace(":", " ").split()}
+        letters = []
+        for n in range(0x80, 0x20000):
+            c = chr(n)
+            if c not in listed and unicodedata.category(c)[0] == "L" and unicodedata.name(c, "").startswith((*FURTHER_SCRIPTS, "GREEK", "CYRILLIC")) and unicodedata.normalize("NFKD", c) == c:
+                letters.append(c)
+        doubles: dict[str, list[str]] = {}
+        for c, x in zip(letters, skeletons(letters), strict=True):
+            have = holders.get(x, [])
+            latin = [a for a in have if a.isalpha()]
+            if len(x) != 1:
+                continue
+            if not have:
+                doubles.setdefault(x, []).append(c)
+            elif len(latin) == 1 and unicodedata.name(c).startswith(FURTHER_SCRIPTS):
+                doubles.setdefault(latin[0], []).append(c)
+        rows = []
+        for to, some in sorted(doubles.items()):
+            # Where no ASCII letter stands for them, the first does.
+            first, rest = (to, some) if to.isascii() else (some[0], some[1:])
+            if rest:
+                rows.append(f"{first}: {' '.join(rest)}")
+        _confusables["icu"] = "\n".join(rows)
+    return _confusables["icu"]
+
+
+def _build(more: str) -> tuple:
     """Lengths and offsets of the replacements, the replacements, combining classes,
     and the sorted pairs of base and mark with their composites."""
     alike = {}
-    for line in ALIKE.strip().splitlines():
+    for line in (ALIKE.strip() + "\n" + more).strip().splitlines():
         to, doubles = line[0], line[2:].split()
         for x in doubles:
             alike.setdefault(x, to)
@@ -152,11 +200,10 @@ def _build() -> tuple:
     return length, first, extra_at, np.array(extra, np.uint32), ccc, keys, made, second
 
 
-def tables() -> tuple:
-    global _tables
-    if _tables is None:
-        _tables = _build()
-    return _tables
+def tables(more: str = "") -> tuple:
+    if more not in _tables:
+        _tables[more] = _build(more)
+    return _tables[more]
 
 
 def _order_marks(cp: np.ndarray, row: np.ndarray, ccc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,26 +248,81 @@ def _compose(cp: np.ndarray, row: np.ndarray, ccc: np.ndarray, keys: np.ndarray,
         cp, row = cp[keep], row[keep]
 
 
-def canonical(texts: list[str | None], block: int = 1 << 19) -> list[str | None]:
+def decode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, one after the other, and how many each has. Null counts as empty."""
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
+    wide = pa.types.is_large_string(texts.type)
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    lead = (raw & 0xC0) != 0x80
+    start = np.flatnonzero(lead)
+    cp = raw[start].astype(np.uint32)
+    upto = np.concatenate(([0], np.cumsum(lead)))[at]
+    if len(start) < len(raw):
+        # Longer characters: the leading byte tells their number of bytes, each further one holds six bits.
+        for low, high, more in ((0xC0, 0xE0, 1), (0xE0, 0xF0, 2), (0xF0, 0x100, 3)):
+            m = np.flatnonzero((raw[start] >= low) & (raw[start] < high))
+            v = cp[m] & (0x3F >> more)
+            for k in range(1, more + 1):
+                v = v << 6 | (raw[start[m] + k] & 0x3F)
+            cp[m] = v
+    return cp, np.diff(upto)
+
+
+def encode(cp: np.ndarray, counts: np.ndarray, missing: pa.Array | None = None) -> pa.Array:
+    """Texts from code points and the number each has; the inverse of `decode`. Null where `missing` is true."""
+    width = 1 + (cp >= 0x80) + (cp >= 0x800).astype(np.int64) + (cp >= 0x10000)
+    end = np.cumsum(width)
+    raw = np.empty(int(end[-1]) if len(end) else 0, np.uint8)
+    start = end - width
+    for n, mark in ((1, 0), (2, 0xC0), (3, 0xE0), (4, 0xF0)):
+        m = np.flatnonzero(width == n)
+        for k in range(n):
+            byte = cp[m] >> np.uint32(6 * (n - 1 - k))
+            raw[start[m] + k] = (byte | mark if k == 0 else byte & 0x3F | 0x80).astype(np.uint8)
+    upto = np.concatenate(([0], np.cumsum(counts)))
+    offsets = np.concatenate(([0], end))[upto].astype(np.int64)
+    out = pa.LargeStringArray.from_buffers(len(counts), pa.py_buffer(offsets), pa.py_buffer(raw))
+    return out if missing is None else pc.if_else(missing, pa.scalar(None, pa.large_string()), out)
+
+
+#: Characters that are worked through at once, which keeps the arrays in cache; a longer text is a block of its own.
+BLOCK = 1 << 19
+
+
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK, "right")))
+        yield at, stop
+        at = stop
+
+
+def forms(texts: pa.Array, more: str = "") -> pa.Array:
     """The form of each text. Null stays null."""
-    out: list[str | None] = []
-    start = 0
-    while start < len(texts):
-        stop, size = start, 0
-        while stop < len(texts) and (size == 0 or size < block):
-            size += len(texts[stop] or "") + 1
-            stop += 1
-        out.extend(_canonical(texts[start:stop]))
-        start = stop
-    return out
-
-
-def _canonical(texts: list[str | None]) -> list[str | None]:
-    length, first, extra_at, extra, ccc, keys, made, second = tables()
-    parts = [t or "" for t in texts]
-    n = np.fromiter(map(len, parts), np.int64, len(parts))
-    cp = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.repeat(np.arange(len(parts)), n)
+    texts = texts.cast(pa.large_string())
+    if not len(texts):
+        return texts
+    parts = []
+    for at, stop in _blocks(texts):
+        some = texts.slice(at, stop - at)
+        parts.append(encode(*form_points(*decode(some), more), pc.is_null(some) if some.null_count else None))
+    return pa.concat_arrays(parts)
+
+
+def canonical(texts: list[str | None], more: str = "") -> list[str | None]:
+    """The form of each text of a list."""
+    return forms(pa.array(texts, pa.string()), more).to_pylist()
+
+
+def form_points(cp: np.ndarray, counts: np.ndarray, more: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """The code points of the texts' forms, and how many each has."""
+    length, first, extra_at, extra, ccc, keys, made, second = tables(more)
+    row = np.repeat(np.arange(len(counts)), counts)
     if len(cp) > 1:
         # The line feed of a pair with a carriage return goes.
         pair = np.concatenate(([False], (cp[1:] == 10) & (cp[:-1] == 13) & (row[1:] == row[:-1])))
@@ -234,19 +336,24 @@ def _canonical(texts: list[str | None]) -> list[str | None]:
     new[at[some]] = first[cp[some]]
     long = np.flatnonzero(size > 1)
     if len(long):
-        more = size[long] - 1
-        inner = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
-        new[np.repeat(at[long] + 1, more) + inner] = extra[np.repeat(extra_at[cp[long]], more) + inner]
+        rest = size[long] - 1
+        inner = np.arange(int(rest.sum())) - np.repeat(np.cumsum(rest) - rest, rest)
+        new[np.repeat(at[long] + 1, rest) + inner] = extra[np.repeat(extra_at[cp[long]], rest) + inner]
     new, new_row = _order_marks(new, new_row, ccc)
     new, new_row = _compose(new, new_row, ccc, keys, made, second)
-    text = new.tobytes().decode("utf-32-le", "surrogatepass")
-    ends = np.cumsum(np.bincount(new_row, minlength=len(parts)))
-    begin = np.concatenate(([0], ends[:-1]))
-    return [None if t is None else text[a:b] for t, a, b in zip(texts, begin.tolist(), ends.tolist(), strict=True)]
+    return new, np.bincount(new_row, minlength=len(counts))
 
 
-def _series(text: pd.Series) -> pd.Series:
-    return pd.Series(canonical([x if isinstance(x, str) else None for x in text.tolist()]), dtype=object)
+def _numbers(cp: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit numbers of each text: sums over its characters, each mixed with its place."""
+    begin = np.cumsum(counts) - counts
+    place = (np.arange(len(cp)) - np.repeat(begin, counts)).astype(U)
+    x = place << U(21) | cp
+    out = []
+    for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        total = np.concatenate((np.zeros(1, U), np.cumsum(mix(x * U(salt) + U(salt >> 7)), dtype=U)))
+        out.append(mix(total[begin + counts] - total[begin] + counts.astype(U) * U(salt)).view(np.int64))
+    return out[0], out[1]
 
 
 def with_canonical(df: DataFrame, text: str, into: str = "canonical") -> DataFrame:
@@ -255,37 +362,68 @@ def with_canonical(df: DataFrame, text: str, into: str = "canonical") -> DataFra
     Null stays null, empty stays empty; a text without any visible character becomes one
     of blanks and line breaks or an empty one.
     """
-    return df.withColumn(into, F.pandas_udf(_series, T.StringType())(F.col(text).cast("string")))
+    more = confusables(df.sparkSession)
+
+    def run(texts: pa.Array) -> pa.Array:
+        return forms(texts, more).cast(pa.string())
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return df.withColumn(into, F.arrow_udf(run, T.StringType())(F.col(text).cast("string")))
 
 
-def _keyed(key: str):
-    import hashlib
+_NUMBERED = "form long, form_2 long, raw long, raw_2 long"
 
+
+def _keyed(key: str, more: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = b.column(1).to_pylist()
-            forms = canonical(raw)
-            use = [i for i, f in enumerate(forms) if f and not f.isspace()]
-            digest = lambda s: hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(use, pa.int64())), pa.array([digest(forms[i]) for i in use], pa.binary()), pa.array([digest(raw[i]) for i in use], pa.binary())], names=[key, "form", "raw"]
-            )
+        blank = None
+        for whole in batches:
+            texts = whole.column(1)
+            for at, stop in _blocks(texts):
+                cp, counts = decode(texts.slice(at, stop - at))
+                new, n = form_points(cp, counts, more)
+                # Texts with a visible character: one that isn't a blank or a line break.
+                if blank is None:
+                    blank = np.fromiter((chr(c).isspace() for c in range(0x110000)), bool, 0x110000)
+                seen = np.concatenate(([0], np.cumsum(~blank[new])))
+                end = np.cumsum(n)
+                use = np.flatnonzero(seen[end] > seen[end - n])
+                numbers = [v[use] for v in (*_numbers(new, n), *_numbers(cp, counts))]
+                yield pa.RecordBatch.from_arrays([whole.column(0).take(pa.array(use + at)), *map(pa.array, numbers)], names=[key, *[c.split()[0] for c in _NUMBERED.split(", ")]])
 
     return run
 
 
+def _spellings(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (key, form, form_2, raw, raw_2) of the texts whose form occurs in several spellings."""
+    kind = dict(df.dtypes)[key]
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, F.col(text).cast("string")).mapInArrow(_keyed(key, confusables(df.sparkSession)), f"`{key}` {kind}, {_NUMBERED}")
+    rows = materialize(rows.distinct(), "forms")
+    raw = F.struct("raw", "raw_2")
+    varied = rows.groupBy("form", "form_2").agg(F.min(raw).alias("lo"), F.max(raw).alias("hi")).where("lo <> hi").select("form", "form_2")
+    return rows.join(varied, ["form", "form_2"], "left_semi")
+
+
 def same_looking(df: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs (key_a < key_b) whose texts differ in characters but have one form.
 
     Texts that are null or without a visible character are never in a pair, and neither
-    are equal texts. Only 128-bit digests of the texts are shuffled, and of these only
+    are equal texts. Only 128-bit numbers of the texts are shuffled, and of these only
     forms that occur in several spellings are joined.
     """
-    kind = dict(df.dtypes)[key]
-    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, F.col(text).cast("string")).mapInArrow(_keyed(key), f"`{key}` {kind}, form binary, raw binary")
-    rows = materialize(rows.distinct(), "forms")
-    varied = rows.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
-    some = rows.join(varied, "form", "left_semi")
-    a = some.select("form", F.col(key).alias("key_a"), F.col("raw").alias("raw_a"))
-    b = some.select("form", F.col(key).alias("key_b"), F.col("raw").alias("raw_b"))
-    return a.join(b, "form").where("key_a < key_b and raw_a <> raw_b").select("key_a", "key_b").distinct()
+    some = _spellings(df, key, text)
+    a, b = (some.select("form", "form_2", F.col(key).alias(f"key_{x}"), F.struct("raw", "raw_2").alias(f"raw_{x}")) for x in "ab")
+    return a.join(b, ["form", "form_2"]).where("key_a < key_b and raw_a <> raw_b").select("key_a", "key_b").distinct()
+
+
+def look_alikes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (key, class, n_keys, n_spellings) of the texts that look like others of other characters:
+    `class` is the smallest key with the same form, of which there are n_keys in n_spellings.
+
+    A key whose texts differ counts for each of them. Rows aren't paired, so a form with many
+    copies costs one row for each.
+    """
+    some = _spellings(df, key, text)
+    n = some.groupBy("form", "form_2", "raw", "raw_2").agg(F.count("*").alias("n"), F.min(key).alias("first"))
+    n = n.groupBy("form", "form_2").agg(F.min("first").alias("class"), F.sum("n").alias("n_keys"), F.count("*").alias("n_spellings"))
+    return some.join(n, ["form", "form_2"]).select(key, "class", "n_keys", "n_spellings")

@@ -204,6 +204,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.same_looking(read_table(spark, d, "documents"), "doc_id", "text").select(F.col("key_a").alias("doc_a"), F.col("key_b").alias("doc_b"))
 
 
+def p8_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each document that looks like another of other characters, with the class of its form."""
+    return canonical.look_alikes(read_table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("class", "class_id")
+
+
 def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every document's text in the one form."""
     return canonical.with_canonical(read_table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "canonical")
@@ -218,7 +223,7 @@ def _shipped(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    fs = [p1_found, p1_flags, p2_found, p2_items, p3_quantiles, p3_within, p4_found, p4_groups, p4_regions, p5_found, p5_report, p5_paths, p6_assign, p6_fill, p7_mixture, p7_shares, p8_found, p8_forms]
+    fs = [p1_found, p1_flags, p2_found, p2_items, p3_quantiles, p3_within, p4_found, p4_groups, p4_regions, p5_found, p5_report, p5_paths, p6_assign, p6_fill, p7_mixture, p7_shares, p8_found, p8_groups, p8_forms]
     return {f.__name__: _shipped(f) for f in fs}
 
 
@@ -290,5 +295,13 @@ def _p8() -> str:
 select distinct a.doc_id as doc_a, b.doc_id as doc_b from f a join f b using (form) where a.doc_id < b.doc_id and a.text <> b.text and trim(form, ' ' || chr(10)) <> ''"""
 
 
+def _p8_groups() -> str:
+    return f"""with pairs as ({_p8()}), both_ as (select doc_a as a, doc_b as b from pairs union all select doc_b, doc_a from pairs),
+forms as (select a, least(a, min(b)) as first_ from both_ group by a),
+classes as (select a, min(least(f.first_, g.first_)) as class_id from (select a, b from both_ union all select distinct a, a from both_) join forms f using (a) join forms g on g.a = b group by a),
+texts as (select class_id, count(*) as n_keys, count(distinct text) as n_spellings from classes join documents on doc_id = a group by class_id)
+select a as doc_id, class_id, n_keys, n_spellings from classes join texts using (class_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p3_within": _P3, "p4_found": _P4, "p5_found": _P5, "p5_report": _P5_REPORT, "p8_found": _p8()}
+    return {"p2_found": _P2, "p3_within": _P3, "p4_found": _P4, "p5_found": _P5, "p5_report": _P5_REPORT, "p8_found": _p8(), "p8_groups": _p8_groups()}

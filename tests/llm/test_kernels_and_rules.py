@@ -9,7 +9,7 @@ import pytest
 
 from corvane.llm import kernels as K
 from corvane.llm import mixing, quality
-from corvane.llm.canonical import canonical
+from corvane.llm.canonical import canonical, confusables, decode, encode, forms
 from corvane.llm.leakage import aligned_runs
 from corvane.llm.packing import Packing
 from corvane.llm.quantiles import Summary, target_rank
@@ -167,3 +167,24 @@ def test_budgets_of_long_texts():
             reach = {r + i * s for r in reach for i in range(n + 1) if r + i * s <= b}
         t = mixing.fill(counts, b)
         assert all(0 <= n <= counts[s] for s, n in t.items()) and sum(s * n for s, n in t.items()) == max(reach)
+
+
+def test_code_points_of_arrow_texts():
+    random.seed(12)
+    pool = [chr(c) for c in (0, 9, 0x41, 0x7F, 0x80, 0x7FF, 0x800, 0xFFFD, 0xFFFF, 0x10000, 0x10FFFF, 0x1F600)]
+    texts = [None if random.random() < 0.1 else "".join(random.choices(pool, k=random.randint(0, 12))) for _ in range(500)]
+    for kind in (pa.string(), pa.large_string()):
+        whole = pa.array(texts, kind)
+        for a in (whole, whole.slice(37, 200), whole.slice(500)):
+            cp, counts = decode(a)
+            want = [t or "" for t in a.to_pylist()]
+            assert cp.tolist() == [ord(c) for t in want for c in t] and counts.tolist() == [len(t) for t in want]
+            assert encode(cp, counts).to_pylist() == want
+            assert encode(cp, counts, a.is_null()).to_pylist() == a.to_pylist()
+    assert forms(pa.array(["a" * 600_000, None, "b", "", "c" * 600_000], pa.string())).to_pylist() == ["a" * 600_000, None, "b", "", "c" * 600_000]
+
+
+def test_letters_of_further_scripts(spark):
+    more = confusables(spark)
+    assert canonical(["Ꭺꓐ ոս ⲞⲘ", "кот", "κοτ", "ᏤᏫ", "1Il|0O"], more)[:3] == ["AB nu OM", canonical(["κοτ"], more)[0], canonical(["κοτ"], more)[0]]
+    assert canonical(["α a", "ε e", "1Il|0O", "عربي", "中文"], more) == ["α a", "ε e", "1Il|0O", "عربي", "中文"]
