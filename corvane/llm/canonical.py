@@ -106,8 +106,7 @@ def confusables(spark: SparkSession) -> str:
     """Further rows "representative: doubles" from ICU's confusables data, asked once on the driver.
 
     Letters of FURTHER_SCRIPTS go to the one ASCII letter of the same skeleton. Letters of
-    these, Greek and Cyrillic whose skeleton no ASCII character has go to the first of
-    them. What `ALIKE` lists stays as it is there.
+    these, Greek and Cyrillic whose skeleton no ASCII character has go to one of them. What `ALIKE` lists stays as it is there.
     """
     if "icu" not in _confusables:
         builder = getattr(spark._jvm.com.ibm.icu.text, "SpoofChecker$Builder")
@@ -138,9 +137,9 @@ def confusables(spark: SparkSession) -> str:
                 doubles.setdefault(latin[0], []).append(c)
         rows = []
         for to, some in sorted(doubles.items()):
-            # Where no ASCII letter stands for them, the first does.
-            first, rest = (to, some) if to.isascii() else (some[0], some[1:])
-            if rest:
+            # Where no ASCII letter stands for them, one of the Russian or else of the Greek alphabet does.
+            first = to if to.isascii() else min(some, key=lambda c: (not "А" <= c <= "я", not "Α" <= c <= "ω", c))
+            if rest := [c for c in some if c != first]:
                 rows.append(f"{first}: {' '.join(rest)}")
         _confusables["icu"] = "\n".join(rows)
     return _confusables["icu"]

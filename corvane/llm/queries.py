@@ -274,8 +274,8 @@ where x is not null and not isnan(x) group by all
 """
 
 
-def _p8() -> str:
-    """The forms by string functions: composed, translated character by character, composed again."""
+def _p8_form() -> str:
+    """The form by string functions: composed, translated character by character, composed again."""
     pairs: dict[str, str] = {}
     for line in canonical.ALIKE.strip().splitlines():
         for x in line[2:].split():
@@ -291,7 +291,11 @@ def _p8() -> str:
     form = f"nfc_normalize(translate(nfc_normalize(regexp_replace(text, '{hidden}', '', 'g')), {quote(''.join(pairs))}, {quote(''.join(pairs.values()))}))"
     for c in range(0xFB00, 0xFB05):
         form = f"replace({form}, {quote(chr(c))}, {quote(unicodedata.normalize('NFKD', chr(c)))})"
-    return f"""with f as (select doc_id, text, {form} as form from documents where text is not null)
+    return form
+
+
+def _p8() -> str:
+    return f"""with f as (select doc_id, text, {_p8_form()} as form from documents where text is not null)
 select distinct a.doc_id as doc_a, b.doc_id as doc_b from f a join f b using (form) where a.doc_id < b.doc_id and a.text <> b.text and trim(form, ' ' || chr(10)) <> ''"""
 
 
@@ -304,4 +308,4 @@ select a as doc_id, class_id, n_keys, n_spellings from classes join texts using
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p3_within": _P3, "p4_found": _P4, "p5_found": _P5, "p5_report": _P5_REPORT, "p8_found": _p8(), "p8_groups": _p8_groups()}
+    return {"p2_found": _P2, "p3_within": _P3, "p4_found": _P4, "p5_found": _P5, "p5_report": _P5_REPORT, "p8_found": _p8(), "p8_groups": _p8_groups(), "p8_forms": f"select doc_id, {_p8_form()} as canonical from documents"}
