@@ -78,3 +78,16 @@ def test_small_classes_of_equal_passages(spark, tmp_path):
     spark.createDataFrame(rows, "passage_id string, text string").write.parquet(str(tmp_path / "passages.parquet"))
     got = {tuple(r) for r in llm.queries()["p4_groups"](spark, str(tmp_path)).select("passage_id", "class_id", "group_id", "links").collect()}
     assert got == {("p1", "p1", "p1", 1), ("p2", "p1", "p1", 1), ("p3", "p1", "p1", 1), ("p4", "p4", "p1", 1), ("p5", "p4", "p1", 1), ("p6", "p6", "p6", 0)}
+
+
+def test_refusals_that_are_not_listed_word_by_word():
+    texts = ["I'm sorry, I can't do that.", "I am afraid that we cannot go further here.", "As an AI model, I am not able to diagnose.", "Mi dispiace, non posso rispondere.", "抱歉，我无法提供医疗建议。"]
+    got = [quality.flag_batch(pa.array([t]), pa.array([STEM]), pa.array([""]))["refusal"][0] for t in texts]
+    assert all(got)
+    assert kinds(["I can't say more than that the rash fits.", "The patient cannot walk, sorry to say."]) == [None, None]
+
+
+def test_a_list_mark_at_the_end_breaks_off():
+    texts = ["1. Gout is ruled out by the joint.\n2.", "Gout fits.\n- It burns.\n-", "A) Gout fits the fever.\nB)"]
+    assert kinds(texts) == ["truncated"] * 3
+    assert kinds(["The dose was raised to 2.", "1. Gout fits.\n2. Lyme fits."]) == [None, None]

@@ -147,6 +147,17 @@ def test_defects(spark):
     assert quality.defective_pairs(a.limit(0), "id", "text", "q", q.limit(0), "qid", "stem", "options").count() == 0
 
 
+def test_defects_by_a_salted_join(spark, monkeypatch):
+    """Beyond the broadcast limit each answer meets its question once, a question with most answers too."""
+    stem = "A teacher has fever and a rash on the arm for two weeks. What is it?"
+    a = spark.createDataFrame([(i, "hot" if i % 3 else "cold", stem if i % 5 == 0 else "Gout explains the fever of the teacher. [1]") for i in range(300)] + [(900, None, "")], "id long, q string, text string")
+    q = spark.createDataFrame([("hot", stem, {"A": "Gout"}), ("cold", stem, None)], "qid string, stem string, options map<string,string>")
+    run = lambda: {tuple(map(str, r)) for r in quality.defective_pairs(a, "id", "text", "q", q, "qid", "stem", "options").collect()}
+    small = run()
+    monkeypatch.setattr(quality, "MOST_STEM_BYTES", 0)
+    assert run() == small and len(small) == 61
+
+
 def test_percentiles(spark):
     random.seed(9)
     rows = [(random.choice("ab"), i % 3, random.gauss(0, 1), i, "m") for i in range(6000)] + [("a", 0, None, None, "m"), ("a", 1, float("nan"), 5, "m"), (None, 0, 1.0, 1, "m"), ("void", 0, None, None, "m")]
