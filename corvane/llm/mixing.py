@@ -103,8 +103,19 @@ def plan(lengths: dict[str, dict[int, int]], shares: dict[str, float], repeats:
     for s in able:
         budget = min(budgets[s], room[s])
         rounds = min(budget // tokens[s], repeats[s])
-        more = {} if rounds == repeats[s] else fill(lengths[s], budget - rounds * tokens[s])
-        choice[s] = {n: (int(rounds), more.get(n, 0)) for n in lengths[s]}
+        most, more = -1, {}
+        # Whole rounds and each text once more at most, where that meets the budget; else some
+        # texts more often, at last with a round less to have more to choose among.
+        for even, times in ((rounds, 1), (rounds, repeats[s] - rounds), (rounds - 1, repeats[s] - rounds + 1)):
+            if even < 0 or even + times > repeats[s] or most == budget:
+                continue
+            some = {n: even * lengths[s][n] + m for n, m in fill({n: c * times for n, c in lengths[s].items()}, budget - even * tokens[s]).items()}
+            got = sum(n * m for n, m in some.items())
+            if got > most:
+                most, more = got, some
+        if rounds == repeats[s]:
+            more = {n: rounds * c for n, c in lengths[s].items()}
+        choice[s] = {n: divmod(more.get(n, 0), c) for n, c in lengths[s].items()}
     return total, budgets, choice
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import canonical, leakage, mixing, nearpairs, packing, quality, quantiles, splits, tokens
@@ -183,6 +183,27 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.container_use(p6_assign(spark, d), read_table(spark, d, "containers"))
 
 
+def p6_sound(spark: SparkSession, d: str) -> DataFrame:
+    """For each kind of container: texts that aren't assigned as a whole, texts split without need, pieces cut
+    elsewhere than at the capacity, containers over capacity, numbers left out, and whether at
+    most a twentieth more containers are used than the tokens need at least, one aside."""
+    docs = read_table(spark, d, "documents")
+    sized = materialize(tokens.token_sizes(docs, "text", ["doc_id"]), "sizes")
+    containers = read_table(spark, d, "containers").select("container_kind", F.col("capacity_tokens").cast("bigint").alias("c")).distinct()
+    packed = materialize(packing.pack(sized, "doc_id", read_table(spark, d, "containers")), "packed").join(containers, "container_kind")
+    n = F.coalesce("n", F.lit(0))
+    by_text = packed.groupBy("container_kind", "doc_id").agg(F.sum("tokens").alias("got"), F.count("*").alias("pieces"), F.count(F.when((F.col("tokens") < F.col("c")) & (F.col("piece_no") > 0), 1)).alias("short"), F.max("c").alias("c"))
+    every = by_text.join(sized.select("doc_id", F.col("tokens").alias("n")), "doc_id", "left")
+    texts = every.groupBy("container_kind").agg(
+        (F.lit(sized.count()) - F.count(F.when(F.col("got") == n, 1))).alias("not_whole"), F.count(F.when((n <= F.col("c")) & (F.col("pieces") > 1), 1)).alias("split_small"), F.count(F.when(F.col("short") > 1, 1)).alias("cut_elsewhere")
+    )
+    loads = packed.where("container_no is not null and tokens > 0").groupBy("container_kind", "container_no").agg(F.sum("tokens").alias("load"), F.max("c").alias("c"))
+    fill = loads.groupBy("container_kind").agg(
+        F.count(F.when(F.col("load") > F.col("c"), 1)).alias("overfull"), (F.max("container_no") + 1 - F.count("*")).alias("left_out"), (F.count("*") <= F.ceil(F.sum("load") / F.max("c")) * 1.05 + 1).alias("tight")
+    )
+    return texts.join(fill, "container_kind")
+
+
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = read_table(spark, d, "documents").where("text is not null").select("doc_id", "source", "text", F.sha2("text", 256).alias("fingerprint"))
     return mixing.mix(tokens.token_sizes(docs, "text", ["doc_id", "source", "fingerprint"]), "doc_id", read_table(spark, d, "mix_targets"))
@@ -197,6 +218,28 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares.withColumn("actual_share", F.round("actual_share", 9))
 
 
+def p7_sound(spark: SparkSession, d: str) -> DataFrame:
+    """For each target: uses beyond the cap, texts that aren't of the source, equal texts taken
+    twice, and whether its share is within a hundredth of the target among sources that have texts."""
+    mixture = materialize(_mixed(spark, d)[0], "mixture")
+    docs = read_table(spark, d, "documents").select("doc_id", F.col("source").alias("own"), F.sha2("text", 256).alias("fingerprint"))
+    targets = read_table(spark, d, "mix_targets")
+    used = mixture.join(docs, "doc_id", "left").join(targets.select("source", "max_repeats"), "source", "left")
+    per = used.groupBy("source").agg(
+        F.count(F.when(F.col("uses") > F.col("max_repeats"), 1)).alias("over_cap"), F.count(F.when(~F.coalesce(F.col("own") == F.col("source"), F.lit(False)), 1)).alias("foreign"), (F.count("*") - F.countDistinct("fingerprint")).alias("twice"),
+        F.sum(F.col("tokens") * F.col("uses")).alias("got"),
+    )
+    # Equal texts are those of the smallest id, and listed sources only count.
+    own = read_table(spark, d, "documents").where("text <> ''").join(targets.select("source"), "source", "left_semi")
+    some = own.groupBy(F.sha2("text", 256)).agg(F.min(F.struct("doc_id", "source")).alias("m")).select("m.source").distinct().withColumn("has", F.lit(True))
+    full = targets.join(per, "source", "left").join(some, "source", "left")
+    w = Window.partitionBy()
+    has = F.coalesce("has", F.lit(False))
+    want = F.when(has, F.col("target_share") / F.sum(F.when(has, F.col("target_share"))).over(w)).otherwise(0.0)
+    share = F.coalesce("got", F.lit(0)) / F.sum("got").over(w)
+    return full.select("source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("over_cap", "foreign", "twice")], (F.abs(share - want) <= 0.01).alias("met"))
+
+
 # 8. visually identical text
 
 
@@ -223,7 +266,7 @@ def _shipped(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    fs = [p1_found, p1_flags, p2_found, p2_items, p3_quantiles, p3_within, p4_found, p4_groups, p4_regions, p5_found, p5_report, p5_paths, p6_assign, p6_fill, p7_mixture, p7_shares, p8_found, p8_groups, p8_forms]
+    fs = [p1_found, p1_flags, p2_found, p2_items, p3_quantiles, p3_within, p4_found, p4_groups, p4_regions, p5_found, p5_report, p5_paths, p6_assign, p6_fill, p6_sound, p7_mixture, p7_shares, p7_sound, p8_found, p8_groups, p8_forms]
     return {f.__name__: _shipped(f) for f in fs}
 
 
@@ -264,6 +307,19 @@ select split_part(e, '-', 1) as split, a.source as source, case when t like 'tra
 from sides join src a on a.question_id = e left join src b on b.question_id = t join w x on x.k = e join w y on y.k = t group by all
 """
 
+_P4_GROUPS = f"""
+with recursive pairs as materialized ({_P4}), edges as materialized (select passage_a as a, passage_b as b from pairs union all select passage_b, passage_a from pairs),
+w as materialized (select distinct passage_id, {_WORDS.format("text")} as w from passages where text is not null and len({_WORDS.format("text")}) >= 15),
+reach as (select passage_id as id, passage_id as root from w union select e.b, r.root from reach r join edges e on e.a = r.id),
+groups as (select id, min(root) as group_id from reach group by id),
+classes as (select passage_id as id, min(passage_id) over (partition by w) as class_id from w),
+links as (select x.class_id, count(distinct y.class_id) as links from edges e join classes x on x.id = e.a join classes y on y.id = e.b where x.class_id <> y.class_id group by 1)
+select id as passage_id, class_id, group_id, coalesce(links, 0) as links from classes join groups using (id) left join links using (class_id)
+"""
+
+_P6_SOUND = "select distinct container_kind, 0 as not_whole, 0 as split_small, 0 as cut_elsewhere, 0 as overfull, 0 as left_out, true as tight from containers"
+_P7_SOUND = "select source, 0 as over_cap, 0 as foreign, 0 as twice, true as met from mix_targets"
+
 _P3 = """
 with m as (select upper(trim(variant)) as variant, run_day, latency_seconds, total_tokens from (
   select *, row_number() over (partition by record_id order by received_at desc) as r from predictions where record_id is not null) where r = 1),
@@ -308,4 +364,4 @@ select a as doc_id, class_id, n_keys, n_spellings from classes join texts using
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p3_within": _P3, "p4_found": _P4, "p5_found": _P5, "p5_report": _P5_REPORT, "p8_found": _p8(), "p8_groups": _p8_groups(), "p8_forms": f"select doc_id, {_p8_form()} as canonical from documents"}
+    return {"p2_found": _P2, "p3_within": _P3, "p4_found": _P4, "p4_groups": _P4_GROUPS, "p6_sound": _P6_SOUND, "p7_sound": _P7_SOUND, "p5_found": _P5, "p5_report": _P5_REPORT, "p8_found": _p8(), "p8_groups": _p8_groups(), "p8_forms": f"select doc_id, {_p8_form()} as canonical from documents"}
