@@ -1,42 +1,86 @@
-"""Sparse retrieval over an inverted index held as relations."""
+"""Sparse retrieval over an inverted index held as relations.
+
+A document's postings lie together in one row, so they are scored where they are read:
+the weights of a block of queries go to all tasks, each task keeps its k best documents
+of each query, and only these are shuffled, however frequent a term is.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.functions.text import word_set, word_tokens
+from corvane.operators.topk import Best, rows_at_once
+
+#: Most terms of queries, and most queries, that are sent to all executors at once.
+MOST_TERMS, MOST_QUERIES = 1_000_000, 20_000
+#: Terms of this share of a block's queries are multiplied as a dense matrix.
+FREQUENT = 0.05
 
 
 class Index:
-    """postings(term, doc_id, tf), lengths(doc_id, len), terms(term, df), totals(n, avgdl)."""
+    """docs(doc_id, len, terms, tfs) with a document's distinct terms and their counts,
+    terms(term, df), totals(n, avgdl)."""
 
-    def __init__(self, postings: DataFrame, lengths: DataFrame, terms: DataFrame, totals: DataFrame) -> None:
-        self.postings, self.lengths, self.terms, self.totals = postings, lengths, terms, totals
+    def __init__(self, docs: DataFrame, terms: DataFrame, totals: DataFrame) -> None:
+        self.docs, self.terms, self.totals = docs, terms, totals
+
+    @property
+    def postings(self) -> DataFrame:
+        """Rows (term, doc_id, tf)."""
+        p = F.explode(F.arrays_zip("terms", "tfs")).alias("p")
+        return self.docs.select("doc_id", p).select("p.terms", "doc_id", "p.tfs").toDF("term", "doc_id", "tf")
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.docs.select("doc_id", "len")
 
     def save(self, path: str) -> None:
-        for name in ("postings", "lengths", "terms", "totals"):
-            df = getattr(self, name)
-            (df.repartition("term").sortWithinPartitions("term") if name == "postings" else df).write.mode("overwrite").parquet(f"{path}/{name}")
+        """The statistics are taken from what was written."""
+        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        written = from_docs(self.docs.sparkSession.read.parquet(f"{path}/docs"))
+        written.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        written.totals.write.mode("overwrite").parquet(f"{path}/totals")
 
     @staticmethod
-    def load(spark, path: str) -> Index:
-        return Index(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "terms", "totals")])
+    def load(spark: SparkSession, path: str) -> Index:
+        return Index(*[spark.read.parquet(f"{path}/{name}") for name in ("docs", "terms", "totals")])
+
+
+def _counted():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = b.column(1)
+            n = pc.list_value_length(w).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = w.flatten().dictionary_encode()
+            code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            joint, tf = np.unique(np.repeat(np.arange(len(n)), n) * (len(flat.dictionary) + 1) + code, return_counts=True)
+            row, code = np.divmod(joint, len(flat.dictionary) + 1)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(n))))).astype(np.int32))
+            terms = pa.ListArray.from_arrays(offsets, flat.dictionary.take(pa.array(code)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), terms, pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32)))], names=["doc_id", "len", "terms", "tfs"])
+
+    return run
 
 
 def build(docs: DataFrame, key: str, text: str) -> Index:
     """Null texts count as empty; an empty document has length 0 and counts in the totals."""
     tokens = docs.select(F.col(key).alias("doc_id"), word_tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    lengths = tokens.select("doc_id", F.size("w").cast("bigint").alias("len"))
-    postings = tokens.select("doc_id", F.explode("w").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return from_parts(postings, lengths)
+    return from_docs(tokens.mapInArrow(_counted(), f"doc_id {dict(tokens.dtypes)['doc_id']}, len bigint, terms array<string>, tfs array<int>"))
 
 
-def from_parts(postings: DataFrame, lengths: DataFrame) -> Index:
-    """An index over postings and lengths, with their statistics."""
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    return Index(postings, lengths, terms, totals)
+def from_docs(docs: DataFrame) -> Index:
+    """An index over documents with counted terms, with their statistics."""
+    terms = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    totals = docs.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    return Index(docs, terms, totals)
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -49,20 +93,89 @@ def top(scored: DataFrame, by: str, k: Column | int, key: str = "doc_id") -> Dat
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def scores(index: Index, queries: DataFrame, query_key: str, query_text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Rows (query, doc_id, score) of all documents that hold a term of the query.
-
-    Each distinct term of a query counts once. Postings are first cut down to the
-    queries' terms, with their weights, so only these meet the document lengths.
-    """
-    q = queries.select(F.col(query_key), F.explode(word_set(query_text)).alias("term"))
-    wanted = q.select("term").distinct()
-    weights = index.terms.join(wanted, "term", "left_semi").crossJoin(F.broadcast(index.totals)).select("term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
-    hits = index.postings.join(weights, "term").join(index.lengths, "doc_id")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    return hits.select("term", "doc_id", part.alias("part")).join(q, "term").groupBy(query_key, "doc_id").agg(F.sum("part").alias("score"))
+def _search_block(terms: np.ndarray, query: np.ndarray, weight: np.ndarray, names: list[str], queries: pa.Array, k: int, k1: float, b: float, avgdl: float):
+    """The k best documents of each query in a task's part of the index. Entries (term, query,
+    weight) refer to `names` and `queries`."""
+    in_queries = np.bincount(terms, minlength=len(names))
+    dense = np.flatnonzero(in_queries > FREQUENT * len(queries))
+    place = np.full(len(names), -1)
+    place[dense] = np.arange(len(dense))
+    matrix = np.zeros((len(dense), len(queries)))
+    m = place[terms] >= 0
+    matrix[place[terms[m]], query[m]] = weight[m]
+    o = np.flatnonzero(~m)
+    o = o[np.argsort(terms[o], kind="stable")]
+    rare_query, rare_weight = query[o], weight[o]
+    begin = np.searchsorted(terms[o], np.arange(len(names) + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, known = None, pa.array(names, pa.string())
+        step = rows_at_once(max(len(queries), len(dense)))
+        for whole in batches:
+            if best is None:
+                best = Best(len(queries), k, whole.column(0).type)
+            for at in range(0, whole.num_rows, step):
+                part = whole.slice(at, step)
+                rows = part.num_rows
+                n = pc.list_value_length(part.column("terms")).to_numpy(zero_copy_only=False).astype(np.int64)
+                code = pc.fill_null(pc.index_in(part.column("terms").flatten(), known), -1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(rows), n)
+                some = np.flatnonzero(code >= 0)
+                code, row = code[some], row[some]
+                tf = part.column("tfs").flatten().to_numpy(zero_copy_only=False)[some]
+                length = part.column("len").to_numpy(zero_copy_only=False)[row]
+                value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl))
+                d = place[code]
+                often = d >= 0
+                counts = np.zeros((rows, len(dense)))
+                counts[row[often], d[often]] = value[often]
+                scores = counts @ matrix
+                r = np.flatnonzero(~often)
+                each = begin[code[r] + 1] - begin[code[r]]
+                at_ = np.repeat(begin[code[r]], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                cell = np.repeat(row[r], each) * len(queries) + rare_query[at_]
+                scores += np.bincount(cell, np.repeat(value[r], each) * rare_weight[at_], scores.size).reshape(scores.shape)
+                # Weights are above 0, so a document without a term of the query has exactly 0.
+                best.add(scores, part.column(0), scores > 0)
+        if best is not None and len(best.query):
+            yield pa.RecordBatch.from_arrays([queries.take(pa.array(best.query)), best.key, pa.array(best.score)], names=["query", "doc_id", "score"])
+
+    return run
 
 
 def search(index: Index, queries: DataFrame, query_key: str, query_text: str, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Rows (query, doc_id, score, rank) of the k best documents."""
-    return top(scores(index, queries, query_key, query_text, k1, b), query_key, k)
+    """Rows (query, doc_id, score, rank) of the k best documents.
+
+    Each distinct term of a query counts once, in ties the smaller key comes first. Documents
+    without a term of the query, empty queries and those of unknown terms give no row. Queries
+    go out in blocks of bounded size, each of which reads the index once.
+    """
+    spark = queries.sparkSession
+    q = queries.select(F.col(query_key).alias("query"), F.explode(word_set(query_text)).alias("term"))
+    weights = q.join(index.terms, "term")
+    totals = index.totals.first()
+    kind = dict(queries.dtypes)[query_key]
+    schema = f"query {kind}, doc_id {dict(index.docs.dtypes)['doc_id']}, score double"
+    found, block, number = None, {"term": [], "query": [], "df": []}, {}
+
+    def flush(found: DataFrame | None) -> DataFrame:
+        names, terms = np.unique(np.array(block["term"], object), return_inverse=True)
+        df = np.array(block["df"], np.float64)
+        weight = np.log(1 + (totals["n"] - df + 0.5) / (df + 0.5))
+        ids = pa.array(list(number), to_arrow_type(queries.schema[query_key].dataType))
+        run = _search_block(terms, np.array(block["query"], np.int64), weight, names.tolist(), ids, k, k1, b, totals["avgdl"] or 1.0)
+        part = index.docs.mapInArrow(run, schema)
+        return part if found is None else found.unionByName(part)
+
+    for r in weights.orderBy("query", "term").toLocalIterator():
+        if r["query"] not in number and (len(block["term"]) >= MOST_TERMS or len(number) >= MOST_QUERIES):
+            found = flush(found)
+            block, number = {"term": [], "query": [], "df": []}, {}
+        block["term"].append(r["term"])
+        block["query"].append(number.setdefault(r["query"], len(number)))
+        block["df"].append(r["df"])
+    if number:
+        found = flush(found)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    return top(found.withColumnRenamed("query", query_key), query_key, k)

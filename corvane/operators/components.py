@@ -18,6 +18,7 @@ def connected_components(edges: DataFrame, left: str, right: str, most_rounds: i
     Large and small stars in turn: the number of rounds grows with the logarithm of the
     longest chain, and a node's neighbours are never gathered. Each round is written to
     the scratch folder. Loops give a component of one; edges with a null end are left out.
+    An error ends a run that isn't settled after `most_rounds`.
     """
     given = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u is not null and v is not null")
     e = materialize(given.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
@@ -36,6 +37,8 @@ def connected_components(edges: DataFrame, left: str, right: str, most_rounds: i
         hang = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = hang.unionByName(low.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         e = materialize(small, "components")
+    else:
+        raise RuntimeError(f"components are not settled after {most_rounds} rounds")
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component"))
     loops = given.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from corvane.operators.topk import Best, rows_at_once
 
 #: Most bytes of query vectors that are sent to all executors at once.
 MOST_QUERY_BYTES = 64 << 20
+#: Most queries of a block, so that a task scores many rows at once.
+MOST_QUERIES = 20_000
 
 
 def check_vectors(vectors: DataFrame, vector: str) -> int:
@@ -24,8 +29,9 @@ def check_vectors(vectors: DataFrame, vector: str) -> int:
 def dense_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int = 5) -> DataFrame:
     """Rows (query_key, key, score, rank) of the k nearest; ties by the smaller key.
 
-    The queries go out in blocks of at most MOST_QUERY_BYTES; each task keeps its k best
-    for each query of a block, so only these are shuffled. Null vectors are left out.
+    The queries go out in blocks of at most MOST_QUERY_BYTES and MOST_QUERIES; each task scores
+    slices of its rows of bounded size and keeps its k best for each query of a block, so
+    only these are shuffled. Null vectors are left out.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -34,31 +40,30 @@ def dense_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, qu
     q_type = dict(queries.dtypes)[query_key]
     q = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_key).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).orderBy("q")
     dims = vectors.agg(F.max(F.size(vector))).first()[0] or 1
-    per_block = max(1, MOST_QUERY_BYTES // (8 * dims))
+    per_block = max(1, min(MOST_QUERIES, MOST_QUERY_BYTES // (8 * dims)))
     schema = f"`{query_key}` {q_type}, `{key}` {types[key]}, score double"
     found = None
     block: list = []
 
     def search(rows: list) -> DataFrame:
-        ids = [r["q"] for r in rows]
-        matrix = spark.sparkContext.broadcast(np.array([r["v"] for r in rows], np.float64).T)
+        shared = spark.sparkContext.broadcast(([r["q"] for r in rows], np.array([r["v"] for r in rows], np.float64).T))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best_s = np.zeros((0, len(ids)))
-            best_k: np.ndarray = np.zeros((0, len(ids)), object)
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                s = np.stack(pdf[vector].to_numpy()).astype(np.float64) @ matrix.value
-                keys = np.repeat(pdf[key].to_numpy()[:, None], len(ids), axis=1)
-                s, keys = np.concatenate((best_s, s)), np.concatenate((best_k, keys))
-                order = np.stack([np.lexsort((keys[:, j], -np.round(s[:, j], 9)))[:k] for j in range(len(ids))], axis=1)
-                best_s, best_k = np.take_along_axis(s, order, 0), np.take_along_axis(keys, order, 0)
-            for j, i in enumerate(ids):
-                if len(best_s):
-                    yield pd.DataFrame({query_key: [i] * len(best_s), key: best_k[:, j], "score": best_s[:, j]})
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, matrix = shared.value
+            best, step = None, rows_at_once(len(ids))
+            for whole in batches:
+                if best is None:
+                    best = Best(len(ids), k, whole.column(0).type)
+                for at in range(0, whole.num_rows, step):
+                    b = whole.slice(at, step)
+                    flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    best.add(flat.reshape(b.num_rows, -1) @ matrix, b.column(0))
+            if best is not None and len(best.query):
+                q_ids = pa.array(ids).take(pa.array(best.query))
+                yield pa.RecordBatch.from_arrays([q_ids.cast(to_arrow_type(q_kind)), best.key, pa.array(best.score)], names=[query_key, key, "score"])
 
-        return vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(run, schema)
+        q_kind = queries.schema[query_key].dataType
+        return vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, schema)
 
     for r in q.toLocalIterator():
         block.append(r)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Default of the scratch folder where the cluster names none (tests, local runs).
 LOCAL_SCRATCH = "file:///tmp/corvane-scratch"
+#: Paths of the tables that `materialize` wrote.
+_written: list[str] = []
 
 
 def build_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -30,10 +34,12 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, else a local one."""
+    """The folder all executors share: `spark.checkpoint.dir`, else a local one, for a local master only."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(LOCAL_SCRATCH)
     return LOCAL_SCRATCH
 
@@ -41,15 +47,55 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once into the scratch folder and read it back, which cuts its lineage.
 
-    The files survive the loss of executors. They stay until the cluster clears
-    its scratch folder.
+    The files survive the loss of executors. They stay until `clear_scratch` or until the
+    cluster clears its scratch folder.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def stored(spark: SparkSession, name: str, source: str, make: Callable[[str], None]) -> str:
+    """The folder of something derived from the table at `source`, made once.
+
+    It lies in the scratch folder under the source's path, size, number of files and time
+    of change, so another table, or the same one rewritten, has a folder of its own. It is
+    written aside and renamed when complete.
+    """
+    p, fs = _file_system(spark, source)
+    seen = fs.getContentSummary(p)
+    state = f"{p} {seen.getLength()} {seen.getFileCount()} {fs.getFileStatus(p).getModificationTime()}"
+    target = f"{scratch_dir(spark)}/{name}-{hashlib.sha256(state.encode()).hexdigest()[:32]}"
+    to, fs = _file_system(spark, target)
+    if not fs.exists(to):
+        aside = f"{target}-{uuid.uuid4().hex}"
+        make(aside)
+        # Of two sessions that make it at once one is first; the other's copy goes.
+        if not fs.exists(to):
+            fs.rename(_file_system(spark, aside)[0], to)
+        else:
+            fs.delete(_file_system(spark, aside)[0], True)
+    return target
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the tables that this session wrote by `materialize`, whose results must have been
+    used; returns their number."""
+    done = 0
+    while _written:
+        p, fs = _file_system(spark, _written.pop())
+        done += bool(fs.delete(p, True))
+    return done
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once for each context."""
     sc = spark.sparkContext
