@@ -1,4 +1,8 @@
-"""The agents' tools as column expressions, and their catalog."""
+"""The agents' tools as column expressions, and their catalog.
+
+The texts that they put together (sub-queries, headings of exemplars, messages) are fixed
+values: they have to equal those of other implementations of these tools.
+"""
 
 from __future__ import annotations
 
@@ -42,6 +46,12 @@ def compress_passage(text: Column, words: int = 150) -> Column:
     return T.truncate_words(text, words, "...")
 
 
+def compress_passages(passages: Column, words: int = 150) -> Column:
+    """An array of passages (source, text) as an array of structs (citation_id, source, text),
+    numbered from [1], each text cut to `words` words."""
+    return F.transform(passages, lambda p, i: F.struct(F.concat(F.lit("["), (i + 1).cast("string"), F.lit("]")).alias("citation_id"), F.coalesce(p["source"], F.lit("Corpus")).alias("source"), compress_passage(p["text"], words).alias("text")))
+
+
 def option_score(option: Column, passages: Column) -> Column:
     """The share of the option's words that stand in the joined passages; 0.5 without words."""
     w = F.array_except(T.word_set(option), T.strings(T.STOP_OPTION))
@@ -193,7 +203,7 @@ COLUMN_TOOLS: dict[str, Callable] = {
     "fast_thinking_evaluator": lambda q, _=None: is_direct(q),
     "search_strategy_planner": search_strategy,
     "evaluate_passages_coverage": T.coverage,
-    "passage_token_compressor": compress_passage,
+    "passage_token_compressor": compress_passages,
     "entity_cooccurrence_scorer": T.cooccurrence,
     "cross_encoder_rescorer": T.rescore,
     "clinical_pearls_extractor": pearls,

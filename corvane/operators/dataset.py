@@ -16,6 +16,12 @@ def page(df: DataFrame, order: str, number: int, size: int) -> DataFrame:
     return df.orderBy(order).offset((number - 1) * size).limit(size)
 
 
+def page_with_total(df: DataFrame, order: str, number: int, size: int) -> DataFrame:
+    """The rows of a page, each with the `total` of all pages. A page past the end has no row."""
+    total = df.agg(F.count("*").alias("total"))
+    return page(df, order, number, size).crossJoin(F.broadcast(total))
+
+
 def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.orderBy(order).limit(n)
 

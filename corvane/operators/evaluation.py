@@ -49,10 +49,10 @@ def usage(calls: DataFrame, *by: str) -> DataFrame:
     return calls.groupBy(*by).agg(F.count("*").alias("n_calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum("total_tokens").alias("total_tokens"))
 
 
-def scores_by_question(p: DataFrame) -> DataFrame:
-    """One score a (variant, question): 1 if most of its runs are correct."""
+def scores_by_question(p: DataFrame, least: float = 0.5) -> DataFrame:
+    """One score a (variant, question): 1 if at least the share `least` of its runs is correct."""
     mean = F.avg(F.when(F.coalesce("is_correct", F.lit(False)), 1.0).otherwise(0.0))
-    return p.where("question_id is not null and variant is not null").groupBy("variant", "question_id").agg(F.when(mean >= 0.5, 1).otherwise(0).alias("score"))
+    return p.where("question_id is not null and variant is not null").groupBy("variant", "question_id").agg(F.when(mean >= least, 1).otherwise(0).alias("score"))
 
 
 def paired(scores: DataFrame, a: str, b: str) -> DataFrame:
