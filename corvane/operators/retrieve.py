@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.functions.tools import hyde_context
 from corvane.operators import bm25, fusion
 
 
@@ -28,25 +29,32 @@ class Settings:
     mmr: bool = False
     mmr_weight: float = 0.7
     hybrid: bool = True
+    hyde: bool = False
+
+    def label(self) -> str:
+        """All switches as a text, for keys."""
+        return " ".join(f"{f.name}={getattr(self, f.name)}" for f in fields(self))
 
     @staticmethod
     def from_config(config) -> Settings:
         return Settings(
             config.rag_top_k, config.rag_retrieval_buffer, config.rag_relevance_threshold, config.rag_use_option_boosting, config.rag_option_boost_weight, config.rag_dynamic_top_k,
-            config.rag_heuristic_compression, config.rag_use_reranker, config.rag_use_query_pruning, config.rag_use_synonym_expansion, config.rag_use_mmr, config.rag_mmr_lambda, config.rag_use_hybrid,
+            config.rag_heuristic_compression, config.rag_use_reranker, config.rag_use_query_pruning, config.rag_use_synonym_expansion, config.rag_use_mmr, config.rag_mmr_lambda, config.rag_use_hybrid, config.rag_use_hyde,
         )
 
 
 def rewrite(queries: DataFrame, text: str, s: Settings, hyde: str | None = None) -> DataFrame:
-    """Queries with `search_text`: pruned, widened by synonyms and a hypothetical passage."""
+    """Queries with `search_text`: pruned, widened by synonyms and, with `s.hyde`, by a
+    hypothetical passage: that of column `hyde`, else one made from the query."""
     c = F.col(text)
     if s.pruning:
         c = T.prune_query(c)
     q = queries.withColumn("search_text", c)
     if s.synonyms:
         q = q.withColumn("search_text", T.expand_synonyms("search_text"))
-    if hyde:
-        q = q.withColumn("search_text", F.concat_ws(" ", "search_text", F.when(T.stripped(hyde) != "", T.stripped(hyde))))
+    if s.hyde or hyde:
+        passage = T.stripped(F.col(hyde) if hyde else hyde_context(F.col("search_text")))
+        q = q.withColumn("search_text", F.concat_ws(" ", "search_text", F.when(passage != "", passage)))
     return q
 
 

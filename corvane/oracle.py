@@ -210,7 +210,7 @@ select qk as question_id, words_before, words_after, round((words_before - words
 
 SQL["query_prune"] = f"with {Q} select question_id, md5({prune('question', True)}) as pruned, md5({prune('question', False)}) as without_question from q"
 _TERM = f"{lst(k for k, _ in T.SYNONYMS)}[cast(split_part(question_id, '-', 2) as int) % {len(T.SYNONYMS)} + 1]"
-SQL["synonym_expand"] = f"with {Q}, t as (select question_id, substr(question, 1, 40) || ' ' || {_TERM} as x from q) select question_id, {expand('x')} as expanded from t"
+SQL["synonym_expand"] = f"with {Q}, t as (select question_id, question || ' ' || {_TERM} as x from q) select question_id, {expand('x')} as expanded from t"
 SQL["entities_a"] = f"with {Q} select question_id, {join(ents('question', T.ENTITY_TERMS_A), chr(39) + '|' + chr(39))} as entities from q"
 SQL["entities_b"] = f"with {Q} select question_id, {join(ents('question', T.ENTITY_TERMS_B), chr(39) + '|' + chr(39))} as entities from q"
 SQL["compress_sentences"] = f"with {P} select passage_id, md5({compress('text', lst(['fever', 'histology', 'laboratory', 'patients']))}) as text from p where text is not null"
@@ -240,7 +240,9 @@ _CIT = f"with {R}, c as (select record_id, explanation, coalesce(len(trace.retri
 SQL["citation_audit"] = f"{_CIT} select record_id, n = 0 or len(c) > 0 as has_citations, case when n = 0 then 0 else len(c) end as citation_count from c"
 SQL["citation_fidelity"] = f"{_CIT}, b as (select record_id, list_filter(c, lambda z15: z15 < 1 or z15 > n) as b from c) select record_id, len(b) = 0 as is_valid, {join('b', chr(39) + '|' + chr(39))} as unknown from b"
 SQL["halluc_risk"] = f"{_CIT} select record_id, n > 0 and length(explanation) > 0 and len(c) = 0 and len({w1('explanation')}) > 10 as risk from c"
-SQL["fast_path"] = f"with {Q}, t as (select question_id, substr(question, 1, 60) || ' treatment for' as x from q) select question_id, len({w1('x')}) < 30 and ({' or '.join(f'contains(lower(x), {chr(39)}{p}{chr(39)})' for p in tools.DIRECT_PHRASES)}) as direct from t"
+_DIRECT = lambda x: f"(len({w1(x)}) < 30 and ({' or '.join(f'contains(lower({x}), {chr(39)}{p}{chr(39)})' for p in tools.DIRECT_PHRASES)}))"
+_SHORT = "list_filter(map_values(options), lambda z21: " + _DIRECT("('What is the first-line drug for ' || coalesce(z21, ''))") + ")"
+SQL["fast_path"] = f"with {Q} select question_id, {_DIRECT('question')} as direct, case when options is null then -1 else len({_SHORT}) end as n_short from q"
 SQL["search_strategy"] = f"with {Q}, e as (select question_id, {ents('question', T.ENTITY_TERMS_B)} as e from q) select question_id, case when len(e) >= 2 then 'hybrid' when len(list_filter(e, lambda z16: regexp_full_match(z16, '[A-Z]{{2,}}'))) > 0 then 'sparse' else 'dense' end as strategy from e"
 SQL["formatters"] = """with c as (select distinct case_id, coalesce(question, '') as q, coalesce(correct_answer, '') as a, coalesce(explanation, '') as e from memory_cases)
 select case_id, md5('Exemplar [1]: ' || substr(q, 1, 80) || '... -> Answer ' || a || ': ' || substr(e, 1, 100) || '...') as pearls,
@@ -250,7 +252,8 @@ md5('Consensus Summary: Evaluated Reasoner proposal (''' || substr(e, 1, 60) ||
 md5('Hypothetical clinical textbook passage discussing diagnosis and mechanisms for: ' || substr(q, 1, 80)) as hyde,
 md5(case when a in ('A', 'B') then 'Max retries reached. Executing safe consensus fallback.' else 'Callback Request (Re-Retrieval Required): ' || q end) as callback from c"""
 SQL["option_listing"] = f"with {Q} select question_id, md5({OPTLIST}) as listing from q where options is not null"
-SQL["options_mapped"] = f"with {Q} select question_id, options['A'] as a, options['B'] as b, case when length(question) % 2 = 0 then 'A' else 'B' end as answer from q where options is not null and map_contains(options, 'A') and map_contains(options, 'B')"
+_ENDINGS = ", ".join(f"options['{x}'] as {x.lower()}" for x in "ABCDE")
+SQL["options_mapped"] = f"with {Q} select question_id, {_ENDINGS}, case when upper({strip('answer')}) in ('A', 'B', 'C', 'D', 'E') then upper({strip('answer')}) end as answer from q where options is not null"
 for _n, _p, _l in (("sample_dev", "dev-", "dev"), ("sample_official", "test-", "official_test")):
     SQL[_n] = f"with {Q} select question_id from q where question_id like '{_p}%' order by md5('42:{_l}:' || question_id), question_id limit 10"
 SQL["memory_topk"] = f"""with {Q}, {S}, m as (select case_id, min(ord) as ord, any_value({wset("coalesce(question, '') || ' ' || coalesce(array_to_string(map_values(options), ' '), '') || ' ' || coalesce(explanation, '')")}) as w from memory_cases group by 1),
@@ -271,12 +274,24 @@ SQL["paired_comparison"] = f"""with {_SC}, d as (select x || '-' || y as pair, b
 g as (select pair, count(*) as n, count(*) filter (d > 0) as win, count(*) filter (d < 0) as loss, count(*) filter (d = 0) as tie, avg(d) as m, coalesce(stddev_samp(d), 0.0) as sd from d group by 1)
 select pair, n, win, loss, tie, round(m * 100, 6) as delta, round(case when win + loss > 0 then power(abs(win - loss) - 1.0, 2) / (win + loss) else 0.0 end, 6) as statistic, round((m - 1.96 * sd / sqrt(n)) * 100, 6) as low, round((m + 1.96 * sd / sqrt(n)) * 100, 6) as high,
 case when round(m * 100, 6) > 0 then 'gain' when round(m * 100, 6) < 0 then 'drop' else 'same' end as finding from g"""
-SQL["loss_sets"] = f"with {_SC} select a.question_id, case when a.score = 1 then 'loss' else 'both_wrong' end as kind from sc a join sc b using (question_id) where a.variant = 'V0' and b.variant = 'V3' and b.score = 0"
+_ALL = _SC.replace(">= 0.5", ">= 1.0")
+SQL["loss_sets"] = f"with {_ALL} select a.question_id, case when a.score = 1 then 'loss' else 'both_wrong' end as kind from sc a join sc b using (question_id) where a.variant = 'V0' and b.variant = 'V3' and b.score = 0"
+# The complementary error function by Simpson's rule, the binomial tail by log factorials.
+_ERFC = "2 / sqrt(pi()) * 0.002 / 3 * list_sum(list_transform(range(0, 4001), lambda i: exp(-power(x + i * 0.002, 2)) * case when i = 0 or i = 4000 then 1 when i % 2 = 1 then 4 else 2 end))"
+_TAIL = "list_sum(list_transform(range(0, least(win, loss) + 1), lambda i: exp(lgamma(win + loss + 1) - lgamma(i + 1) - lgamma(win + loss - i + 1) - (win + loss) * ln(2))))"
+SQL["p_values"] = f"""with {_SC}, d as (select x || '-' || y as pair, b.score - a.score as d from {_PAIRS} join sc a on a.variant = x join sc b on b.variant = y and b.question_id = a.question_id),
+g as (select pair, count(*) filter (d > 0) as win, count(*) filter (d < 0) as loss from d group by 1), h as (select *, case when win + loss > 0 then sqrt(power(abs(win - loss) - 1, 2) / (win + loss) / 2) end as x from g)
+select pair, round(case when x is null then 1.0 else {_ERFC} end, 9) as p_value, round(case when x is null then 1.0 else least(1.0, 2 * {_TAIL}) end, 9) as p_exact from h"""
 SQL["variant_pivot"] = f"with {R} select question_id, " + ", ".join(f"arg_min(coalesce(predicted_answer, '-'), record_id) filter (variant = '{v}') as {v}" for v in ("V0", "V1", "V2", "V3", "V4")) + " from r where variant in ('V0', 'V1', 'V2', 'V3', 'V4') group by 1"
 SQL["answers_corrected"] = f"with {R} select record_id, coalesce(upper(predicted_answer) = upper(correct_answer), false) as correct, round({_COST}, 9) as cost from r"
 SQL["cache_misses"] = f"""with {R}, k as (select record_id, coalesce(question_id, '~') || '|' || coalesce(variant, '~') as k from r), c as (select distinct k from k where record_id % 2 = 0)
 select count(*) as n_requests, count(distinct k) as n_keys, count(*) filter (k in (select k from c)) as n_hits, count(distinct k) filter (k not in (select k from c)) as n_to_compute from k"""
-SQL["dataset_search_page"] = f"with {Q} select question_id from q where contains(lower(question), 'which') order by question_id limit 10 offset 10"
+SQL["dataset_search_page"] = f"with {Q}, h as (select question_id, count(*) over () as total from q where contains(lower(question), 'which')) select question_id, total from h order by question_id limit 10 offset 10"
+SQL["sub_seed"] = f"with {Q} select question_id, ('0x' || substr(sha256('42:' || question_id), 1, 16))::ubigint::decimal(20, 0) as seed from q"
+_LINE = r"Final\s+Answer\s*:\s*\(?\s*[A-Za-z]\s*\)?(?:$|([^A-Za-z0-9]))"
+SQL["strip_answer"] = f"with {R}, t as (select record_id, regexp_replace(explanation, '{_LINE}', '\\1', 'gi') as x from r where explanation is not null) select record_id, md5({strip('x')}) as text from t"
+SQL["citation_ids"] = f"""with {P}, c as (select parent_id, source, coalesce(text, '') as text, row_number() over (partition by parent_id order by cast(regexp_extract(passage_id, '([0-9]+)$', 1) as int), source, text) as n from p where parent_id is not null)
+select parent_id, '[' || n || ']' as citation_id, coalesce(source, 'Corpus') as source, md5({cut("text", "15", "...")}) as text from c"""
 SQL["fan_out"] = f"with {Q} select question_id, variant from q cross join (values ('V0'), ('V1'), ('V2'), ('V3'), ('V4')) t(variant) where {HELD}"
 SQL["tool_catalog"] = "select * from (values ('router', 6), ('researcher', 8), ('memory', 4), ('reasoner', 5), ('verifier', 4)) t(agent, n)"
 SQL["dag_levels"] = f"with {P} select passage_id as node, case when parent_id is null then 0 else 1 end as level from p"

@@ -13,8 +13,8 @@ from typing import Protocol
 import pandas as pd
 
 REPLY_SCHEMA = "cache_key string, text string, prompt_tokens bigint, completion_tokens bigint, total_tokens bigint, latency_seconds double"
-#: Roles that are asked much and need little.
-LIGHT_ROLES = ("router", "router_multi", "router_reformulate", "researcher_eval", "memory_specialist")
+# The roles for which a light model will do.
+LIGHT_ROLES = ("router", "memory_specialist", "fast_path", "eval_coverage")
 
 
 @dataclass(frozen=True)
@@ -79,6 +79,61 @@ class HttpClient:
         return Reply(text, p, c, used.get("total_tokens", p + c), time.monotonic() - began)
 
 
+@dataclass
+class Provider:
+    """A service with its keys and its models for light and strong roles. `make(key)` gives a client."""
+
+    make: Callable[[str], Client]
+    keys: list[str]
+    light: str
+    strong: str
+    turn: int = 0
+
+
+class CascadeClient:
+    """Asks the providers in turn, each with its next key after a failure, and the whole row of
+    them again after a pause that grows, up to `attempts` times; then the last error is raised."""
+
+    def __init__(self, providers: list[Provider], attempts: int = 4, pause: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.providers, self.attempts, self.pause, self.sleep = [p for p in providers if p.keys], attempts, pause, sleep
+
+    def complete(self, role: str, prompt: str, model: str, temperature: float, context_id: str | None = None) -> Reply:
+        last: Exception = RuntimeError("no provider has a key")
+        for attempt in range(self.attempts if self.providers else 0):
+            for p in self.providers:
+                for _ in p.keys:
+                    key = p.keys[p.turn % len(p.keys)]
+                    p.turn += 1
+                    try:
+                        return p.make(key).complete(role, prompt, p.light if tier(role) == "light" else p.strong, temperature, context_id)
+                    except Exception as e:
+                        last = e
+                        self.sleep(self.pause / 2 * (attempt + 1))
+            if attempt + 1 < self.attempts:
+                self.sleep(self.pause * (attempt + 1))
+        raise RuntimeError(f"all providers failed: {last}") from last
+
+
+def keys_from(environment: dict[str, str], prefix: str, most: int = 10) -> list[str]:
+    """The keys PREFIX_1, PREFIX1, PREFIX_2, ... of an environment, else PREFIX alone."""
+    found = [environment.get(f"{prefix}_{i}") or environment.get(f"{prefix}{i}") or "" for i in range(1, most + 1)]
+    found = [k.strip() for k in found if k.strip()]
+    return found or [k for k in [environment.get(prefix, "").strip()] if k]
+
+
+def make_client(kind: str, url: str = "", environment: dict[str, str] | None = None, prefix: str = "API_KEY", light: str = "", strong: str = "") -> Callable[[], Client]:
+    """What makes a client in each task: "scripted", or "http" with the keys of an environment,
+    taken in turn and tried again after failures."""
+    if kind == "scripted":
+        return ScriptedClient
+    if kind != "http":
+        raise ValueError(f"no client is named {kind!r}")
+    keys = keys_from(environment or {}, prefix)
+    if not keys or not url:
+        raise ValueError(f"a client by HTTP needs a URL and a key in {prefix}")
+    return lambda: CascadeClient([Provider(lambda key: HttpClient(url, key), keys, light, strong)])
+
+
 def as_batches(make_client: Callable[[], Client]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """A function over batches of requests. The client is made once in each task; a failed
     call gives the reply `ERR` without usage, so that one question can't end a run."""

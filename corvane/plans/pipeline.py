@@ -9,14 +9,14 @@ and stay in the table.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import hashing, parsing, tools
-from corvane.operators import caching, fusion, memory
-from corvane.plans import prompts
+from corvane.operators import bm25, caching, dense, fusion, memory, retrieve
+from corvane.plans import embeddings, prompts
 from corvane.plans.clients import REPLY_SCHEMA, Client, as_batches
 from corvane.session import materialize
 from corvane.sources.config import RunConfig
@@ -25,6 +25,7 @@ VARIANTS = ("V0", "V1", "V2", "V3", "V4")
 _USAGE = ("prompt_tokens", "completion_tokens", "total_tokens")
 NO_EVIDENCE = "No clinical evidence retrieved."
 _HITS = "array<struct<rank:int,passage_id:string,source:string,text:string,score:double>>"
+CALLS = "question_id string, role string, model string, temperature double, prompt string, context_id string, cache_key string, cache_hit boolean, prompt_tokens bigint, completion_tokens bigint, total_tokens bigint, latency_seconds double"
 #: From this score on the raw question is a good enough query.
 ROUTED_SCORE = 0.030
 
@@ -40,6 +41,9 @@ class Engine:
     retrieve: Callable[[DataFrame, int], DataFrame] | None = None
     cases: DataFrame | None = None
     cache: DataFrame | None = None
+    #: What earlier retrievals found: (cache_key, found). `searched` names the index and settings they hold for.
+    retrievals: DataFrame | None = None
+    searched: str = "index"
     #: False reproduces a flow whose memory brief is made but not shown to the reasoner.
     memory_in_reasoner: bool = True
     calls: list[DataFrame] = field(default_factory=list)
@@ -47,6 +51,8 @@ class Engine:
     def __post_init__(self) -> None:
         if self.cache is None:
             self.cache = self.spark.createDataFrame([], REPLY_SCHEMA)
+        if self.retrievals is None:
+            self.retrievals = self.spark.createDataFrame([], f"cache_key string, found {_HITS}")
 
     def start(self, questions: DataFrame) -> DataFrame:
         """One row for each question id, without usage yet."""
@@ -64,7 +70,9 @@ class Engine:
         requests = requests.withColumn("cache_key", hashing.request_key(F.col("role"), F.col("prompt"), F.col("model"), F.col("temperature"), F.col("context_id")))
         answered, new = caching.complete(materialize(requests, "requests"), self.cache, as_batches(self.make_client), REPLY_SCHEMA)
         self.cache = self.cache.unionByName(new)
-        self.calls.append(answered.select("question_id", "role", "cache_key", *_USAGE, "latency_seconds"))
+        asked_now = new.select("cache_key").withColumn("cache_hit", F.lit(False))
+        log = answered.join(asked_now, "cache_key", "left").withColumn("cache_hit", F.coalesce("cache_hit", F.lit(True)))
+        self.calls.append(log.select("question_id", "role", "model", "temperature", "prompt", "context_id", "cache_key", "cache_hit", *_USAGE, "latency_seconds"))
         got = answered.select("question_id", F.col("text").alias(into), *[F.col(u).alias(f"{u}_") for u in (*_USAGE, "latency_seconds")])
         s = state.join(got, "question_id", "left")
         for u in (*_USAGE, "latency_seconds"):
@@ -72,18 +80,69 @@ class Engine:
         s = s.withColumn("n_calls", F.col("n_calls") + F.when(F.col(into).isNotNull(), 1).otherwise(0))
         return materialize(s, "stage")
 
+    def call_log(self) -> DataFrame:
+        """One row for each call so far, hits included, with all that led to it."""
+        if not self.calls:
+            return self.spark.createDataFrame([], CALLS)
+        out = self.calls[0]
+        for c in self.calls[1:]:
+            out = out.unionByName(c)
+        return out
+
+    def save_calls(self, path: str) -> None:
+        """Append the calls so far to the log at `path`, and begin anew."""
+        self.call_log().write.mode("append").parquet(path)
+        self.calls = []
+
+    def find(self, queries: DataFrame, k: int) -> DataFrame:
+        """Rows (question_id, found) for queries (question_id, query, options): the passages as an
+        array in order of rank. Equal retrievals run once; earlier ones are looked up."""
+        listing = F.when(F.size("options") > 0, tools.option_list(F.col("options")))
+        key = hashing.retrieval_key(F.col("query"), listing, F.lit(k), F.lit("passages"), F.lit(self.searched))
+        keyed = materialize(queries.select("question_id", "query", "options", key.alias("cache_key")), "retrievals")
+        # One of the equal requests stands for all; they differ in nothing that counts.
+        missing = caching.misses(keyed, self.retrievals).select(F.col("cache_key").alias("question_id"), "query", "options")
+        item = F.struct(F.col("rank").cast("int").alias("rank"), "passage_id", "source", "text", "score")
+        lists = self.retrieve(missing, k).groupBy("question_id").agg(F.array_sort(F.collect_list(item)).alias("found"))
+        new = missing.select("question_id").join(lists, "question_id", "left").select(F.col("question_id").alias("cache_key"), F.coalesce("found", F.array().cast(_HITS)).alias("found"))
+        new = materialize(new, "retrieved")
+        known = self.retrievals
+        self.retrievals = known.unionByName(new)
+        return keyed.join(self.retrievals.dropDuplicates(["cache_key"]), "cache_key").select("question_id", "found")
+
     def look_up(self, state: DataFrame, query: Column, into: str, k: int, where: Column | None = None) -> DataFrame:
         """`state` with the passages found by `query` as an array in order of rank."""
         some = state if where is None else state.where(F.coalesce(where, F.lit(False)))
-        hits = self.retrieve(some.select("question_id", query.alias("query"), "options"), k)
-        item = F.struct(F.col("rank").cast("int").alias("rank"), "passage_id", "source", "text", "score")
-        lists = hits.groupBy("question_id").agg(F.array_sort(F.collect_list(item)).alias("found_"))
+        lists = self.find(some.select("question_id", query.alias("query"), "options"), k).withColumnRenamed("found", "found_")
         s = state.join(lists, "question_id", "left").withColumn("found_", F.coalesce("found_", F.array().cast(_HITS)))
         old = F.col(into) if into in state.columns else F.array().cast(_HITS)
         new = F.col("found_") if where is None else F.when(F.coalesce(where, F.lit(False)), F.col("found_")).otherwise(old)
         return materialize(s.withColumn(into, new).drop("found_"), "passages")
 
 
+def hits_by(vectors: DataFrame, make: type = embeddings.HashEmbedding) -> Callable[[DataFrame, int], DataFrame]:
+    """Dense hits by stored vectors (passage_id, v), for queries (question_id, search_text)
+    embedded on the way."""
+
+    def hits(queries: DataFrame, k: int) -> DataFrame:
+        q = queries.select("question_id", embeddings.vector(F.col("search_text"), make, "query").alias("qv"))
+        return dense.dense_topk(vectors, "passage_id", "v", q, "question_id", "qv", k)
+
+    return hits
+
+
+def build_engine(
+    spark: SparkSession, config: RunConfig, client: Callable[[], Client], passages: DataFrame, index: bm25.Index, vectors: DataFrame, cases: DataFrame | None = None, embedding: type = embeddings.HashEmbedding, **rest
+) -> Engine:
+    """An engine whose retrieval follows all the settings of the run."""
+    settings = retrieve.Settings.from_config(config)
+
+    def look_up(queries: DataFrame, k: int) -> DataFrame:
+        return retrieve.retrieve(queries, "question_id", "query", passages, replace(settings, top_k=k), index, hits_by(vectors, embedding), "options")
+
+    return Engine(spark, config, client, look_up, cases, searched=f"{embedding.name} {settings.label()}", **rest)
+
+
 def _ids(hits: Column) -> Column:
     return F.transform(hits, lambda h: h["passage_id"])
 
@@ -151,18 +210,44 @@ def _v2_baseline(e: Engine, s: DataFrame, variant: str, lesson: Column | None, *
     return _result(s, variant, F.col("reply"), F.col("reply"), router_query=F.col("query"), retrieved_passages=_ids(F.col("hits")), decision=F.when(same, "approve").otherwise("override"), **trace)
 
 
-def _multi(e: Engine, s: DataFrame, queries: Column, where: Column, k: int) -> DataFrame:
-    """Several queries for each question, merged to the k best passages."""
+def _several(e: Engine, s: DataFrame, queries: Column, where: Column, k: int, keep: int) -> DataFrame:
+    """Rows (question_id, passage..., rank): the `keep` best passages of several queries for each
+    question, of which each fetches k."""
     parts = s.where(where).select("question_id", "options", F.posexplode(queries).alias("part", "query"))
     keyed = parts.withColumn("question_id", F.concat_ws("\u0001", "question_id", F.col("part").cast("string")))
-    hits = e.retrieve(keyed.select("question_id", "query", "options"), k)
+    hits = e.find(keyed.select("question_id", "query", "options"), k).select("question_id", F.explode("found").alias("h")).select("question_id", "h.*")
     named = hits.withColumn("part", F.substring_index("question_id", "\u0001", -1).cast("int")).withColumn("question_id", F.substring_index("question_id", "\u0001", 1))
-    merged = fusion.merge_queries(named, "question_id", "part", k)
-    lists = merged.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "passage_id", "source", "text", "score"))).alias("m_"))
+    return fusion.merge_queries(named, "question_id", "part", keep).drop("part")
+
+
+def _with_hits(s: DataFrame, hits: DataFrame, where: Column) -> DataFrame:
+    """`s` whose `hits` are replaced by the rows of `hits` where asked."""
+    lists = hits.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "passage_id", "source", "text", "score"))).alias("m_"))
     out = s.join(lists, "question_id", "left").withColumn("hits", F.when(where, F.coalesce("m_", F.array().cast(_HITS))).otherwise(F.col("hits"))).drop("m_")
     return materialize(out, "passages")
 
 
+def _multi(e: Engine, s: DataFrame, queries: Column, where: Column, k: int) -> DataFrame:
+    """Several queries for each question, merged to the k best passages."""
+    return _with_hits(s, _several(e, s, queries, where, k, k), where)
+
+
+def research(e: Engine, s: DataFrame, query: Column) -> DataFrame:
+    """The researcher's retrieval: a query of several parts, divided by a double bar, is searched
+    part by part with k passages each, merged to 2 k; any other with 2 k at once. Of these
+    k stay, the most diverse ones if the settings ask for that, else the first."""
+    c, k, hits = e.config, e.config.rag_top_k, F.col("hits")
+    s = materialize(s.withColumn("query", query), "research")
+    split = F.contains(F.col("query"), F.lit("||"))
+    parts = F.filter(F.transform(F.split("query", r"\|\|"), lambda p: F.trim(p)), lambda p: p != "")
+    s = e.look_up(s, F.col("query"), "hits", 2 * k, where=~split)
+    s = _with_hits(s, _several(e, s, parts, split, k, 2 * k), split)
+    if c.rag_use_mmr:
+        flat = s.select("question_id", F.explode("hits").alias("h")).select("question_id", "h.*")
+        return _with_hits(s, fusion.mmr_greedy(flat, "question_id", k, c.rag_mmr_lambda), F.lit(True))
+    return s.withColumn("hits", F.slice(hits, 1, k))
+
+
 def _v2_advanced(e: Engine, s: DataFrame, variant: str, lesson: Column | None, **trace: Column) -> DataFrame:
     c, q, o, hits = e.config, F.col("question"), F.col("options"), F.col("hits")
     k = c.rag_top_k
@@ -249,8 +334,7 @@ def v4(e: Engine, questions: DataFrame) -> DataFrame:
     c, q, o, hits = e.config, F.col("question"), F.col("options"), F.col("hits")
     s = _with_memory(e, e.start(questions))
     s = e.ask(s, "router", prompts.router(q), "route")
-    s = e.look_up(s.withColumn("query", parsing.parse_search_query(F.col("route"))), F.col("query"), "hits", 2 * c.rag_top_k)
-    s = s.withColumn("hits", F.slice(hits, 1, c.rag_top_k))
+    s = research(e, s, parsing.parse_search_query(F.col("route")))
     if c.rag_heuristic_compression:
         s = s.withColumn("brief", _brief(hits))
     else:

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
 import uuid
-from collections import Counter
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import hashing, parsing, tools
 from corvane.functions import text as T
 from corvane.operators import bm25, caching, chunking, dag, dataset, dense, evaluation, fusion, memory, retrieve, sampling
-from corvane.plans import clients, pipeline
-from corvane.session import materialize, read_table, scratch_dir, ship_package
+from corvane.plans import clients, embeddings, pipeline
+from corvane.session import materialize, read_table, scratch_dir, ship_package, stored
 from corvane.sources.config import RunConfig
 from corvane.sources.tables import passage_table
 from corvane.streaming import windows
@@ -26,8 +21,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 VARIANTS = ["V0", "V1", "V2", "V3", "V4"]
 PAIRS = [("V0", "V1"), ("V1", "V2"), ("V2", "V3"), ("V4", "V3"), ("V0", "V3")]
 LETTERS = ("A", "B", "C", "D", "E")
-#: Dimensions of the hash embedding.
-DIMS = 16
 
 
 def _questions(s: SparkSession, d: str) -> DataFrame:
@@ -46,6 +39,14 @@ def _searches(s: SparkSession, d: str) -> DataFrame:
     return _held_out(_questions(s, d)).where(F.substring_index("question_id", "-", -1).cast("bigint") % 50 == 0)
 
 
+def citation_ids(s, d):
+    """The passages of each parent as numbered citations of at most 15 words."""
+    p = _passages(s, d).where("parent_id is not null")
+    item = F.struct(F.regexp_extract("passage_id", r"(\d+)$", 1).cast("int").alias("at"), "source", F.coalesce("text", F.lit("")).alias("text"))
+    lists = p.groupBy("parent_id").agg(F.array_sort(F.collect_list(item)).alias("p"))
+    return lists.select("parent_id", F.explode(tools.compress_passages(F.col("p"), 15)).alias("c")).select("parent_id", "c.citation_id", "c.source", F.md5("c.text").alias("text"))
+
+
 def _passages(s: SparkSession, d: str) -> DataFrame:
     return passage_table(read_table(s, d, "passages"))
 
@@ -59,11 +60,13 @@ def _documents(s: SparkSession, d: str) -> DataFrame:
     return read_table(s, d, "documents").where("text is not null")
 
 
-def _records(s: SparkSession, d: str) -> DataFrame:
-    """Each record once, as delivered last, with its variant in one spelling."""
+def _records(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Each record once, as delivered last, with its variant in one spelling. Only the named
+    columns are read and shuffled."""
     p = read_table(s, d, "predictions").where("record_id is not null")
-    last = p.groupBy("record_id").agg(F.max_by(F.struct(*[c for c in p.columns if c != "record_id"]), "received_at").alias("m"))
-    return last.select("record_id", "m.*").withColumn("variant", F.upper(F.trim("variant")))
+    last = p.groupBy("record_id").agg(F.max_by(F.struct(*columns), "received_at").alias("m"))
+    out = last.select("record_id", "m.*")
+    return out.withColumn("variant", F.upper(F.trim("variant"))) if "variant" in columns else out
 
 
 def _md5(c: Column, sep: str = "|") -> Column:
@@ -122,7 +125,7 @@ def retrieval_key(s, d):
 
 def context_id(s, d):
     ids = F.col("trace.retrieved_passages")
-    return _records(s, d).where(ids.isNotNull()).select("record_id", hashing.context_id(ids).alias("context"))
+    return _records(s, d, "trace").where(ids.isNotNull()).select("record_id", hashing.context_id(ids).alias("context"))
 
 
 def sub_seed(s, d):
@@ -160,10 +163,20 @@ def rows_joined(s, d):
 # sparse and dense retrieval
 
 
+def _index_parts(s, d) -> tuple[bm25.Index, DataFrame]:
+    """The sparse index and the passages' vectors, made once for each state of the passages' table."""
+
+    def make(path: str) -> None:
+        searched = materialize(_searched(_passages(s, d)).select("passage_id", "text"), "searched")
+        bm25.build(searched, "passage_id", "text").save(f"{path}/bm25")
+        searched.select("passage_id", embeddings.vector(F.col("text")).alias("v")).write.parquet(f"{path}/vectors")
+
+    path = stored(s, "index", f"{d}/passages.parquet", make)
+    return bm25.Index.load(s, f"{path}/bm25"), s.read.parquet(f"{path}/vectors")
+
+
 def _index(s, d) -> bm25.Index:
-    """The index written once; term and corpus statistics come from what was written."""
-    i = bm25.build(_searched(_passages(s, d)), "passage_id", "text")
-    return bm25.from_parts(materialize(i.postings, "postings"), materialize(i.lengths, "lengths"))
+    return _index_parts(s, d)[0]
 
 
 def bm25_term_df(s, d):
@@ -190,38 +203,11 @@ def dense_topk(s, d):
     return dense.dense_topk(e, "vec_id", "embedding", q, "query_id", "v", 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _hash_vectors(texts: pd.Series) -> pd.Series:
-    out = []
-    for t in texts:
-        v = np.zeros(DIMS)
-        for w, n in Counter(re.findall(r"\w+", t.lower()) if isinstance(t, str) else ()).items():
-            v[int(hashlib.md5(w.encode("utf-8", "replace")).hexdigest()[0], 16)] += n
-        norm = np.sqrt((v * v).sum())
-        out.append(v / norm if norm else v)
-    return pd.Series(out)
-
-
-def hash_vector(text: Column) -> Column:
-    """A stand-in for an embedding model, behind the same boundary (a pandas function over
-    batches): how many words fall on each first hex digit of their MD5, of unit length."""
-    return F.pandas_udf(_hash_vectors, "array<double>")(text)
-
-
-def _dense_hits(passages: DataFrame):
-    vectors = passages.select("passage_id", hash_vector(F.col("text")).alias("v"))
-
-    def hits(queries: DataFrame, k: int) -> DataFrame:
-        q = queries.select("question_id", hash_vector(F.col("search_text")).alias("qv"))
-        return dense.dense_topk(vectors, "passage_id", "v", q, "question_id", "qv", k)
-
-    return hits
-
-
 def _lists(s, d, n: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
-    p = _passages(s, d)
-    q = _searches(s, d).withColumn("search_text", F.col("question"))
-    sparse = bm25.search(_index(s, d), q, "question_id", "question", n).withColumnRenamed("doc_id", "passage_id")
-    return materialize(_dense_hits(_searched(p))(q, n).select("question_id", "passage_id", "score", "rank"), "dense"), materialize(sparse, "sparse"), p
+    index, vectors = _index_parts(s, d)
+    q = materialize(_searches(s, d).withColumn("search_text", F.col("question")), "searches")
+    sparse = bm25.search(index, q, "question_id", "question", n).withColumnRenamed("doc_id", "passage_id")
+    return materialize(pipeline.hits_by(vectors)(q, n).select("question_id", "passage_id", "score", "rank"), "dense"), materialize(sparse, "sparse"), _passages(s, d)
 
 
 def _shown(h: DataFrame) -> DataFrame:
@@ -286,8 +272,9 @@ FULL = retrieve.Settings(top_k=5, option_boosting=True, dynamic_k=True, compress
 
 
 def hybrid_retrieve(s, d):
-    p = _passages(s, d)
-    r = retrieve.retrieve(_searches(s, d), "question_id", "question", p, FULL, _index(s, d), _dense_hits(_searched(p)), "options")
+    index, vectors = _index_parts(s, d)
+    q = materialize(_searches(s, d).select("question_id", "question", "options"), "searches")
+    r = retrieve.retrieve(q, "question_id", "question", _passages(s, d), FULL, index, pipeline.hits_by(vectors), "options")
     return r.select("question_id", "passage_id", "source", F.md5("text").alias("text"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -343,7 +330,7 @@ def compress_sentences(s, d):
 
 def _answers(s, d) -> DataFrame:
     q = _held_out(_questions(s, d)).select("question_id", "question", "options")
-    return _records(s, d).where("explanation is not null").select("record_id", "question_id", "explanation").join(q, "question_id")
+    return _records(s, d, "explanation", "question_id").where("explanation is not null").join(q, "question_id")
 
 
 def coverage(s, d):
@@ -360,21 +347,21 @@ def cooccurrence(s, d):
 
 def parse_answer_strict(s, d):
     p = parsing.parse_answer(F.col("explanation"), LETTERS)
-    return _records(s, d).select("record_id", p["is_valid"].alias("is_valid"), p["answer"].alias("answer"), p["reason"].alias("reason"))
+    return _records(s, d, "explanation").select("record_id", p["is_valid"].alias("is_valid"), p["answer"].alias("answer"), p["reason"].alias("reason"))
 
 
 def parse_answer_lenient(s, d):
     p = parsing.parse_answer(F.col("explanation"), LETTERS, lenient=True)
-    return _records(s, d).select("record_id", p["is_valid"].alias("is_valid"), p["answer"].alias("answer"))
+    return _records(s, d, "explanation").select("record_id", p["is_valid"].alias("is_valid"), p["answer"].alias("answer"))
 
 
 def strip_answer(s, d):
-    return _records(s, d).where("explanation is not null").select("record_id", F.md5(parsing.strip_answer(F.col("explanation"))).alias("text"))
+    return _records(s, d, "explanation").where("explanation is not null").select("record_id", F.md5(parsing.strip_answer(F.col("explanation"))).alias("text"))
 
 
 def parse_kv_lines(s, d):
     text = F.concat(F.lit("Decision: "), F.coalesce("trace.decision", F.lit("")), F.lit("\nReview Memo: "), F.coalesce("predicted_answer", F.lit("none")), F.lit("\nSearch Query: "), F.coalesce("trace.router_query", F.lit("")))
-    r = _records(s, d).where("trace is not null").withColumn("t", text)
+    r = _records(s, d, "trace", "predicted_answer").where("trace is not null").withColumn("t", text)
     review = parsing.parse_review(F.col("t"))
     return r.select("record_id", review["decision"].alias("decision"), review["memo"].alias("memo"), parsing.parse_search_query(F.col("t")).alias("query"), F.size(parsing.parse_search_queries(F.col("t"), F.array(F.lit("x")))).alias("n_queries"))
 
@@ -395,7 +382,7 @@ def confidence(s, d):
 
 
 def _cited(s, d) -> DataFrame:
-    return _records(s, d).where("explanation is not null").withColumn("n", F.coalesce(F.size("trace.retrieved_passages"), F.lit(0)))
+    return _records(s, d, "explanation", "trace").where("explanation is not null").withColumn("n", F.coalesce(F.size("trace.retrieved_passages"), F.lit(0)))
 
 
 def citation_audit(s, d):
@@ -413,7 +400,9 @@ def halluc_risk(s, d):
 
 
 def fast_path(s, d):
-    return _questions(s, d).select("question_id", tools.is_direct(F.col("question")).alias("direct"))
+    """Of whole stems, which are long, and of short questions after each option."""
+    short = F.transform(F.map_values("options"), lambda o: tools.is_direct(F.concat(F.lit("What is the first-line drug for "), F.coalesce(o, F.lit("")))))
+    return _questions(s, d).select("question_id", tools.is_direct(F.col("question")).alias("direct"), F.coalesce(F.size(F.filter(short, lambda x: x)), F.lit(-1)).alias("n_short"))
 
 
 def search_strategy(s, d):
@@ -474,23 +463,23 @@ def split_disjoint(s, d):
 
 
 def leaderboard(s, d):
-    return evaluation.leaderboard(_records(s, d))
+    return evaluation.leaderboard(_records(s, d, "variant", "is_correct", "is_invalid", "total_tokens", "latency_seconds", "prompt_tokens", "completion_tokens"))
 
 
 def usage_rollup(s, d):
-    return evaluation.usage(_records(s, d), "question_id", "variant")
+    return evaluation.usage(_records(s, d, "question_id", "variant", "prompt_tokens", "completion_tokens", "total_tokens"), "question_id", "variant")
 
 
 def throughput(s, d):
-    return evaluation.throughput(_records(s, d))
+    return evaluation.throughput(_records(s, d, "variant", "is_correct", "latency_seconds", "total_tokens"))
 
 
 def error_causes(s, d):
-    return evaluation.causes(_records(s, d))
+    return evaluation.causes(_records(s, d, "variant", "is_correct", "is_invalid", "predicted_answer"))
 
 
 def _scores(s, d) -> DataFrame:
-    return evaluation.scores_by_question(_records(s, d))
+    return evaluation.scores_by_question(_records(s, d, "variant", "question_id", "is_correct"))
 
 
 def paired_comparison(s, d):
@@ -507,15 +496,17 @@ def bootstrap_ci(s, d):
 
 
 def loss_sets(s, d):
-    return evaluation.losses(_scores(s, d), "V0", "V3")
+    """Of questions that count as right only if every run is."""
+    every = evaluation.scores_by_question(_records(s, d, "variant", "question_id", "is_correct"), least=1.0)
+    return evaluation.losses(every, "V0", "V3")
 
 
 def variant_pivot(s, d):
-    return evaluation.pivot_by_question(_records(s, d), VARIANTS)
+    return evaluation.pivot_by_question(_records(s, d, "variant", "question_id", "predicted_answer"), VARIANTS)
 
 
 def answers_corrected(s, d):
-    return _records(s, d).select("record_id", evaluation.is_correct(F.col("predicted_answer"), F.col("correct_answer")).alias("correct"), F.round(evaluation.cost(F.col("prompt_tokens"), F.col("completion_tokens")), 9).alias("cost"))
+    return _records(s, d, "predicted_answer", "correct_answer", "prompt_tokens", "completion_tokens").select("record_id", evaluation.is_correct(F.col("predicted_answer"), F.col("correct_answer")).alias("correct"), F.round(evaluation.cost(F.col("prompt_tokens"), F.col("completion_tokens")), 9).alias("cost"))
 
 
 # caches, pages, catalog, graphs
@@ -523,13 +514,13 @@ def answers_corrected(s, d):
 
 def cache_misses(s, d):
     """Requests by (question, variant) against a cache of those of even record numbers."""
-    r = _records(s, d).select("record_id", hashing.key_of(question=F.col("question_id"), variant=F.col("variant")).alias("cache_key"))
+    r = _records(s, d, "question_id", "variant").select("record_id", hashing.key_of(question=F.col("question_id"), variant=F.col("variant")).alias("cache_key"))
     return caching.split_report(r.select("cache_key"), r.where("record_id % 2 = 0").select("cache_key"))
 
 
 def dataset_search_page(s, d):
     hits = dataset.search(_questions(s, d), "question", "Which")
-    return dataset.page(hits, "question_id", 2, 10).select("question_id")
+    return dataset.page_with_total(hits, "question_id", 2, 10).select("question_id", "total")
 
 
 def fan_out(s, d):
@@ -558,16 +549,9 @@ def dag_cycle(s, d):
 # flows
 
 
-def _engine(s, d, **settings) -> pipeline.Engine:
-    config = RunConfig("model-a", 0.0, rag_top_k=3, rag_use_hybrid=True, **settings)
-    p = _passages(s, d)
-    index = _index(s, d)
-
-    def look_up(queries: DataFrame, k: int) -> DataFrame:
-        st = retrieve.Settings(top_k=k, hybrid=True)
-        return retrieve.retrieve(queries, "question_id", "query", p, st, index, _dense_hits(_searched(p)), "options")
-
-    return pipeline.Engine(s, config, clients.ScriptedClient, look_up, read_table(s, d, "memory_cases"))
+def _engine(s, d, script=None, **settings) -> pipeline.Engine:
+    config = RunConfig("model-a", 0.0, **({"rag_top_k": 3, "rag_use_hybrid": True} | settings))
+    return pipeline.build_engine(s, config, lambda: clients.ScriptedClient(script), _passages(s, d), *_index_parts(s, d), read_table(s, d, "memory_cases"))
 
 
 def _flow(variant: str, **settings) -> Query:
@@ -579,6 +563,9 @@ def _flow(variant: str, **settings) -> Query:
 
 
 variant_v0, variant_v1, variant_v2, variant_v3, variant_v4 = (_flow(v) for v in VARIANTS)
+#: What the router is made to reply, so that the researcher has a query of several parts.
+_PARTS = {"router": lambda prompt: "Search Query: " + " ".join(prompt.split("Question:\n", 1)[-1].split()) + " || treatment || "}
+variant_v4_parts = _flow("V4", script=_PARTS, rag_use_mmr=True, rag_use_hyde=True, rag_use_query_pruning=True, rag_use_synonym_expansion=True)
 variant_v2_advanced = _flow("V2", rag_enable_backtracking=True, rag_enable_debate=True, rag_use_multi_query=True, rag_adaptive_routing=True, rag_heuristic_compression=True)
 
 
@@ -592,10 +579,10 @@ def stream_daily(s, d):
 _NAMES = """
 tok_words tok_keywords tok_sentences token_count jaccard_pairs overlap_weight truncate_words cache_key retrieval_key context_id sub_seed
 chunk_flat chunk_parents chunk_children child_parent_join rows_joined bm25_term_df bm25_stats bm25_idf bm25_topk dense_topk
-rrf_zero_based rrf_one_based option_boost entity_rerank dynamic_topk parent_dedup relevance_threshold token_overlap_rescore multi_query_merge hybrid_retrieve mmr_greedy mmr_skip token_budget context_savings
+rrf_zero_based rrf_one_based option_boost entity_rerank dynamic_topk parent_dedup relevance_threshold token_overlap_rescore multi_query_merge hybrid_retrieve mmr_greedy mmr_skip token_budget context_savings citation_ids
 query_prune synonym_expand entities_a entities_b compress_sentences coverage cooccurrence parse_answer_strict parse_answer_lenient strip_answer parse_kv_lines option_scores confidence citation_audit citation_fidelity halluc_risk
 fast_path search_strategy formatters option_listing options_mapped sample_dev sample_official memory_topk split_disjoint leaderboard usage_rollup throughput error_causes paired_comparison p_values bootstrap_ci loss_sets variant_pivot answers_corrected
-cache_misses dataset_search_page fan_out tool_catalog dag_levels dag_cycle variant_v0 variant_v1 variant_v2 variant_v2_advanced variant_v3 variant_v4 stream_daily
+cache_misses dataset_search_page fan_out tool_catalog dag_levels dag_cycle variant_v0 variant_v1 variant_v2 variant_v2_advanced variant_v3 variant_v4 variant_v4_parts stream_daily
 """
 
 
