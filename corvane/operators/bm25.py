@@ -73,7 +73,11 @@ def _counted():
 def build(docs: DataFrame, key: str, text: str) -> Index:
     """Null texts count as empty; an empty document has length 0 and counts in the totals."""
     tokens = docs.select(F.col(key).alias("doc_id"), word_tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    return from_docs(tokens.mapInArrow(_counted(), f"doc_id {dict(tokens.dtypes)['doc_id']}, len bigint, terms array<string>, tfs array<int>"))
+    docs_ = tokens.mapInArrow(_counted(), f"doc_id {dict(tokens.dtypes)['doc_id']}, len bigint, terms array<string>, tfs array<int>")
+    # The statistics come from the tokens: who wants only these needs no Python.
+    terms = tokens.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    totals = tokens.agg(F.count("*").alias("n"), F.avg(F.size("w").cast("bigint")).alias("avgdl"))
+    return Index(docs_, terms, totals)
 
 
 def from_docs(docs: DataFrame) -> Index:

@@ -110,6 +110,24 @@ def ship_package(spark: SparkSession) -> None:
     sc._corvane_shipped = True
 
 
+#: The tables whose rows carry whole texts or measures, with their keys.
+_KEYS = {"documents": "doc_id", "passages": "passage_id", "predictions": "record_id", "questions": "question_id"}
+#: Between these numbers of bytes a table of fewer files than there are cores is dealt out anew.
+_SPREAD = (1 << 18, 1 << 28)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the test tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the test tables.
+
+    A small file of one row group is read by one task, and all work on its texts would stay
+    there; such a table is dealt to all cores by its key. Larger ones, and those of many
+    files, have splits enough and are read as they are.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if name in _KEYS:
+        p, fs = _file_system(spark, path)
+        seen, cores = fs.getContentSummary(p), spark.sparkContext.defaultParallelism
+        if seen.getFileCount() < cores and _SPREAD[0] <= seen.getLength() < _SPREAD[1]:
+            return df.repartition(cores, _KEYS[name])
+    return df
