@@ -184,8 +184,16 @@ def truncate_words(text: Column | str, n: int, mark: str = " [Truncated]") -> Co
 def coverage(question: Column | str, passage: Column | str) -> Column:
     """Struct of the share of the question's words in the passage, whether it is enough
     (0.20), and up to three missing words in order."""
-    q = F.array_except(word_set(question), strings(STOP_COVERAGE))
-    p = word_set(passage)
+    return coverage_of(content_words(question), word_set(passage))
+
+
+def content_words(question: Column | str) -> Column:
+    """The words of a question that a passage should cover."""
+    return F.array_except(word_set(question), strings(STOP_COVERAGE))
+
+
+def coverage_of(q: Column, p: Column) -> Column:
+    """The same of arrays of words, which a caller may make once for many rows."""
     share = F.when(F.size(q) > 0, F.size(F.array_intersect(q, p)) / F.size(q))
     missing = F.slice(F.array_sort(F.array_except(q, p)), 1, 3)
     return F.struct(share.alias("ratio"), F.coalesce(share >= 0.20, F.lit(True)).alias("is_sufficient"), missing.alias("missing"))

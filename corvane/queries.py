@@ -334,8 +334,13 @@ def _answers(s, d) -> DataFrame:
 
 
 def coverage(s, d):
-    c = T.coverage("question", "explanation")
-    return _answers(s, d).select("record_id", F.round(c["ratio"], 6).alias("ratio"), c["is_sufficient"].alias("is_sufficient"), F.array_join(c["missing"], "|").alias("missing"))
+    """The words of a question are taken once, not for each of its records."""
+    q = _held_out(_questions(s, d)).select("question_id", T.content_words("question").alias("q_words"))
+    r = _records(s, d, "explanation", "question_id").where("explanation is not null")
+    r = r.select("record_id", "question_id", T.word_set("explanation").alias("p_words")).join(q, "question_id")
+    r = r.withColumn("c", T.coverage_of(F.col("q_words"), F.col("p_words")))
+    c = F.col("c")
+    return r.select("record_id", F.round(c["ratio"], 6).alias("ratio"), c["is_sufficient"].alias("is_sufficient"), F.array_join(c["missing"], "|").alias("missing"))
 
 
 def cooccurrence(s, d):
