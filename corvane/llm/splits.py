@@ -4,15 +4,16 @@ Edit-distance segment join over words. An evaluation text of n words is cut into
 m = n // width segments of `width` words; k edits leave all but k of them unchanged. So of
 any k + l of them at least l stand in each text within k edits, and each at an allowed
 position: shifted by at most k. The k + l rarest in the training side are chosen, with
-l = 4 and k = 2 m / 3, as single segments are often set phrases. Training texts are probed
+l = 2 and k = 2 m / 5: the others are often set phrases, shared by a part of all texts,
+and a join on them grows with the square of the tables. Training texts are probed
 with all their substrings of `width` words; a banded dynamic program decides whether a
 candidate is within k edits. The exact overlap is checked at the end.
 
 Moved sentences leave the overlap as it is but not the edit distance, and so do blocks of
 more than k words that are added or left out. These pairs come by a second path of the
 same join: of a text's n distinct (overlapping) segments at most floor((1 - t) n) can be
-missing from a text whose overlap with it is t or more, so of the floor((1 - t) n) + l
-rarest at least l are shared, at any position. `path` tells which way a pair came.
+missing from a text whose overlap with it is t or more, so of the floor((1 - t) n) + 4
+rarest at least 4 are shared, at any position. `path` tells which way a pair came.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from corvane.llm.kernels import jaccard, shingles, words
 from corvane.llm.seedjoin import expand, numbered, query_classes, with_texts
 from corvane.session import materialize
 
-#: Segments (l above) that a pair must share, on either path.
-SHARED = 4
+#: Segments that a pair must share on the second path, and those (l above) of the segment join.
+SHARED, UNCHANGED = 4, 2
 
 
 def _counts(width: int, bits: int):
@@ -50,8 +51,8 @@ def edits_allowed(n_words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarr
     """For texts of so many words: the edits k that the segment join covers, and how many
     of their k + l chosen segments must be left unchanged (l, less for short texts)."""
     m = n_words // width
-    k = np.clip(np.minimum(2 * m // 3, m - SHARED), 0, None)
-    return k, np.minimum(SHARED, m - k)
+    k = np.clip(np.minimum(2 * m // 5, m - UNCHANGED), 0, None)
+    return k, np.minimum(UNCHANGED, m - k)
 
 
 _Q_SCHEMA = "h long, query long, n int, w int, k int, least int, a int, lo int, hi int, b int"
