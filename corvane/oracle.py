@@ -298,3 +298,83 @@ SQL["dag_levels"] = f"with {P} select passage_id as node, case when parent_id is
 SQL["dag_cycle"] = "select doc_id as node from documents where (doc_id // 10) % 2 = 0"
 SQL["stream_daily"] = """with e as (select date_trunc('day', ts) as day, event_type, value, max(ts) over () as last from events)
 select day::date as day, event_type, count(*) as n, round(sum(value), 4) as total from e where day + interval 1 day <= last - interval 1 hour group by 1, 2"""
+
+# The flows, by the replies of the scripted client: what a role answers follows from its prompt's hash.
+_NL = "chr(10)"
+_ASK = "End with a line of the form ''Final Answer: X'', where X is one of the letters."
+_HS = f"sq as (select * from q where {HELD})"
+
+
+def parts(*x: str) -> str:
+    return f" || {_NL} || {_NL} || ".join(x)
+
+
+def titled(title: str, body: str) -> str:
+    return f"'{title}:' || {_NL} || coalesce({body}, '')"
+
+
+def digit(role: str, prompt: str) -> str:
+    """The last hex digit of the hash of role and prompt; the number modulo 2 and 4 follows from it."""
+    return f"(strpos('0123456789abcdef', right(sha256('{role}' || {_NL} || {prompt}), 1)) - 1)"
+
+
+def letter(role: str, prompt: str) -> str:
+    return f"substr('ABCD', {digit(role, prompt)} % 4 + 1, 1)"
+
+
+def said(role: str) -> str:
+    return f"'Scripted reasoning of {role}. [1]'"
+
+
+def reply(role: str, prompt: str) -> str:
+    return f"{said(role)} || {_NL} || 'Final Answer: ' || {letter(role, prompt)}"
+
+
+_CASE = parts(titled("Question", "question"), titled("Options", f"case when options is null then '' else {OPTLIST} end"))
+
+
+def found(n: int, k: int, name: str = "hits", text: str = "question") -> str:
+    """For each question of `sq` its k best passages as a list {n, source, text}, from lists of n."""
+    return f"""{lists(n, text)}, {fused(0)}, {CTX}, {_DEDUP.format("c")}, w as (select *, row_number() over (partition by qk order by rank) as pos from v),
+{name} as (select qk as question_id, list({{'n': pos, 'source': source, 'text': text, 'score': score}} order by pos) as h from w where pos <= {k} group by 1)"""
+
+
+def block(h: str) -> str:
+    return f"coalesce(array_to_string(list_transform({h}, lambda b1: '[' || b1.n || '] (' || coalesce(b1.source, 'unknown') || ') ' || coalesce({cut('b1.text', '200', ' [Truncated]')}, '')), {_NL}), '')"
+
+
+def exemplar() -> str:
+    """For each question of `sq` the one case that shares most words with it, as it is shown."""
+    return f"""cases as (select case_id, min(ord) as ord, any_value(coalesce(question, '')) as cq, any_value(coalesce(correct_answer, '')) as ca, any_value(coalesce(explanation, '')) as ce,
+  any_value({wset("coalesce(question, '') || ' ' || coalesce(array_to_string(map_values(options), ' '), '') || ' ' || coalesce(explanation, '')")}) as w from memory_cases group by 1),
+near as (select question_id, case_id, row_number() over (partition by question_id order by len(list_intersect({minus(wset("question"), T.STOP_COVERAGE)}, w)) desc, ord, case_id) as r from sq cross join cases),
+shown as (select question_id, '### Clinical Case Memory Exemplars:' || {_NL} || '**Case #1**:' || {_NL} || 'Question: ' || cq || {_NL} || 'Correct Answer: ' || ca || {_NL} || 'Explanation: ' || ce || {_NL} as shown from near join cases using (case_id) where r = 1),
+mem as (select question_id, {reply("memory_specialist", parts("'Say what the solved cases teach for the question.'", titled("Cases", "shown"), titled("Question", "question")))} as memory from sq join shown using (question_id))"""
+
+
+def reasoner(brief: str, memory: str | None = None) -> str:
+    middle = [titled("Memory", memory)] if memory else []
+    return parts("'Reason step by step over the evidence and propose an answer.'", titled("Evidence", brief), *middle, _CASE, f"'{_ASK}'")
+
+
+def verifier(brief: str) -> str:
+    return parts("'Check the proposal against the passages and give the answer.'", titled("Passages", brief), _CASE, titled("Proposed answer", "candidate"), titled("Explanation", said("reasoner")), f"'{_ASK}'")
+
+
+def shown(variant: str, answer: str, calls: str, decision: str = "null::varchar") -> str:
+    return f"select question_id, '{variant}' as variant, {answer} as answer, true as is_valid, {calls} * 15 as total_tokens, {calls} as n_calls, {decision} as decision"
+
+
+SQL["variant_v0"] = f"with {Q}, {_HS} {shown('V0', letter('direct', parts(chr(39) + 'Answer the multiple-choice question and explain why.' + chr(39), _CASE, chr(39) + _ASK + chr(39))), '1')} from sq"
+_RAG = parts("'Answer the multiple-choice question from the passages and cite them as [n].'", titled("Passages", block("h")), _CASE, f"'{_ASK}'")
+SQL["variant_v1"] = f"with {Q}, {_HS}, {P}, {PS}, {found(10, 3)} {shown('V1', letter('rag', _RAG), '1')} from sq left join hits using (question_id)"
+SQL["variant_v2"] = f"""with {Q}, {_HS}, {P}, {PS}, {found(10, 3)}, cand as (select *, {letter("reasoner", reasoner("b"))} as candidate from (select *, {block("h")} as b from sq left join hits using (question_id))),
+ver as (select *, {letter("verifier", verifier("b"))} as final from cand) {shown('V2', 'final', '3', "case when candidate = final then 'approve' else 'override' end")} from ver"""
+SQL["variant_v3"] = f"""with {Q}, {_HS}, {P}, {PS}, {found(10, 3)}, {exemplar()},
+cand as (select *, {letter("reasoner", reasoner("b", "memory"))} as candidate from (select *, {block("h")} as b from sq left join hits using (question_id) join mem using (question_id))),
+ver as (select *, {letter("verifier", verifier("b"))} as final from cand) {shown('V3', 'final', '4', "case when candidate = final then 'approve' else 'override' end")} from ver"""
+_SYNTHESIS = parts("'Sum up what the passages say on the question, with citations [n].'", titled("Question", "question"), titled("Passages", "b"))
+SQL["variant_v4"] = f"""with {Q}, {_HS}, {P}, {PS}, {found(16, 6)}, {exemplar()},
+top3 as (select * replace (list_slice(h, 1, 3) as h) from hits),
+brief as (select *, case when h is null then 'No clinical evidence retrieved.' else {reply("researcher_synthesis", _SYNTHESIS)} end as brief from (select *, {block("h")} as b from sq left join top3 using (question_id) join mem using (question_id)))
+{shown('V4', letter("reasoner", reasoner("brief", "memory")), "case when h is null then 3 else 4 end")} from brief"""
