@@ -378,3 +378,43 @@ SQL["variant_v4"] = f"""with {Q}, {_HS}, {P}, {PS}, {found(16, 6)}, {exemplar()}
 top3 as (select * replace (list_slice(h, 1, 3) as h) from hits),
 brief as (select *, case when h is null then 'No clinical evidence retrieved.' else {reply("researcher_synthesis", _SYNTHESIS)} end as brief from (select *, {block("h")} as b from sq left join top3 using (question_id) join mem using (question_id)))
 {shown('V4', letter("reasoner", reasoner("brief", "memory")), "case when h is null then 3 else 4 end")} from brief"""
+
+
+_QT = "q_text"
+
+
+def retrieved(source: str, key_: str, text: str, options: str = "options") -> str:
+    """hits(question_id, h) of the searches in a table, three each, with compressed texts; its names stay inside."""
+    item = f"{{'n': pos, 'id': doc_id, 'source': source, 'text': {compress('text', f'list_concat({kw(_QT)}, {OPTW})')}, 'score': score}}"
+    return f"""(with sq as (select {key_} as question_id, {text} as question, {options} as options from {source}), {P}, {PS}, {lists(10)}, {fused(0)}, {CTX}, {_DEDUP.format("c")},
+w as (select *, row_number() over (partition by qk order by rank) as pos from v) select qk as question_id, list({item} order by pos) as h from w where pos <= 3 group by 1)"""
+
+
+def third(role: str, prompt: str) -> str:
+    """The number modulo 3: the sum of its hex digits, as 16 leaves 1."""
+    return f"list_sum(list_transform(string_split(sha256('{role}' || {_NL} || {prompt}), ''), lambda t1: strpos('0123456789abcdef', t1) - 1)) % 3"
+
+
+_ONE_LINE = r"regexp_replace(question, '\r\n|[\n\r\v\f\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]', ' ', 'g')"
+_JUDGE = parts("'Judge whether the passages suffice. Lines: ''Relevance: sufficient|insufficient'', ''Reason: ...'', ''Suggested Focus: ...''.'", titled("Question", "question"), titled("Query", "query"), titled("Passages", block("h")))
+_SHARE = "greatest(2, 350 // greatest(coalesce(len(h), 0), 1))"
+_BRIEF = f"case when coalesce(len(h), 0) = 0 then 'No clinical evidence retrieved.' else array_to_string(list_transform(h, lambda b2: '[' || b2.n || '] ' || coalesce({cut('b2.text', _SHARE, '...')}, '')), {_NL}) end"
+_REVIEW = parts("'Review the proposal. Lines: ''Decision: agree|disagree'', ''Review Memo: ...''.'", titled("Evidence", "brief"), _CASE, titled("Proposed answer", "candidate"), titled("Explanation", said("reasoner")))
+_DEBATE = parts("'Answer the reviewer''s objection; keep or change the answer.'", titled("Evidence", "brief"), _CASE, titled("Proposed answer", "candidate"), titled("Objection", "'scripted'"), f"'{_ASK}'")
+_AGREED = parts("'Decide after the debate.'", titled("Evidence", "brief"), _CASE, titled("Proposal", f"{said('reasoner')} || {_NL} || 'Final Answer: ' || candidate"), titled("Objection", "'scripted'"), titled("Reply", "rebuttal"), f"'{_ASK}'")
+SQL["variant_v2_advanced"] = f"""with {Q}, sq as materialized (select * from q where {HELD}), h1 as materialized {retrieved("sq", "question_id", "question")},
+s1 as materialized (select sq.*, h1.h as h1, coalesce(list_max(list_transform(h1.h, lambda m1: m1.score)), 0) >= 0.030 as bypass, {strip(_ONE_LINE)} as part0, {strip("'treatment ' || " + _ONE_LINE)} as part1 from sq left join h1 using (question_id)),
+p2 as materialized (select question_id, options, 0 as part, part0 as t, question_id || '#0' as k from s1 where not bypass union all select question_id, options, 1, part1, question_id || '#1' from s1 where not bypass),
+h2 as materialized {retrieved("p2", "k", "t")},
+flat as (select p2.question_id, p2.part, unnest(h2.h) as x from h2 join p2 on p2.k = h2.question_id),
+once as (select *, row_number() over (partition by question_id, x.id order by round(x.score, 9) desc, part) as one from flat),
+best as (select *, row_number() over (partition by question_id order by round(x.score, 9) desc, part, x.id) as pos from once where one = 1),
+merged as (select question_id, list({{'n': pos, 'id': x.id, 'source': x.source, 'text': x.text, 'score': x.score}} order by pos) as h from best where pos <= 3 group by 1),
+s2 as materialized (select s1.*, case when bypass then h1 else merged.h end as h, case when bypass then question else part0 || ' || ' || part1 end as query from s1 left join merged using (question_id)),
+s3 as materialized (select *, {digit("researcher_eval", _JUDGE)} % 2 = 0 and coalesce(len(h), 0) > 0 as again from s2),
+p4 as materialized (select question_id, options, {_ONE_LINE} || ' again' as t from s3 where again), h4 as materialized {retrieved("p4", "question_id", "t")},
+s4 as materialized (select s3.* replace (case when again then h4.h else s3.h end as h) from s3 left join h4 using (question_id)),
+s5 as materialized (select *, {_BRIEF} as brief from s4), s6 as materialized (select *, {letter("reasoner", reasoner("brief"))} as candidate from s5),
+s7 as materialized (select *, {third("verifier_review", _REVIEW)} = 0 as against from s6), s8 as materialized (select *, {reply("reasoner_debate", _DEBATE)} as rebuttal from s7),
+s9 as (select *, case when against then {letter("verifier_consensus", _AGREED)} else candidate end as final, 3 + (not bypass)::int + again::int + 2 * against::int as calls from s8)
+{shown("V2", "final", "calls", "case when against then 'disagree' else 'agree' end")} from s9"""
