@@ -418,3 +418,15 @@ s5 as materialized (select *, {_BRIEF} as brief from s4), s6 as materialized (se
 s7 as materialized (select *, {third("verifier_review", _REVIEW)} = 0 as against from s6), s8 as materialized (select *, {reply("reasoner_debate", _DEBATE)} as rebuttal from s7),
 s9 as (select *, case when against then {letter("verifier_consensus", _AGREED)} else candidate end as final, 3 + (not bypass)::int + again::int + 2 * against::int as calls from s8)
 {shown("V2", "final", "calls", "case when against then 'disagree' else 'agree' end")} from s9"""
+
+# Diverse lists, by recursion over the ranks or the places to fill.
+_NOTNULL = "coalesce(text, '')"
+_LISTS = f"{BASE.replace('with ', 'with recursive ', 1)}, {fused(0)}, {CTX}, t as materialized (select qk, doc_id, score, rank, {wset(_NOTNULL)} as w from c), l as materialized (select qk, list({{'rank': rank, 'id': doc_id, 'score': score, 'w': w}} order by rank) as h from t group by 1)"
+_SHOWN = "select qk as question_id, x.id as passage_id, round(x.score, 6) as score, n as rank from (select qk, unnest(acc) as x, unnest(range(1, len(acc) + 1)) as n from {0})"
+_LIKE = lambda x, acc: f"coalesce(list_max(list_transform({acc}, lambda j1: {jac(x + '.w', 'j1.w')})), 0.0)"
+SQL["mmr_skip"] = f"""{_LISTS}, st as (select qk, 0 as r, list_filter(h, lambda x1: false) as acc from l
+  union all select st.qk, r + 1, case when len(acc) < 5 and (len(acc) = 0 or 0.5 * h[r + 1].score - 0.5 * {_LIKE('h[r + 1]', 'acc')} >= 0) then list_append(acc, h[r + 1]) else acc end from st join l using (qk) where r < len(h)),
+e as (select qk, arg_max(acc, r) as acc from st group by 1) {_SHOWN.format('e')}"""
+SQL["mmr_greedy"] = f"""{_LISTS}, st as (select qk, 1 as r, list_slice(h, 1, 1) as acc from l where len(h) > 5
+  union all select st.qk, r + 1, list_append(acc, list_max(list_transform(list_filter(h, lambda x2: not list_contains(list_transform(acc, lambda p1: p1.rank), x2.rank)), lambda x3: {{'s': round(0.7 * x3.score - 0.3 * {_LIKE('x3', 'acc')}, 12), 'r': -x3.rank, 'x': x3}})).x)
+  from st join l using (qk) where r < 5), e as (select qk, acc from st where r = 5 union all select qk, h from l where len(h) <= 5) {_SHOWN.format('e')}"""
