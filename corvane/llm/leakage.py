@@ -47,10 +47,11 @@ def spaced_seeds(masks: tuple[str, ...], stride: int):
     return seeds
 
 
-def aligned_runs(q: list[str], c: list[str], gap: int) -> dict[str, np.ndarray]:
+def aligned_runs(q: list[str], c: list[str], gap: int, window: int = 20) -> dict[str, np.ndarray]:
     """For each row, the longest equal run of words and the longest overlap in which at
     most `gap` words in a row are substituted: `run`, `span`, `same` (equal words of the
-    span), `q_start`, `c_start`, and the word count `q_words`."""
+    span), `q_start`, `c_start`, the word count `q_words`, and `dense`, the most equal words
+    among `window` aligned ones."""
     hq, oq = words(q)
     hc, oc = words(c)
     rq = np.repeat(np.arange(len(q)), np.diff(oq))
@@ -63,7 +64,7 @@ def aligned_runs(q: list[str], c: list[str], gap: int) -> dict[str, np.ndarray]:
     key_c = key_c[order]
     lo, hi = np.searchsorted(key_c, key_q, "left"), np.searchsorted(key_c, key_q, "right")
     n = hi - lo
-    out = {k: np.zeros(len(q), np.int64) for k in ("run", "span", "same", "q_start", "c_start")}
+    out = {k: np.zeros(len(q), np.int64) for k in ("run", "span", "same", "q_start", "c_start", "dense")}
     out["q_words"] = np.diff(oq)
     # Equal pairs of words are laid out for a block of rows at a time.
     upto = np.concatenate(([0], np.cumsum(n)))[oq]
@@ -75,18 +76,21 @@ def aligned_runs(q: list[str], c: list[str], gap: int) -> dict[str, np.ndarray]:
         i = np.repeat(at, m)
         j = order[np.repeat(lo[at], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
         row = rq[i]
-        _longest(out, row, i - oq[row], j - oc[row], gap)
+        _longest(out, row, i - oq[row], j - oc[row], gap, window)
         first = last
     return out
 
 
-def _longest(out: dict[str, np.ndarray], row: np.ndarray, i: np.ndarray, j: np.ndarray, gap: int) -> None:
+def _longest(out: dict[str, np.ndarray], row: np.ndarray, i: np.ndarray, j: np.ndarray, gap: int, window: int) -> None:
     """Put the longest run and overlap among the equal pairs (i, j) of some rows into `out`."""
     if not len(i):
         return
     o = np.lexsort((i, j - i, row))
     i, j, row = i[o], j[o], row[o]
     new = np.concatenate(([True], (row[1:] != row[:-1]) | ((j - i)[1:] != (j - i)[:-1])))
+    # Places on one line, diagonal after diagonal, so far apart that no window reaches the next.
+    line = np.cumsum(new) * (2 * int(i.max()) + 2 * window) + i
+    np.maximum.at(out["dense"], row, np.searchsorted(line, line + window, "left") - np.arange(len(line)))
     step = np.concatenate(([1], np.diff(i)))
     for allowed in (0, gap):
         first = np.flatnonzero(new | (step > allowed + 1))
@@ -101,12 +105,12 @@ def _longest(out: dict[str, np.ndarray], row: np.ndarray, i: np.ndarray, j: np.n
             out["q_start"][r[best]], out["c_start"][r[best]] = i[first[best]], j[first[best]]
 
 
-def _measure(gap: int):
-    names = ["run", "span", "same", "q_start", "c_start", "q_words"]
+def _measure(gap: int, run: int):
+    names = ["run", "span", "same", "q_start", "c_start", "q_words", "dense"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = aligned_runs(b.column("q_text").to_pylist(), b.column("c_text").to_pylist(), gap)
+            m = aligned_runs(b.column("q_text").to_pylist(), b.column("c_text").to_pylist(), gap, run)
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("query"), *(pa.array(m[k].astype(np.int32)) for k in names)], names=["doc", "query", *names])
 
     return measure
@@ -116,11 +120,10 @@ def leaked_passages(corpus: DataFrame, corpus_key: str, corpus_text: str, tests:
     """Rows (query_key, corpus_key, run, span, same, q_start, c_start, q_words) of the
     test texts that stand wholly or partly in a corpus text.
 
-    `run` is the longest run of equal consecutive words; `span` the longest overlap
-    with single substitutions, of which `same` words are equal. A pair is returned if
-    run or span reaches the parameter `run`. All pairs with an equal run that long are
-    found, and, at a `run` of 20, all whose 20 words hold one substitution; of overlaps with
-    more, those that share a masked window.
+    A pair is returned if as many consecutive words of both as the parameter `run` says
+    differ in at most one; at a `run` of 20 and the masks here every such pair is found.
+    `run` is its longest run of equal consecutive words; `span` its longest overlap with
+    single substitutions, of which `same` words are equal.
 
     Null texts and keys, and test texts with fewer than `run` words, give no row. A key
     loaded twice counts once; of two texts under one key each is searched.
@@ -131,7 +134,7 @@ def leaked_passages(corpus: DataFrame, corpus_key: str, corpus_text: str, tests:
     c, q = numbered(corpus, corpus_key, corpus_text), numbered(tests, test_key, test_text)
     classes = query_classes(q, run)
     pairs = candidates(classes, c, spaced_seeds(masks, 1), spaced_seeds(masks, 1), None, span, "leak")
-    names = "run int, span int, same int, q_start int, c_start int, q_words int"
-    found = with_texts(pairs, classes, c).mapInArrow(_measure(gap), f"doc long, query long, {names}").where(F.greatest("run", "span") >= run)
+    names = "run int, span int, same int, q_start int, c_start int, q_words int, dense int"
+    found = with_texts(pairs, classes, c).mapInArrow(_measure(gap, run), f"doc long, query long, {names}").where(F.col("dense") >= run - 1)
     best = found.groupBy("doc", "query").agg(F.max(F.struct("run", "span", "same", "q_start", "c_start", "q_words")).alias("m")).select("doc", "query", "m.*")
     return expand(best, classes, c)

@@ -280,6 +280,24 @@ qg as (select question_id, array_to_string(w[i:i + 19], ' ') as g from (select q
 select distinct passage_id, question_id from pg join qg using (g)
 """
 
+# Equal words on one diagonal, parted where more than `gap` words in a row differ.
+_P2_ITEMS = rf"""
+with p as (select distinct passage_id, {_WORDS.format("text")} as w from passages where text is not null),
+q as (select distinct question_id, {_WORDS.format("question")} as w from questions where question is not null and (question_id like 'dev-%' or question_id like 'test-%')),
+pw as (select passage_id, unnest(w) as word, unnest(generate_series(1, len(w))) as j from p where len(w) >= 16),
+qw as (select question_id, len(w) as n, unnest(w) as word, unnest(generate_series(1, len(w))) as i from q where len(w) >= 20),
+hits as (select question_id, passage_id, n, i, j - i as d from qw join pw using (word)),
+long as (select question_id, passage_id, d from hits group by all having count(*) >= 10),
+s as (select *, i - lag(i) over (partition by question_id, passage_id, d order by i) as step from hits semi join long using (question_id, passage_id, d)),
+k as (select *, sum(case when step is null or step > 1 then 1 else 0 end) over w as a, sum(case when step is null or step > 2 then 1 else 0 end) over w as b from s window w as (partition by question_id, passage_id, d order by i)),
+runs as (select question_id, passage_id, max(c) as run from (select question_id, passage_id, count(*) as c from k group by question_id, passage_id, d, a) group by 1, 2),
+spans as (select question_id, passage_id, n, max(i) - min(i) + 1 as span, count(*) as same from k group by question_id, passage_id, n, d, b),
+best as (select question_id, passage_id, n, max(span) as span, arg_max(same, span) as same from spans group by 1, 2, 3),
+dense as (select distinct question_id, passage_id from (select question_id, passage_id, count(*) over (partition by question_id, passage_id, d order by i range between current row and 19 following) as c from s) where c >= 19)
+select question_id, count(distinct passage_id) as n_passages, max(run)::int as longest_run, max(span)::int as longest_span, round(max(same / n), 6) as share
+from best join runs using (question_id, passage_id) join dense using (question_id, passage_id) group by 1
+"""
+
 _SETS = r"""
 {name} as (select distinct key, array_to_string(w[i:i + 2], ' ') as g from (select key, w, unnest(generate_series(1, len(w) - 2)) as i from (select {key} as key, {words} as w from {table} where {text} is not null and {where}) where len(w) >= 15)),
 {name}_n as (select key, count(*) as n from {name} group by key)"""
@@ -364,4 +382,4 @@ select a as doc_id, class_id, n_keys, n_spellings from classes join texts using
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p3_within": _P3, "p4_found": _P4, "p4_groups": _P4_GROUPS, "p6_sound": _P6_SOUND, "p7_sound": _P7_SOUND, "p5_found": _P5, "p5_report": _P5_REPORT, "p8_found": _p8(), "p8_groups": _p8_groups(), "p8_forms": f"select doc_id, {_p8_form()} as canonical from documents"}
+    return {"p2_found": _P2, "p2_items": _P2_ITEMS, "p3_within": _P3, "p4_found": _P4, "p4_groups": _P4_GROUPS, "p6_sound": _P6_SOUND, "p7_sound": _P7_SOUND, "p5_found": _P5, "p5_report": _P5_REPORT, "p8_found": _p8(), "p8_groups": _p8_groups(), "p8_forms": f"select doc_id, {_p8_form()} as canonical from documents"}
