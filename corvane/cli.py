@@ -7,10 +7,9 @@ import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from corvane.operators import bm25, sampling
-from corvane.plans import clients, embeddings, pipeline
+from corvane.operators import sampling
+from corvane.plans import clients, factory, pipeline
 from corvane.session import build_session, ship_package
 from corvane.sources import env, tables
 from corvane.sources.config import RunConfig
@@ -37,16 +36,6 @@ def build_parser() -> argparse.ArgumentParser:
     return p
 
 
-def _retrieval(spark: SparkSession, config: RunConfig, path: str | None, client) -> pipeline.Engine:
-    if not path:
-        empty = "question_id string, passage_id string, source string, text string, score double, rank int"
-        return pipeline.Engine(spark, config, client, lambda queries, k: spark.createDataFrame([], empty))
-    passages, index = tables.load_index(spark, path)
-    searched = passages.join(index.docs.select(F.col("doc_id").alias("passage_id")), "passage_id", "left_semi")
-    vectors = searched.select("passage_id", embeddings.vector(F.col("text")).alias("v"))
-    return pipeline.build_engine(spark, config, client, passages, index, vectors)
-
-
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> DataFrame:
     """Runs the command and returns its result, which `answer` prints as JSON too."""
     a = build_parser().parse_args(argv)
@@ -55,7 +44,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
     ship_package(spark)
     env.load_env_file(a.env_file)
     client = clients.make_client(a.client, a.url, dict(os.environ), a.key_prefix, config.model, config.model)
-    engine = _retrieval(spark, config, a.index, client)
+    engine = factory.build_stack(spark, config, client, a.index)
     if a.command == "answer":
         row = ("cli-question", a.question, json.loads(a.options))
         questions = spark.createDataFrame([row], "question_id string, question string, options map<string,string>")

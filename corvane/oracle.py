@@ -430,3 +430,18 @@ e as (select qk, arg_max(acc, r) as acc from st group by 1) {_SHOWN.format('e')}
 SQL["mmr_greedy"] = f"""{_LISTS}, st as (select qk, 1 as r, list_slice(h, 1, 1) as acc from l where len(h) > 5
   union all select st.qk, r + 1, list_append(acc, list_max(list_transform(list_filter(h, lambda x2: not list_contains(list_transform(acc, lambda p1: p1.rank), x2.rank)), lambda x3: {{'s': round(0.7 * x3.score - 0.3 * {_LIKE('x3', 'acc')}, 12), 'r': -x3.rank, 'x': x3}})).x)
   from st join l using (qk) where r < 5), e as (select qk, acc from st where r = 5 union all select qk, h from l where len(h) <= 5) {_SHOWN.format('e')}"""
+
+SQL["first_rows"] = f"with {Q} select question_id from q order by question_id limit 25"
+SQL["passage_kinds"] = f"with {P} select passage_id, case when parent_id is null then 'parent' else 'child' end as kind from p"
+SQL["records_judged"] = f"""with {Q}, {R} select record_id, predicted_answer, q.answer as correct_answer, coalesce(predicted_answer = q.answer, false) as is_correct, coalesce(is_invalid, true) as is_invalid from r left join q using (question_id)"""
+SQL["relevance_lines"] = f"""with {R} select record_id, case when variant = 'V1' then 'sufficient' else lower({strip("coalesce(trace.decision, '')")}) end as relevance, {strip("coalesce(trace.router_query, '')")} as reason, 'dose' as focus from r where trace is not null"""
+SQL["questions_read_back"] = f"with {Q} select question_id, md5(question) as question, cardinality(options)::int as n_options, answer from q where options is not null and answer is not null"
+SQL["chunks_read_back"] = f"with {P} select passage_id, source, parent_id, md5(text) as text from p where source is not null and text is not null"
+SQL["predictions_read_back"] = f"with {R} select record_id, question_id, variant, is_correct, total_tokens, run_day, len(trace.retrieved_passages)::int as n_passages from r"
+SQL["embedding_cache"] = f"""with {Q}, {hv("v", "q", "question_id", "question")}, known as (select distinct question from q where question_id like 'train-%'),
+made as (select count(distinct question) as n_made from q where question not in (select question from known))
+select question_id, round(coalesce((select max(x) from v where id = question_id), 0), 4) as largest, n_made from q cross join made"""
+SQL["retrieval_cache"] = f"with {Q}, {S}, d as (select distinct question, options::varchar as o from sq) select (select 2 * count(*) from sq) as n_answered, (select count(*) from sq) as n_later, (select count(*) from d) as n_run"
+SQL["call_log"] = f"with {Q}, {_HS} select question_id, 'direct' as role, 2 as n_calls, 1 as n_hits, 30 as total_tokens from sq"
+SQL["index_built"] = f"""{_PAR}, cc as (select list_slice(w, j * 64 + 1, j * 64 + 64) as w from (select *, unnest(range(0, cast(ceil(len(w) / 64.0) as bigint))) as j from pp))
+select (select count(*) from pp) + count(*) as n_passages, count(*) as n_searched, round(avg(len({w2("array_to_string(w, ' ')")})), 6) as avgdl from cc"""

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions import hashing, parsing, tools
+from corvane.functions import hashing, parsing, text, tools
 from corvane.operators import bm25, caching, dense, fusion, memory, retrieve
 from corvane.plans import embeddings, prompts
 from corvane.plans.clients import REPLY_SCHEMA, Client, as_batches
@@ -154,10 +154,13 @@ def _context(hits: Column) -> Column:
 def _result(state: DataFrame, variant: str, reply: Column, valid_reply: Column, **trace: Column) -> DataFrame:
     """The common shape of all results; what a variant lacks in its trace is null."""
     kinds = {
-        "router_query": "string", "retrieved_passages": "array<string>", "memory_exemplars_count": "int", "memory_brief": "string", "decision": "string", "loops": "int",
+        "router_query": "string", "entities": "array<string>", "retrieved_passages": "array<string>", "memory_exemplars_count": "int", "memory_brief": "string", "decision": "string", "loops": "int",
         "backtrack_history": "array<struct<loop:int,query:string,reason:string>>", "debate_history": "array<struct<memo:string,reply:string>>",
     }
     parsed = parsing.parse_answer(valid_reply, lenient=False)
+    if "router_query" in trace:
+        # What the router names in the question goes with its query.
+        trace["entities"] = text.entities(F.col("question"), text.ENTITY_TERMS_B)
     t = F.struct(*[(trace[k] if k in trace else F.lit(None)).cast(kind).alias(k) for k, kind in kinds.items()])
     return state.withColumn("p_", parsed).select(
         "question_id", F.lit(variant).alias("variant"), F.col("p_.answer").alias("answer"), parsing.strip_answer(F.coalesce(reply, F.lit(""))).alias("explanation"), F.coalesce("p_.is_valid", F.lit(False)).alias("is_valid"),

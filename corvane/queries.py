@@ -14,7 +14,7 @@ from corvane.operators import bm25, caching, chunking, dag, dataset, dense, eval
 from corvane.plans import clients, embeddings, pipeline
 from corvane.session import materialize, read_table, scratch_dir, ship_package, stored
 from corvane.sources.config import RunConfig
-from corvane.sources.tables import passage_table
+from corvane.sources.tables import build_index, load_index, passage_table, read_chunks, read_predictions, read_questions, write_chunks, write_predictions
 from corvane.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,93 @@ def citation_ids(s, d):
     return lists.select("parent_id", F.explode(tools.compress_passages(F.col("p"), 15)).alias("c")).select("parent_id", "c.citation_id", "c.source", F.md5("c.text").alias("text"))
 
 
+def first_rows(s, d):
+    return dataset.first_rows(_questions(s, d), "question_id", 25).select("question_id")
+
+
+def passage_kinds(s, d):
+    """Children and parents by their filters."""
+    p = _passages(s, d)
+    a, b = (x.select("passage_id", F.lit(kind).alias("kind")) for x, kind in ((dataset.children(p), "child"), (dataset.parents(p), "parent")))
+    return a.unionByName(b)
+
+
+def records_judged(s, d):
+    """Results against the gold answers of their questions."""
+    r = _records(s, d, "question_id", "predicted_answer", "is_invalid").select("record_id", "question_id", F.col("predicted_answer").alias("answer"), (~F.col("is_invalid")).alias("is_valid"))
+    return evaluation.records(r, _questions(s, d)).select("record_id", "predicted_answer", "correct_answer", "is_correct", "is_invalid")
+
+
+def relevance_lines(s, d):
+    """What a judge's lines say; the last line of a field counts, an absent one has a default."""
+    r = _records(s, d, "trace", "variant").where("trace is not null")
+    first = F.when(F.col("variant") == "V1", "").otherwise(F.concat(F.lit("Relevance: "), F.coalesce("trace.decision", F.lit("")), F.lit("\n")))
+    t = F.concat(first, F.lit("Reason: none\nReason: "), F.coalesce("trace.router_query", F.lit("")), F.lit("\nSuggested Focus: dose"))
+    v = parsing.parse_relevance(t)
+    return r.select("record_id", v["relevance"].alias("relevance"), v["reason"].alias("reason"), v["focus"].alias("focus"))
+
+
+def _scratch(s, name: str) -> str:
+    return f"{scratch_dir(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def index_built(s, d):
+    """Documents chunked, written and indexed, and read back: passages, searched ones and their mean length."""
+    path = _scratch(s, "index")
+    build_index(_documents(s, d), "doc_id", "text", path)
+    passages, index = load_index(s, path)
+    return passages.agg(F.count("*").alias("n_passages")).crossJoin(F.broadcast(index.totals.select(F.col("n").alias("n_searched"), F.round("avgdl", 6).alias("avgdl"))))
+
+
+def questions_read_back(s, d):
+    """Questions written as JSON lines and read strictly."""
+    path = _scratch(s, "questions")
+    _questions(s, d).where("options is not null and answer is not null").select("question_id", "question", "options", "answer").write.json(path)
+    return read_questions(s, path).select("question_id", F.md5("question").alias("question"), F.size("options").alias("n_options"), "answer")
+
+
+def chunks_read_back(s, d):
+    path = _scratch(s, "chunks")
+    write_chunks(_passages(s, d).where("source is not null and text is not null"), path)
+    return read_chunks(s, path).select("passage_id", "source", "parent_id", F.md5("text").alias("text"))
+
+
+def predictions_read_back(s, d):
+    path = _scratch(s, "predictions")
+    p = _records(s, d, "variant", "question_id", "is_correct", "total_tokens", "trace", "run_day")
+    write_predictions(p, path, "json")
+    return read_predictions(s, path, "json").select("record_id", "question_id", "variant", "is_correct", "total_tokens", "run_day", F.size("trace.retrieved_passages").alias("n_passages"))
+
+
+def embedding_cache(s, d):
+    """Vectors of all stems, of which those of train questions are known: the largest component, and how many were made."""
+    q = _questions(s, d).select("question_id", "question")
+    none = s.createDataFrame([], "cache_key string, vector array<float>")
+    _, known = embeddings.cached_vectors(q.where(F.col("question_id").startswith("train-")), "question", none)
+    all_, new = embeddings.cached_vectors(q, "question", known)
+    made = new.agg(F.count("*").alias("n_made"))
+    return all_.select("question_id", F.round(F.array_max("vector").cast("double"), 4).alias("largest")).crossJoin(F.broadcast(made))
+
+
+def retrieval_cache(s, d):
+    """Searches of which some repeat others: all get passages, equal ones run once."""
+    e = _engine(s, d)
+    q = _searches(s, d).select("question_id", F.col("question").alias("query"), "options")
+    twice = q.unionByName(q.withColumn("question_id", F.concat("question_id", F.lit("-again"))))
+    found = materialize(e.find(twice, 3), "found")
+    later = e.find(q, 3).count()
+    return found.agg(F.count("*").alias("n_answered")).withColumn("n_later", F.lit(later)).withColumn("n_run", F.lit(e.retrievals.count()))
+
+
+def call_log(s, d):
+    """The log of one flow run twice: the second time every call is a hit."""
+    e = _engine(s, d)
+    q = _held_out(_questions(s, d))
+    for _ in range(2):
+        pipeline.answer(e, q, "V0")
+    return e.call_log().groupBy("question_id", "role").agg(F.count("*").alias("n_calls"), F.count(F.when(F.col("cache_hit"), 1)).alias("n_hits"), F.sum("total_tokens").alias("total_tokens"))
+
+
 def _passages(s: SparkSession, d: str) -> DataFrame:
     return passage_table(read_table(s, d, "passages"))
 
@@ -585,6 +672,7 @@ _NAMES = """
 tok_words tok_keywords tok_sentences token_count jaccard_pairs overlap_weight truncate_words cache_key retrieval_key context_id sub_seed
 chunk_flat chunk_parents chunk_children child_parent_join rows_joined bm25_term_df bm25_stats bm25_idf bm25_topk dense_topk
 rrf_zero_based rrf_one_based option_boost entity_rerank dynamic_topk parent_dedup relevance_threshold token_overlap_rescore multi_query_merge hybrid_retrieve mmr_greedy mmr_skip token_budget context_savings citation_ids
+first_rows passage_kinds records_judged relevance_lines index_built questions_read_back chunks_read_back predictions_read_back embedding_cache retrieval_cache call_log
 query_prune synonym_expand entities_a entities_b compress_sentences coverage cooccurrence parse_answer_strict parse_answer_lenient strip_answer parse_kv_lines option_scores confidence citation_audit citation_fidelity halluc_risk
 fast_path search_strategy formatters option_listing options_mapped sample_dev sample_official memory_topk split_disjoint leaderboard usage_rollup throughput error_causes paired_comparison p_values bootstrap_ci loss_sets variant_pivot answers_corrected
 cache_misses dataset_search_page fan_out tool_catalog dag_levels dag_cycle variant_v0 variant_v1 variant_v2 variant_v2_advanced variant_v3 variant_v4 variant_v4_parts stream_daily

@@ -10,6 +10,7 @@ from dataclasses import MISSING, asdict, dataclass, fields
 class RunConfig:
     """All settings of one run. Only the model and the temperature have no default."""
 
+    # Names and defaults are those of a public settings format.
     model: str
     temperature: float
     dev_sample_size: int = 10

@@ -13,7 +13,7 @@ QUESTIONS = "question_id string, question string, options map<string,string>, an
 CHUNKS = "passage_id string, source string, text string, parent_id string"
 PREDICTIONS = (
     "question_id string, variant string, predicted_answer string, explanation string, correct_answer string, is_correct boolean, is_invalid boolean, prompt_tokens bigint, completion_tokens bigint, total_tokens bigint, "
-    "latency_seconds double, trace struct<router_query:string,retrieved_passages:array<string>,memory_exemplars_count:int,decision:string>"
+    "latency_seconds double, trace struct<router_query:string,retrieved_passages:array<string>,memory_exemplars_count:int,decision:string>, record_id bigint, run_day date"
 )
 SAVED = "question string, options map<string,string>, saved_at timestamp, expected_answer string, question_id string"
 

@@ -187,3 +187,36 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["trace"]["retrieved_passages"]
     out = cli.main(["run", "--data", str(tmp_path / "d.jsonl"), "--output", str(tmp_path / "out"), "--log", str(tmp_path / "log"), *common], spark)
     assert out.count() == 2 and spark.read.parquet(str(tmp_path / "out")).count() == 2 and spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_pages_are_asked_for_again(spark):
+    def fetch(offset, length):
+        import os
+        import tempfile
+
+        mark = os.path.join(tempfile.gettempdir(), f"corvane-page-{os.getppid()}-{offset}")
+        if offset == 20 and not os.path.exists(mark):
+            open(mark, "w").close()
+            raise OSError("busy")
+        return [{"id": str(offset + i), "sent1": f"q{offset + i}", "ending0": "a", "ending1": None, "label": i % 2, "more": 1, "title": f"t{(offset + i) % 2}", "content": str(offset + i)} for i in range(length)]
+
+    from corvane.sources.pages import read_corpus_pages, read_pages, read_question_pages
+
+    rows = read_pages(spark, fetch, 45, "id string, none string", size=10, pause=0.01).orderBy("row_no").collect()
+    assert [(r["row_no"], r["id"], r["none"]) for r in rows] == [(i, str(i), None) for i in range(45)]
+    q = read_question_pages(spark, fetch, 12, endings=2, size=10, pause=0.01).orderBy(F.col("question_id").cast("int")).collect()
+    assert q[1]["answer"] == "B" and q[0]["options"] == {"A": "a", "B": None} and len(q) == 12
+    texts = {r["source"]: r["text"] for r in read_corpus_pages(spark, fetch, 12, size=10, pause=0.01).collect()}
+    assert texts == {"t0": "0 2 4 6 8 10", "t1": "1 3 5 7 9 11"}
+    with pytest.raises(Exception, match="gone"):
+        read_pages(spark, lambda offset, length: (_ for _ in ()).throw(OSError("gone")), 5, "id string", attempts=2, pause=0.01).collect()
+
+
+def test_index_folders_are_opened_once(spark, tmp_path):
+    from corvane.plans import factory
+
+    tables.build_index(spark.createDataFrame([("d1", "fever and rash come with gout")], "id string, text string"), "id", "text", str(tmp_path / "ix"), 3, 6)
+    a = factory.retrieval_tables(spark, str(tmp_path / "ix"))
+    assert factory.retrieval_tables(spark, str(tmp_path / "ix")) is a
+    factory.forget(spark)
+    assert factory.retrieval_tables(spark, str(tmp_path / "ix")) is not a and a[2].count() == 2
