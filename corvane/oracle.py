@@ -241,8 +241,8 @@ SQL["citation_audit"] = f"{_CIT} select record_id, n = 0 or len(c) > 0 as has_ci
 SQL["citation_fidelity"] = f"{_CIT}, b as (select record_id, list_filter(c, lambda z15: z15 < 1 or z15 > n) as b from c) select record_id, len(b) = 0 as is_valid, {join('b', chr(39) + '|' + chr(39))} as unknown from b"
 SQL["halluc_risk"] = f"{_CIT} select record_id, n > 0 and length(explanation) > 0 and len(c) = 0 and len({w1('explanation')}) > 10 as risk from c"
 _DIRECT = lambda x: f"(len({w1(x)}) < 30 and ({' or '.join(f'contains(lower({x}), {chr(39)}{p}{chr(39)})' for p in tools.DIRECT_PHRASES)}))"
-_SHORT = "list_filter(map_values(options), lambda z21: " + _DIRECT("('What is the first-line drug for ' || coalesce(z21, ''))") + ")"
-SQL["fast_path"] = f"with {Q} select question_id, {_DIRECT('question')} as direct, case when options is null then -1 else len({_SHORT}) end as n_short from q"
+SQL["fast_path"] = f"with {Q} select question_id, {_DIRECT('question')} as direct from q"
+SQL["fast_path_short"] = f"{_OPT}, t as (select question_id, letter, 'What is the first-line drug for ' || option || case when letter = 'B' then question else '' end as x from o) select question_id, letter, {_DIRECT('x')} as direct from t"
 SQL["search_strategy"] = f"with {Q}, e as (select question_id, {ents('question', T.ENTITY_TERMS_B)} as e from q) select question_id, case when len(e) >= 2 then 'hybrid' when len(list_filter(e, lambda z16: regexp_full_match(z16, '[A-Z]{{2,}}'))) > 0 then 'sparse' else 'dense' end as strategy from e"
 SQL["formatters"] = """with c as (select distinct case_id, coalesce(question, '') as q, coalesce(correct_answer, '') as a, coalesce(explanation, '') as e from memory_cases)
 select case_id, md5('Exemplar [1]: ' || substr(q, 1, 80) || '... -> Answer ' || a || ': ' || substr(e, 1, 100) || '...') as pearls,

@@ -492,9 +492,13 @@ def halluc_risk(s, d):
 
 
 def fast_path(s, d):
-    """Of whole stems, which are long, and of short questions after each option."""
-    short = F.transform(F.map_values("options"), lambda o: tools.is_direct(F.concat(F.lit("What is the first-line drug for "), F.coalesce(o, F.lit("")))))
-    return _questions(s, d).select("question_id", tools.is_direct(F.col("question")).alias("direct"), F.coalesce(F.size(F.filter(short, lambda x: x)), F.lit(-1)).alias("n_short"))
+    return _questions(s, d).select("question_id", tools.is_direct(F.col("question")).alias("direct"))
+
+
+def fast_path_short(s, d):
+    """Of short questions, one after each option: stems are too long for the fast path."""
+    short = F.concat(F.lit("What is the first-line drug for "), F.coalesce("option", F.lit("")), F.when(F.col("letter") == "B", F.col("question")).otherwise(""))
+    return _options(s, d).select("question_id", "letter", tools.is_direct(short).alias("direct"))
 
 
 def search_strategy(s, d):
@@ -674,7 +678,7 @@ chunk_flat chunk_parents chunk_children child_parent_join rows_joined bm25_term_
 rrf_zero_based rrf_one_based option_boost entity_rerank dynamic_topk parent_dedup relevance_threshold token_overlap_rescore multi_query_merge hybrid_retrieve mmr_greedy mmr_skip token_budget context_savings citation_ids
 first_rows passage_kinds records_judged relevance_lines index_built questions_read_back chunks_read_back predictions_read_back embedding_cache retrieval_cache call_log
 query_prune synonym_expand entities_a entities_b compress_sentences coverage cooccurrence parse_answer_strict parse_answer_lenient strip_answer parse_kv_lines option_scores confidence citation_audit citation_fidelity halluc_risk
-fast_path search_strategy formatters option_listing options_mapped sample_dev sample_official memory_topk split_disjoint leaderboard usage_rollup throughput error_causes paired_comparison p_values bootstrap_ci loss_sets variant_pivot answers_corrected
+fast_path fast_path_short search_strategy formatters option_listing options_mapped sample_dev sample_official memory_topk split_disjoint leaderboard usage_rollup throughput error_causes paired_comparison p_values bootstrap_ci loss_sets variant_pivot answers_corrected
 cache_misses dataset_search_page fan_out tool_catalog dag_levels dag_cycle variant_v0 variant_v1 variant_v2 variant_v2_advanced variant_v3 variant_v4 variant_v4_parts stream_daily
 """
 
