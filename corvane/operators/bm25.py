@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.functions.text import word_set, word_tokens
-from corvane.operators.topk import Best, rows_at_once
+from corvane.operators.topk import Best, in_order, rows_at_once
 
 #: Most terms of queries, and most queries, that are sent to all executors at once.
 MOST_TERMS, MOST_QUERIES = 1_000_000, 20_000
@@ -171,7 +171,7 @@ def search(index: Index, queries: DataFrame, query_key: str, query_text: str, k:
         part = index.docs.mapInArrow(run, schema)
         return part if found is None else found.unionByName(part)
 
-    for r in weights.orderBy("query", "term").toLocalIterator():
+    for r in in_order(weights, "query", "term"):
         if r["query"] not in number and (len(block["term"]) >= MOST_TERMS or len(number) >= MOST_QUERIES):
             found = flush(found)
             block, number = {"term": [], "query": [], "df": []}, {}

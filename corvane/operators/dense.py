@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corvane.operators.topk import Best, rows_at_once
+from corvane.operators.topk import Best, in_order, rows_at_once
 
 #: Most bytes of query vectors that are sent to all executors at once.
 MOST_QUERY_BYTES = 64 << 20
@@ -38,7 +38,7 @@ def dense_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, qu
     spark = vectors.sparkSession
     types = dict(vectors.dtypes)
     q_type = dict(queries.dtypes)[query_key]
-    q = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_key).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).orderBy("q")
+    q = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_key).alias("q"), F.col(query_vector).cast("array<double>").alias("v"))
     dims = vectors.agg(F.max(F.size(vector))).first()[0] or 1
     per_block = max(1, min(MOST_QUERIES, MOST_QUERY_BYTES // (8 * dims)))
     schema = f"`{query_key}` {q_type}, `{key}` {types[key]}, score double"
@@ -65,7 +65,7 @@ def dense_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, qu
         q_kind = queries.schema[query_key].dataType
         return vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, schema)
 
-    for r in q.toLocalIterator():
+    for r in in_order(q, "q"):
         block.append(r)
         if len(block) == per_block:
             part = search(block)

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row
+
+from corvane.session import materialize
 
+#: Rows that reach the driver at once.
+MOST_ROWS = 200_000
 #: Scores (rows x queries) that are laid out at once: 8 bytes each.
 MOST_CELLS = 4_000_000
 
@@ -54,3 +61,10 @@ class Best:
         full = np.bincount(self.query, minlength=len(self.least)) >= self.k
         last = np.searchsorted(self.query, np.arange(len(self.least)), "right") - 1
         self.least[full] = np.round(self.score[last[full]], 9)
+
+
+def in_order(df: DataFrame, *by: str) -> Iterator[Row]:
+    """The rows of a table in order, of which the driver holds about MOST_ROWS at a time."""
+    kept = materialize(df, "in-order")
+    parts = max(1, kept.count() // MOST_ROWS)
+    return kept.repartitionByRange(parts, *by).sortWithinPartitions(*by).toLocalIterator()

@@ -21,6 +21,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 VARIANTS = ["V0", "V1", "V2", "V3", "V4"]
 PAIRS = [("V0", "V1"), ("V1", "V2"), ("V2", "V3"), ("V4", "V3"), ("V0", "V3")]
 LETTERS = ("A", "B", "C", "D", "E")
+#: The kept index with the version of what lies in it.
+INDEX = "index-v2"
 
 
 def _questions(s: SparkSession, d: str) -> DataFrame:
@@ -250,20 +252,21 @@ def rows_joined(s, d):
 # sparse and dense retrieval
 
 
-def _index_parts(s, d) -> tuple[bm25.Index, DataFrame]:
-    """The sparse index and the passages' vectors, made once for each state of the passages' table."""
+def _index_parts(s, d) -> tuple[DataFrame, bm25.Index, DataFrame]:
+    """The unique passages, the sparse index and the vectors, made once for each state of the passages' table."""
 
     def make(path: str) -> None:
-        searched = materialize(_searched(_passages(s, d)).select("passage_id", "text"), "searched")
+        _passages(s, d).write.parquet(f"{path}/passages")
+        searched = _searched(s.read.parquet(f"{path}/passages"))
         bm25.build(searched, "passage_id", "text").save(f"{path}/bm25")
         searched.select("passage_id", embeddings.vector(F.col("text")).alias("v")).write.parquet(f"{path}/vectors")
 
-    path = stored(s, "index", f"{d}/passages.parquet", make)
-    return bm25.Index.load(s, f"{path}/bm25"), s.read.parquet(f"{path}/vectors")
+    path = stored(s, INDEX, f"{d}/passages.parquet", make)
+    return s.read.parquet(f"{path}/passages"), bm25.Index.load(s, f"{path}/bm25"), s.read.parquet(f"{path}/vectors")
 
 
 def _index(s, d) -> bm25.Index:
-    return _index_parts(s, d)[0]
+    return _index_parts(s, d)[1]
 
 
 def bm25_term_df(s, d):
@@ -291,10 +294,10 @@ def dense_topk(s, d):
 
 
 def _lists(s, d, n: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
-    index, vectors = _index_parts(s, d)
+    passages, index, vectors = _index_parts(s, d)
     q = materialize(_searches(s, d).withColumn("search_text", F.col("question")), "searches")
     sparse = bm25.search(index, q, "question_id", "question", n).withColumnRenamed("doc_id", "passage_id")
-    return materialize(pipeline.hits_by(vectors)(q, n).select("question_id", "passage_id", "score", "rank"), "dense"), materialize(sparse, "sparse"), _passages(s, d)
+    return materialize(pipeline.hits_by(vectors)(q, n).select("question_id", "passage_id", "score", "rank"), "dense"), materialize(sparse, "sparse"), passages
 
 
 def _shown(h: DataFrame) -> DataFrame:
@@ -359,9 +362,9 @@ FULL = retrieve.Settings(top_k=5, option_boosting=True, dynamic_k=True, compress
 
 
 def hybrid_retrieve(s, d):
-    index, vectors = _index_parts(s, d)
+    passages, index, vectors = _index_parts(s, d)
     q = materialize(_searches(s, d).select("question_id", "question", "options"), "searches")
-    r = retrieve.retrieve(q, "question_id", "question", _passages(s, d), FULL, index, pipeline.hits_by(vectors), "options")
+    r = retrieve.retrieve(q, "question_id", "question", passages, FULL, index, pipeline.hits_by(vectors), "options")
     return r.select("question_id", "passage_id", "source", F.md5("text").alias("text"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -647,7 +650,7 @@ def dag_cycle(s, d):
 
 def _engine(s, d, script=None, **settings) -> pipeline.Engine:
     config = RunConfig("model-a", 0.0, **({"rag_top_k": 3, "rag_use_hybrid": True} | settings))
-    return pipeline.build_engine(s, config, lambda: clients.ScriptedClient(script), _passages(s, d), *_index_parts(s, d), read_table(s, d, "memory_cases"))
+    return pipeline.build_engine(s, config, lambda: clients.ScriptedClient(script), *_index_parts(s, d), read_table(s, d, "memory_cases"))
 
 
 def _flow(variant: str, **settings) -> Query:
