@@ -236,3 +236,32 @@ def test_pack_and_mix(spark):
     m, report = mixing.mix(sized.limit(0), "id", targets)
     assert m.count() == 0 and report.count() == 3
     assert packing.pack(sized.limit(0), "id", kinds).count() == 0
+
+
+def test_look_alike_classes(spark):
+    rows = [(1, "fine"), (2, "ﬁne"), (3, "fine"), (4, "Fine"), (5, None), (6, ""), (7, "​"), (None, "ﬁne"), (2, "ﬁne"), (8, "Fіne"), (9, "alone")]
+    df = spark.createDataFrame([(k, t, "x", 1, "y") for k, t in rows], "id long, text string, form string, raw int, class string")
+    got = {tuple(r) for r in canonical.look_alikes(df, "id", "text").collect()}
+    assert got == {(1, 1, 3, 2), (2, 1, 3, 2), (3, 1, 3, 2), (4, 4, 2, 2), (8, 4, 2, 2)}
+    assert canonical.look_alikes(df.limit(0), "id", "text").count() == 0
+
+
+def test_empty_tables_and_clashing_names(spark):
+    """Columns of the operators' own names change nothing; empty tables give empty results."""
+    names = "doc, seq, key, text_, a, b, w, h, n, query, block, salt, data, summary, value, metric_, rank_, size, m, k, s, bucket".split(", ")
+    rows = [("x", " ".join(f"w{i}" for i in range(40))), ("y", " ".join(f"w{i}" for i in range(38))), ("z", None), (None, "w"), ("v", ""), ("x", " ".join(f"w{i}" for i in range(40)))]
+    df = spark.createDataFrame([(k, t) for k, t in rows], "id string, text string")
+    for i, n in enumerate(names):
+        df = df.withColumn(n, F.lit(i))
+    assert [tuple(r) for r in nearpairs.similar_pairs(df, "id", "text", 3, 0.6).collect()] == [("x", "y")]
+    pairs, members = nearpairs.similar_texts(df, "id", "text", 3, 0.6)
+    assert pairs.count() == 1 and {r["key"] for r in members.collect()} == {"x", "y"}
+    hits = splits.split_overlaps(df, "id", "text", df, "id", "text", 3, 0.6).collect()
+    assert {(r["query_key"], r["corpus_key"]) for r in hits} == {(a, b) for a in "xy" for b in "xy"}
+    assert {(r["query_key"], r["corpus_key"]) for r in leakage.leaked_passages(df, "id", "text", df, "id", "text").collect()} == {(a, b) for a in "xy" for b in "xy"}
+    assert nearpairs.regions_per_text(df, "id", "text", 3, [0.6], [4]).first()["n_texts"] == 3
+    none = df.limit(0)
+    assert nearpairs.similar_texts(none, "id", "text")[1].count() == 0 and nearpairs.regions_per_text(none, "id", "text", 3, [0.6], [4]).count() == 0
+    assert leakage.leaked_passages(none, "id", "text", none, "id", "text").count() == 0
+    long = quantiles.summaries(df, ["id"], ["size", "rank_"])
+    assert {r["id"] for r in long.collect()} == {"x", "y", "z", "v", None}
