@@ -5,8 +5,8 @@ pairs with d <= 1 - t are wanted. Voronoi regions of whole texts can't divide it
 unrelated texts all lie at distance 1 or just below, and at t = 0.6 the triangle
 inequality only rules out regions more than 2 (1 - t) = 0.8 further away, so nearly every
 text lies on the boundary of nearly every region (`regions_per_text` measures it). What
-follows is therefore a prefix-filter join, recursive and exact like the method's last
-step:
+follows is therefore a prefix-filter join, whose regions are split where they are large
+and joined exactly, as in the method's last step:
 
 * All shingles have one order, by rising corpus frequency as far as a counter table of
   fixed size tells it, else by hash. A partner of x within 1 - t has at least
@@ -14,9 +14,9 @@ step:
   |x| - a + l of x and of y. So x goes to the regions of these shingles, its window, and
   a pair is a candidate if it shares l of them.
 * A region of more than REGION texts isn't joined but split: its texts go to the regions
-  of {s, s'} for all other s' of their windows, and where these are too large to those of
-  three and then of l shingles, which are joined whatever their size, as all their pairs
-  are candidates. Regions are counted exactly, after the shuffle.
+  of {s, s'} for all other s' of their windows. Where these are too large, they are cut
+  into blocks, and each pair of blocks is joined by itself. Regions are counted exactly,
+  after the shuffle.
 * Within a region pairs are pruned by size (t |y| <= |x|) and position, and at last
   verified exactly.
 
@@ -281,13 +281,12 @@ def _join_bucket(t: float, limit: int):
     return join
 
 
-_DEEP = "bucket int, region long, seq long, size int, path binary"
+_DEEP = "region long, seq long, size int"
 
 
-def _deeper(width: int, t: float, buckets: np.ndarray, bits: int, counts, level: int):
-    """Entries of the regions of `level` shingles, from texts (seq, text, marks). `marks` are the
-    regions to split at the level before: at the first their numbers, later the ranks of
-    their shingles in the window."""
+def _split_entries(width: int, t: float, buckets: np.ndarray, bits: int, counts):
+    """Entries of the regions of two shingles, one of which has too large a region, from texts
+    (seq, text, marks) with the numbers of those regions."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -297,57 +296,56 @@ def _deeper(width: int, t: float, buckets: np.ndarray, bits: int, counts, level:
             begin = np.searchsorted(row, np.arange(b.num_rows + 1))
             for i, (seq, marks) in enumerate(zip(b.column("seq").to_pylist(), b.column("marks").to_pylist(), strict=True)):
                 v = x[begin[i] : begin[i + 1]]
-                if level == 2:
-                    bucket, key = _region(v, buckets)
-                    paths = np.flatnonzero(np.isin(key.astype(np.int64) | bucket << 24, np.array(marks, np.int64)))[:, None]
-                else:
-                    paths = np.array([np.frombuffer(m, np.int32) for m in marks], np.int64).reshape(-1, level - 1)
-                # A slice of the paths at a time, each with every other shingle of the window.
+                bucket, key = _region(v, buckets)
+                hot = np.isin(key.astype(np.int64) | bucket << 24, np.array(marks, np.int64))
+                # A slice at a time, each large region with every other shingle; two large ones meet once.
+                at = np.flatnonzero(hot)
                 step = max(1, 1_000_000 // max(1, len(v)))
-                for at in range(0, len(paths), step):
-                    some = paths[at : at + step]
-                    p = np.column_stack((np.repeat(some, len(v), axis=0), np.tile(np.arange(len(v)), len(some))))
-                    p = np.sort(p[(p[:, :-1] != p[:, -1:]).all(axis=1)], axis=1)
-                    p = np.unique(p, axis=0)
-                    region = np.full(len(p), level, U)
-                    for k in range(level):
-                        region = mix(region * U(0x9E3779B97F4A7C15) + v[p[:, k]])
-                    n = len(p)
-                    if n:
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(_region(region, buckets)[0].astype(np.int32)), pa.array(region.view(np.int64)), pa.array(np.full(n, seq, np.int64)), pa.array(np.full(n, size[begin[i]], np.int32)),
-                                pa.array([r.tobytes() for r in p.astype(np.int32)], pa.binary()),
-                            ],
-                            names=["bucket", "region", "seq", "size", "path"],
-                        )
+                for first in range(0, len(at), step):
+                    one = np.repeat(at[first : first + step], len(v))
+                    two = np.tile(np.arange(len(v)), len(one) // len(v))
+                    m = (one != two) & (~hot[two] | (one < two))
+                    lo, hi = np.minimum(one[m], two[m]), np.maximum(one[m], two[m])
+                    region = mix(v[lo] * U(0x9E3779B97F4A7C15) + v[hi])
+                    if len(region):
+                        cols = [region.view(np.int64), np.full(len(region), seq, np.int64), np.full(len(region), size[begin[i]], np.int32)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["region", "seq", "size"])
 
     return emit
 
 
-def _join_deep(t: float, limit: int, last: bool):
-    """The pairs of the regions of several shingles, and rows (class, null, path) for those to split."""
+def _join_blocks(t: float):
+    """The pairs of regions and blocks that sizes allow. Two blocks of a region meet where their
+    texts are of different ones; a block meets itself apart."""
 
     def join(bucket: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = pa.Table.from_batches(list(rows)).combine_chunks()
-        region, seq, size = (e.column(c).to_numpy() for c in ("region", "seq", "size"))
-        o = np.lexsort((seq, size, region))
+        e = pa.Table.from_batches(list(rows))
+        region, seq, size, own, lo, hi = (e.column(c).to_numpy() for c in ("region", "seq", "size", "own", "lo", "hi"))
+        key = mix(region.view(U) ^ (lo.astype(U) << U(32) | hi.astype(U)) * U(0x9E3779B97F4A7C15))
+        o = np.lexsort((seq, size, key))
         one = np.ones(len(o), bool)
-        one[1:] = (region[o][1:] != region[o][:-1]) | (seq[o][1:] != seq[o][:-1])
+        one[1:] = (key[o][1:] != key[o][:-1]) | (seq[o][1:] != seq[o][:-1])
         o = o[one]
-        hot = np.zeros(len(o), bool) if last else _split(region[o], limit)
-        if hot.any():
-            at = pa.array(o[hot])
-            yield pa.RecordBatch.from_arrays([pa.array(seq[o[hot]]), pa.nulls(len(at), pa.int64()), e.column("path").take(at).combine_chunks()], names=["a", "b", "path"])
-            o = o[~hot | (size[o] <= _small(t))]
-        region, seq, size = region[o], seq[o], size[o]
-        for i, j in _meet(region, size, size, t):
-            a, b = seq[i], seq[j]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(i), pa.binary())], names=["a", "b", "path"])
+        key, seq, size, own, apart = key[o], seq[o], size[o], own[o], (lo != hi)[o]
+        for i, j in _meet(key, size, size, t):
+            m = ~apart[i] | (own[i] != own[j])
+            i, j = i[m], j[m]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(seq[i], seq[j])), pa.array(np.maximum(seq[i], seq[j]))], names=["a", "b"])
 
     return join
 
 
+def _in_blocks(deep: DataFrame, limit: int, buckets: int) -> DataFrame:
+    """Each entry with its block of the region and, for each other block, the pair of both; a region
+    of at most `limit` texts is one block."""
+    blocks = deep.groupBy("region").agg(F.ceil(F.count("*") / limit).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int")
+    each = deep.join(blocks, "region").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("region", "seq", "size", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    return each.withColumn("bucket", F.pmod(F.xxhash64("region", "lo", "hi"), F.lit(buckets)).cast("int"))
+
+
 def _verify(width: int, t: float, min_words: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -381,17 +379,14 @@ def _join(df: DataFrame, key: str, text: str, width: int, t: float, min_words: i
     level = materialize(raw.groupBy("a", "b").agg(F.sum("w").alias("w")).where((F.col("w") < 0) | (F.col("w") >= SHARED)), "near-candidates")
     candidates = level.where("w > 0").select("a", "b")
     hot = level.where("w < 0").select(F.col("a").alias("seq"), F.col("b").alias("mark"))
-    for depth in range(2, SHARED + 1):
-        if hot.isEmpty():
-            break
+    if not hot.isEmpty():
         # At most one mark for each region that a text's window reaches.
         marks = hot.groupBy("seq").agg(F.collect_set("mark").alias("marks")).join(reps, "seq")
         split = _texts_of(texts, marks).select("seq", "text", "marks")
-        deep = split.mapInArrow(_deeper(width, t, buckets, bits, counts, depth), _DEEP)
-        found = deep.groupBy("bucket").applyInArrow(_join_deep(t, REGION, depth == SHARED), "a long, b long, path binary")
-        level = materialize(found.distinct(), "near-split")
-        candidates = candidates.unionByName(level.where("b is not null").select("a", "b")).distinct()
-        hot = level.where("b is null").select(F.col("a").alias("seq"), F.col("path").alias("mark"))
+        deep = materialize(split.mapInArrow(_split_entries(width, t, buckets, bits, counts), _DEEP), "near-split")
+        tasks = max(len(buckets), deep.count() // 2_000_000)
+        found = _in_blocks(deep, REGION, tasks).groupBy("bucket").applyInArrow(_join_blocks(t), "a long, b long")
+        candidates = materialize(candidates.unionByName(found).distinct(), "near-candidates")
     pair = candidates.join(reps.select(F.col("seq").alias("a"), F.col("doc").alias("doc_a")), "a").join(reps.select(F.col("seq").alias("b"), F.col("doc").alias("doc_b")), "b")
     pair = materialize(pair, "near-pairs")
     ends = pair.select(F.col("doc_a").alias("doc")).unionByName(pair.select(F.col("doc_b").alias("doc")))
