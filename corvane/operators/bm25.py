@@ -7,7 +7,7 @@ of each query, and only these are shuffled, however frequent a term is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.functions.text import word_set, word_tokens
-from corvane.operators.topk import Best, in_order, rows_at_once
+from corvane.operators.topk import Best, in_order, products, rows_at_once
 
 #: Most terms of queries, and most queries, that are sent to all executors at once.
 MOST_TERMS, MOST_QUERIES = 1_000_000, 20_000
@@ -97,56 +97,105 @@ def top(scored: DataFrame, by: str, k: Column | int, key: str = "doc_id") -> Dat
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _search_block(terms: np.ndarray, query: np.ndarray, weight: np.ndarray, names: list[str], queries: pa.Array, k: int, k1: float, b: float, avgdl: float):
+def _search_block(terms: np.ndarray, query: np.ndarray, weight: np.ndarray, names: list[str], queries: pa.Array, k: int, value: Callable[[np.ndarray, np.ndarray], np.ndarray], most: float):
     """The k best documents of each query in a task's part of the index. Entries (term, query,
-    weight) refer to `names` and `queries`."""
-    in_queries = np.bincount(terms, minlength=len(names))
-    dense = np.flatnonzero(in_queries > FREQUENT * len(queries))
-    place = np.full(len(names), -1)
-    place[dense] = np.arange(len(dense))
-    matrix = np.zeros((len(dense), len(queries)))
-    m = place[terms] >= 0
-    matrix[place[terms[m]], query[m]] = weight[m]
-    o = np.flatnonzero(~m)
-    o = o[np.argsort(terms[o], kind="stable")]
-    rare_query, rare_weight = query[o], weight[o]
-    begin = np.searchsorted(terms[o], np.arange(len(names) + 1))
+    weight) refer to `names` and `queries`; a term's count and the document's length give a
+    `value` of at most `most`.
+
+    All cells are scored in single precision, and those that can be among the best again in double.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(queries)
+        dense = np.flatnonzero(np.bincount(terms, minlength=len(names)) > FREQUENT * n)
+        place = np.full(len(names), -1)
+        place[dense] = np.arange(len(dense))
+        matrix = np.zeros((n, len(dense)))
+        m = place[terms] >= 0
+        matrix[query[m], place[terms[m]]] = weight[m]
+        single = np.ascontiguousarray(matrix.T, np.float32)
+        o = np.flatnonzero(~m)
+        o = o[np.argsort(terms[o], kind="stable")]
+        rare_query, rare_weight = query[o], weight[o]
+        begin = np.searchsorted(terms[o], np.arange(len(names) + 1))
+        # No score is further off than a unit of its sum's last place for each term.
+        margin = np.bincount(query, weight, n) * most * (np.bincount(query, minlength=n) + 8) * 2.0**-23
         best, known = None, pa.array(names, pa.string())
-        step = rows_at_once(max(len(queries), len(dense)))
+        step = rows_at_once(max(n, len(dense)))
+        wanted = np.zeros(step * n, bool)
         for whole in batches:
             if best is None:
-                best = Best(len(queries), k, whole.column(0).type)
+                best = Best(n, k, whole.column(0).type)
+            listed = whole.column("terms")
+            length = pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64)
+            code = pc.fill_null(pc.index_in(listed.flatten(), known), -1).to_numpy(zero_copy_only=False)
+            some = np.flatnonzero(code >= 0)
+            code, row = code[some], np.repeat(np.arange(whole.num_rows), length)[some]
+            values = value(whole.column("tfs").flatten().to_numpy(zero_copy_only=False)[some], whole.column("len").to_numpy(zero_copy_only=False)[row])
             for at in range(0, whole.num_rows, step):
-                part = whole.slice(at, step)
-                rows = part.num_rows
-                n = pc.list_value_length(part.column("terms")).to_numpy(zero_copy_only=False).astype(np.int64)
-                code = pc.fill_null(pc.index_in(part.column("terms").flatten(), known), -1).to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(rows), n)
-                some = np.flatnonzero(code >= 0)
-                code, row = code[some], row[some]
-                tf = part.column("tfs").flatten().to_numpy(zero_copy_only=False)[some]
-                length = part.column("len").to_numpy(zero_copy_only=False)[row]
-                value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl))
-                d = place[code]
-                often = d >= 0
+                rows = min(step, whole.num_rows - at)
+                lo, hi = np.searchsorted(row, (at, at + rows))
+                c, r, v = code[lo:hi], row[lo:hi] - at, values[lo:hi]
+                often = place[c] >= 0
                 counts = np.zeros((rows, len(dense)))
-                counts[row[often], d[often]] = value[often]
-                scores = counts @ matrix
-                r = np.flatnonzero(~often)
-                each = begin[code[r] + 1] - begin[code[r]]
-                at_ = np.repeat(begin[code[r]], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                cell = np.repeat(row[r], each) * len(queries) + rare_query[at_]
-                scores += np.bincount(cell, np.repeat(value[r], each) * rare_weight[at_], scores.size).reshape(scores.shape)
+                counts[r[often], place[c[often]]] = v[often]
+                scores = counts.astype(np.float32) @ single
+                c, r, v = c[~often], r[~often], v[~often]
+                each = begin[c + 1] - begin[c]
+                entry = np.repeat(begin[c], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                cell = np.repeat(r * n, each) + rare_query[entry]
+                x = np.repeat(v, each) * rare_weight[entry]
+                np.add.at(scores.reshape(-1), cell, x.astype(np.float32))
                 # Weights are above 0, so a document without a term of the query has exactly 0.
-                best.add(scores, part.column(0), scores > 0)
+                hit, q = best.likely(scores, margin, above_zero=True)
+                if not len(hit):
+                    continue
+                cells = hit * n + q
+                wanted[cells] = True
+                of = np.flatnonzero(wanted[cell])
+                wanted[cells] = False
+                exact = products(counts, hit, matrix, q)
+                exact += np.bincount(np.searchsorted(cells, cell[of]), x[of], len(cells))
+                best.put(hit, q, exact, whole.column(0).slice(at, rows))
         if best is not None and len(best.query):
             yield pa.RecordBatch.from_arrays([queries.take(pa.array(best.query)), best.key, pa.array(best.score)], names=["query", "doc_id", "score"])
 
     return run
 
 
+def scan(docs: DataFrame, weights: DataFrame, k: int, weigh: Callable[[np.ndarray], np.ndarray], value: Callable[[np.ndarray, np.ndarray], np.ndarray], most: float) -> DataFrame | None:
+    """Rows (query, doc_id, score) with the k best of each task's documents for each query, at
+    least; None without queries.
+
+    `docs` has (doc_id, len, terms, tfs), `weights` rows (query, term, df), of which `weigh`
+    makes weights above 0. Queries go out in blocks of bounded size.
+    """
+    kind = weights.schema["query"].dataType
+    schema = f"query {kind.simpleString()}, doc_id {dict(docs.dtypes)['doc_id']}, score double"
+    # Fewer parts than cores stay as they are; more would send more lists of k each.
+    docs = docs.coalesce(docs.sparkSession.sparkContext.defaultParallelism)
+    found, block, number = None, {"term": [], "query": [], "df": []}, {}
+
+    def flush(found: DataFrame | None) -> DataFrame:
+        names, terms = np.unique(np.array(block["term"], object), return_inverse=True)
+        weight = weigh(np.array(block["df"], np.float64))
+        run = _search_block(terms, np.array(block["query"], np.int64), weight, names.tolist(), pa.array(list(number), to_arrow_type(kind)), k, value, most)
+        part = docs.mapInArrow(run, schema)
+        return part if found is None else found.unionByName(part)
+
+    # One row for each query: a row for each term takes the driver ten times as long.
+    lists = weights.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", "df"))).alias("t")).select("query", "t.term", "t.df")
+    for r in in_order(lists, "query", most=5000):
+        if number and (len(block["term"]) >= MOST_TERMS or len(number) >= MOST_QUERIES):
+            found = flush(found)
+            block, number = {"term": [], "query": [], "df": []}, {}
+        block["term"] += r["term"]
+        block["query"] += [len(number)] * len(r["term"])
+        block["df"] += r["df"]
+        number[r["query"]] = len(number)
+    return flush(found) if number else found
+
+
 def search(index: Index, queries: DataFrame, query_key: str, query_text: str, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Rows (query, doc_id, score, rank) of the k best documents.
 
@@ -154,32 +203,14 @@ def search(index: Index, queries: DataFrame, query_key: str, query_text: str, k:
     without a term of the query, empty queries and those of unknown terms give no row. Queries
     go out in blocks of bounded size, each of which reads the index once.
     """
-    spark = queries.sparkSession
     q = queries.select(F.col(query_key).alias("query"), F.explode(word_set(query_text)).alias("term"))
-    weights = q.join(index.terms, "term")
     totals = index.totals.first()
-    kind = dict(queries.dtypes)[query_key]
-    schema = f"query {kind}, doc_id {dict(index.docs.dtypes)['doc_id']}, score double"
-    found, block, number = None, {"term": [], "query": [], "df": []}, {}
+    avgdl = totals["avgdl"] or 1.0
 
-    def flush(found: DataFrame | None) -> DataFrame:
-        names, terms = np.unique(np.array(block["term"], object), return_inverse=True)
-        df = np.array(block["df"], np.float64)
-        weight = np.log(1 + (totals["n"] - df + 0.5) / (df + 0.5))
-        ids = pa.array(list(number), to_arrow_type(queries.schema[query_key].dataType))
-        run = _search_block(terms, np.array(block["query"], np.int64), weight, names.tolist(), ids, k, k1, b, totals["avgdl"] or 1.0)
-        part = index.docs.mapInArrow(run, schema)
-        return part if found is None else found.unionByName(part)
+    def value(tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl))
 
-    for r in in_order(weights, "query", "term"):
-        if r["query"] not in number and (len(block["term"]) >= MOST_TERMS or len(number) >= MOST_QUERIES):
-            found = flush(found)
-            block, number = {"term": [], "query": [], "df": []}, {}
-        block["term"].append(r["term"])
-        block["query"].append(number.setdefault(r["query"], len(number)))
-        block["df"].append(r["df"])
-    if number:
-        found = flush(found)
+    found = scan(index.docs, q.join(index.terms, "term"), k, lambda df: np.log(1 + (totals["n"] - df + 0.5) / (df + 0.5)), value, k1 + 1)
     if found is None:
-        found = spark.createDataFrame([], schema)
+        found = queries.sparkSession.createDataFrame([], f"query {dict(queries.dtypes)[query_key]}, doc_id {dict(index.docs.dtypes)['doc_id']}, score double")
     return top(found.withColumnRenamed("query", query_key), query_key, k)

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corvane.operators.topk import Best, in_order, rows_at_once
+from corvane.operators.topk import Best, in_order, products, rows_at_once
 
 #: Most bytes of query vectors that are sent to all executors at once.
 MOST_QUERY_BYTES = 64 << 20
 #: Most queries of a block, so that a task scores many rows at once.
 MOST_QUERIES = 20_000
+#: Below this product of lengths, sums in single precision neither overflow nor lose more than their last places.
+MOST_SINGLE = 1e18
 
 
 def check_vectors(vectors: DataFrame, vector: str) -> int:
@@ -46,24 +48,33 @@ def dense_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, qu
     block: list = []
 
     def search(rows: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(([r["q"] for r in rows], np.array([r["v"] for r in rows], np.float64).T))
+        shared = spark.sparkContext.broadcast(([r["q"] for r in rows], np.array([r["v"] for r in rows], np.float64)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
+            single = np.ascontiguousarray(matrix.T, np.float32)
+            norm = np.sqrt((matrix * matrix).sum(axis=1))
             best, step = None, rows_at_once(len(ids))
             for whole in batches:
                 if best is None:
                     best = Best(len(ids), k, whole.column(0).type)
                 for at in range(0, whole.num_rows, step):
                     b = whole.slice(at, step)
-                    flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                    best.add(flat.reshape(b.num_rows, -1) @ matrix, b.column(0))
+                    flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                    most = norm.max() * np.sqrt((flat * flat).sum(axis=1).max())
+                    if not most < MOST_SINGLE:
+                        best.add(flat @ matrix.T, b.column(0))
+                        continue
+                    # All cells in single precision, those that can be among the best again in double.
+                    margin = norm * (most / max(norm.max(), 1e-300)) * (matrix.shape[1] + 4) * 2.0**-23
+                    row, query = best.likely(flat.astype(np.float32) @ single, margin)
+                    best.put(row, query, products(flat, row, matrix, query), b.column(0))
             if best is not None and len(best.query):
                 q_ids = pa.array(ids).take(pa.array(best.query))
                 yield pa.RecordBatch.from_arrays([q_ids.cast(to_arrow_type(q_kind)), best.key, pa.array(best.score)], names=[query_key, key, "score"])
 
         q_kind = queries.schema[query_key].dataType
-        return vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, schema)
+        return vectors.where(F.col(vector).isNotNull()).select(key, vector).coalesce(spark.sparkContext.defaultParallelism).mapInArrow(run, schema)
 
     for r in in_order(q, "q"):
         block.append(r)
