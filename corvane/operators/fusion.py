@@ -83,13 +83,22 @@ def dynamic_limit(hits: DataFrame, query: str, k: int) -> DataFrame:
     return hits.withColumn("limit_", limit)
 
 
-def dedup_parents(hits: DataFrame, query: str, key: str = "passage_id") -> DataFrame:
-    """The first hit of each parent. It keeps its own id and takes the parent's text and source."""
+def first_of_parents(hits: DataFrame, query: str, key: str = "passage_id") -> DataFrame:
+    """The first hit of each parent; one without a parent stands for itself."""
     group = F.coalesce("parent_id", key)
     first = F.row_number().over(Window.partitionBy(query, group).orderBy("rank"))
-    kept = hits.withColumn("first_", first).where("first_ = 1").drop("first_")
+    return hits.withColumn("first_", first).where("first_ = 1").drop("first_")
+
+
+def as_parents(hits: DataFrame) -> DataFrame:
+    """Hits with the text and source of their parents, where these have a text."""
     has = F.col("parent_text").isNotNull()
-    return kept.withColumn("source", F.when(has, F.col("parent_source")).otherwise(F.col("source"))).withColumn("text", F.coalesce("parent_text", "text"))
+    return hits.withColumn("source", F.when(has, F.col("parent_source")).otherwise(F.col("source"))).withColumn("text", F.coalesce("parent_text", "text"))
+
+
+def dedup_parents(hits: DataFrame, query: str, key: str = "passage_id") -> DataFrame:
+    """The first hit of each parent. It keeps its own id and takes the parent's text and source."""
+    return as_parents(first_of_parents(hits, query, key))
 
 
 def rescore(hits: DataFrame, query: str, query_text: str, key: str = "passage_id") -> DataFrame:

@@ -73,7 +73,13 @@ def finish(hits: DataFrame, queries: DataFrame, query: str, text: str, passages:
     `queries` has (query, text, search_text and, if named, options), one row for each query.
     """
     cols = [query, F.col(text).alias("q_text"), "search_text"] + ([F.col(options).alias("q_options")] if options else [])
-    h = fusion.with_context(hits, passages).join(queries.select(*cols), query)
+    asked = queries.select(*cols)
+    boosted = s.option_boosting and options and s.hybrid or s.entity_rerank
+    if boosted:
+        h = fusion.with_context(hits, passages).join(asked, query)
+    else:
+        # Only the hits that stay need their texts.
+        h = hits.join(passages.select("passage_id", "parent_id"), "passage_id")
     if s.option_boosting and options and s.hybrid:
         h = fusion.boost_options(h.withColumn("words_o", F.coalesce(fusion.option_words(F.col("q_options")), F.array().cast("array<string>"))), "words_o", s.option_weight).drop("words_o")
         h = fusion.rerank(h, query)
@@ -84,7 +90,12 @@ def finish(hits: DataFrame, queries: DataFrame, query: str, text: str, passages:
         h = fusion.boost_entities(h.withColumn("ents_", own), "ents_").drop("ents_")
         h = fusion.rerank(h, query)
     h = fusion.dynamic_limit(h, query, s.top_k) if s.dynamic_k and s.hybrid else h.withColumn("limit_", F.lit(s.top_k))
-    h = fusion.dedup_parents(fusion.threshold(h, s.relevance), query)
+    h = fusion.first_of_parents(fusion.threshold(h, s.relevance), query)
+    if not s.mmr:
+        h = h.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy("rank"))).where(F.col("rank") <= F.col("limit_"))
+    if not boosted:
+        h = fusion.with_context(h.drop("parent_id"), passages).join(asked, query)
+    h = fusion.as_parents(h)
     if s.compression:
         words = T.keywords("q_text")
         if options:
@@ -93,8 +104,6 @@ def finish(hits: DataFrame, queries: DataFrame, query: str, text: str, passages:
     h = h.select(query, "passage_id", "source", "text", "score", "rank", "limit_")
     if s.mmr:
         h = fusion.mmr_skip(h, query, s.top_k, s.mmr_weight)
-    else:
-        h = h.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy("rank")))
     return h.where(F.col("rank") <= F.col("limit_")).drop("limit_")
 
 

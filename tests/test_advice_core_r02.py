@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from corvane.operators import bm25, memory
+from corvane.operators import bm25, fusion, memory, retrieve
 from corvane.operators.topk import Best
 
 
@@ -44,3 +44,14 @@ def test_best_of_approximate_scores():
     for q in range(6):
         want = sorted(range(400), key=lambda i: (-exact[i, q], keys[i]))[:3]
         assert [k.as_py() for k, x in zip(best.key, best.query, strict=True) if x == q] == [keys[i] for i in want]
+
+
+def test_only_hits_that_stay_get_their_texts(spark, monkeypatch):
+    passages = spark.createDataFrame([(f"p{i}", "s", f"text {i}", "parent" if i in (0, 2) else None) for i in range(12)] + [("parent", "t", "whole", None)], "passage_id string, source string, text string, parent_id string")
+    hits = spark.createDataFrame([("q", f"p{i}", 1.0 - i / 100, i + 1) for i in range(12)] + [("q", "gone", 2.0, 0)], "question_id string, passage_id string, score double, rank int")
+    queries = spark.createDataFrame([("q", "stem", "stem")], "question_id string, query string, search_text string")
+    seen, whole = [], fusion.with_context
+    monkeypatch.setattr(fusion, "with_context", lambda h, p, *a: seen.append(h.count()) or whole(h, p, *a))
+    got = retrieve.finish(hits, queries, "question_id", "query", passages, retrieve.Settings(top_k=3))
+    assert [tuple(r)[1:4] + (r["rank"],) for r in got.orderBy("rank").collect()] == [("p0", "t", "whole", 1), ("p1", "s", "text 1", 2), ("p3", "s", "text 3", 3)]
+    assert seen == [3]
