@@ -23,14 +23,19 @@ def _held_out(questions: DataFrame) -> DataFrame:
 # 1. broken prompt and response pairs
 
 
+def _defects(spark: SparkSession, d: str) -> DataFrame:
+    """Answers to questions of any split; the stems of those that are answered are read."""
+    answers, questions = read_table(spark, d, "predictions"), read_table(spark, d, "questions")
+    answered = questions.join(answers.select("question_id").distinct(), "question_id", "left_semi")
+    return quality.defective_pairs(answers, "record_id", "explanation", "question_id", answered, "question_id", "question", "options")
+
+
 def p1_flags(spark: SparkSession, d: str) -> DataFrame:
-    found = quality.defective_pairs(read_table(spark, d, "predictions"), "record_id", "explanation", "question_id", _held_out(read_table(spark, d, "questions")), "question_id", "question", "options")
-    return found.select("record_id", F.array_join("defects", ",").alias("defects"))
+    return _defects(spark, d).select("record_id", F.array_join("defects", ",").alias("defects"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    found = quality.defective_pairs(read_table(spark, d, "predictions"), "record_id", "explanation", "question_id", _held_out(read_table(spark, d, "questions")), "question_id", "question", "options")
-    return quality.first_defect(found, "record_id")
+    return quality.first_defect(_defects(spark, d), "record_id")
 
 
 # 2. evaluation texts leaking into training text
